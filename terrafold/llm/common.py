@@ -51,8 +51,23 @@ def held_out(doc_id: str | Column, modulus: int, remainder: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most `rows` rows, those with the smallest hash of key: the same ones at every partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key)).limit(rows)
+    """At most `rows` rows, those with the smallest hash of key: the same ones at every partitioning.
+
+    Only keys are sorted; their list, of `rows` entries at most, is broadcast to pick the rows."""
+    chosen = df.select(key).distinct().orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key)).limit(rows)
+    return df.join(F.broadcast(chosen), key, "left_semi")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, name: str) -> DataFrame:
+    """doc_id, text and label of at most `rows` documents with text and a label, those whose id has the smallest hash.
+
+    The list of ids, of `rows` entries at most, is broadcast; only the chosen documents' texts move, into a table.
+    An id that is labelled or occurs more than once counts once: its least label, its least text."""
+    marked = need(labels, "doc_id", label).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    marked = marked.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias(label))
+    chosen = marked.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(rows)
+    found = need(docs, "doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    return materialize(found.groupBy("doc_id", label).agg(F.min("text").alias("text")), name)
 
 
 def by_group(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[object, pd.DataFrame]]:

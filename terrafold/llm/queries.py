@@ -22,14 +22,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
-def _labelled(spark: SparkSession, sf_dir: str, label: str, modulus: int, remainder: int) -> DataFrame:
-    """Rows to learn from: text with its label, without the held-out ids."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", label).where(~held_out("doc_id", modulus, remainder) & F.col(label).isNotNull())
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
-
-
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(_labelled(spark, sf_dir, "toxic", 4, 2))
+    model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out("doc_id", 4, 2)))
     found = toxicity.score(table(spark, sf_dir, "documents"), model)
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 

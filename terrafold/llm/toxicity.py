@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,14 +28,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import bounded_sample, need
+from terrafold.llm.common import labelled_sample, materialize, need
 
 BASE = 0.01
 FIT_ROWS = 20_000
 WINDOW = 6
 MAX_TERMS = 5_000
-STEM_LENGTHS = range(4, 8)
+STEM_LENGTHS = range(4, 10)
 THRESHOLD = 0.3
+SURPRISE = 5.0
+STEM_PRECISION = 0.95
 _CACHE = 400_000
 
 _WORD = re.compile(r"[^\W_]+(?:['@$!|*+.\-_]+(?=[^\W_])[^\W_]+)*")
@@ -255,31 +258,80 @@ def _feature_rows(toxic: Counter, clean: Counter) -> pd.DataFrame:
     return pd.DataFrame({"kind": [k[0] for k in keys], "term": [k[1] for k in keys], "toxic": [toxic[k] for k in keys], "clean": [clean[k] for k in keys]})
 
 
-def fit(labelled: DataFrame, rows: int = FIT_ROWS, max_terms: int = MAX_TERMS) -> ToxicityModel:
-    """Learn from the columns doc_id, text and toxic of at most `rows` labelled rows, those with the least hash of their id."""
-    sample = bounded_sample(need(labelled, "doc_id", "text", "toxic").where(F.col("toxic").isNotNull() & F.col("text").isNotNull()), "doc_id", rows)
+def _surprise(toxic: int, clean: int, rate: float) -> float:
+    """Chernoff bound: minus the log of how likely this many toxic texts are if the term says nothing."""
+    n = toxic + clean
+    p = toxic / n
+    if p <= rate:
+        return 0.0
+    return n * (p * math.log(p / rate) + ((1 - p) * math.log((1 - p) / (1 - rate)) if p < 1 else 0.0))
+
+
+def _family(text: str) -> int:
+    """The same number for most near copies: the least hash of the text's words."""
+    return min((zlib.crc32(w.encode()) for w in set(_WORD.findall(text.lower()))), default=0)
+
+
+def _chosen(sample: DataFrame, marks: list, rate: float, max_terms: int) -> ToxicityModel:
+    """Of the terms that mark toxic texts those that explain texts which no better term explains.
+
+    Else every rare word of a toxic text that has copies would be a term. Copies of one text count once."""
+    terms = [(r["kind"], r["term"]) for r in marks]
+    by_term = {t: i for i, t in enumerate(terms)}
+    lengths = sorted({len(t) for k, t in terms if k == "s"})
+
+    def hits(batches):
+        for batch in batches:
+            out = []
+            for text in batch["text"]:
+                words = set(_WORD.findall(text.lower()))
+                got = {by_term[("w", w)] for w in words if ("w", w) in by_term}
+                got |= {by_term[("s", w[:n])] for w in words for n in lengths if len(w) > n and ("s", w[:n]) in by_term}
+                out.append(sorted(got))
+            yield pd.DataFrame({"family": [_family(t) for t in batch["text"]], "hits": out})
+
+    toxic = sample.where(F.col("toxic") != 0).select("text").mapInPandas(hits, "family long, hits array<int>").dropDuplicates(["family"]).collect()
+    covers: dict[int, set[int]] = {}
+    for r in toxic:
+        for i in r["hits"]:
+            covers.setdefault(i, set()).add(r["family"])
+    least = max(3, math.ceil(0.002 * len(toxic)))
+    words, stems, left = {}, {}, True
+    explained: set[int] = set()
+    while covers and left and len(words) + len(stems) < max_terms:
+        best = max(covers, key=lambda i: (len(covers[i] - explained), len(covers[i]), terms[i][0] == "w", -i))
+        gain = covers.pop(best)
+        left = len(gain - explained) >= least
+        if left:
+            explained |= gain
+            r = marks[best]
+            (words if r["kind"] == "w" else stems)[r["term"]] = (r["toxic"] + rate * 0.5) / (r["toxic"] + r["clean"] + 0.5)
+    for i, cover in covers.items():  # often, though always beside others
+        r = marks[i]
+        if r["kind"] == "w" and len(words) < max_terms and words and len(cover) >= 10 * least:
+            words[r["term"]] = (r["toxic"] + rate * 0.5) / (r["toxic"] + r["clean"] + 0.5)
+    words = {w: p for w, p in words.items() if not any(w[:k] in stems for k in range(1, len(w) + 1))}
+    return ToxicityModel(dict(sorted(words.items())), dict(sorted(stems.items())))
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_terms: int = MAX_TERMS) -> ToxicityModel:
+    """Learn from docs (doc_id, text) and labels (doc_id, toxic), at most `rows` labelled documents, those with the least hash of their id."""
+    sample = labelled_sample(docs, labels, "toxic", rows, "toxicity-sample")
     n = sample.agg(F.sum(F.when(F.col("toxic") != 0, 1).otherwise(0)).alias("t"), F.count(F.lit(1)).alias("n")).first()
     n_toxic, n_all = int(n["t"] or 0), int(n["n"] or 0)
     if not n_toxic or n_toxic == n_all:
         return ToxicityModel()
     parts = max(2, sample.sparkSession.sparkContext.defaultParallelism)
     found = sample.select("text", "toxic").repartition(parts).mapInPandas(_features, "kind string, term string, toxic long, clean long")
-    found = found.groupBy("kind", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    found = found.where((F.col("toxic") >= 3) | ((F.col("kind") == "w") & (F.col("clean") >= 1) & (F.length("term") >= 4)))
+    found = materialize(found.groupBy("kind", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-terms")
+    found_all, found = found, found.where((F.col("toxic") >= 3) | ((F.col("kind") == "w") & (F.col("clean") >= 1) & (F.length("term") >= 4)))
     rate = n_toxic / n_all
-    marks = found.where((F.col("toxic") >= 3) & (F.col("toxic") > 0.7 * (F.col("toxic") + F.col("clean"))))
+    n_features = max(2, found_all.count())
+    marks = found.where((F.col("toxic") >= 3) & (F.col("toxic") > 0.8 * (F.col("toxic") + F.col("clean"))))
     marks = marks.orderBy(F.desc("toxic"), "kind", "term").limit(4 * max_terms).collect()
-    least = max(3.0, 0.001 * n_toxic)
-    words, stems = {}, {}
-    for r in marks:
-        share = (r["toxic"] + rate * 0.5) / (r["toxic"] + r["clean"] + 0.5)
-        sure = r["toxic"] * math.log(share / rate) > 6 and share >= 0.8
-        if sure and r["toxic"] >= least and len(r["term"]) >= 3:
-            (words if r["kind"] == "w" else stems)[r["term"]] = share
-    stems = {s: p for s, p in stems.items() if not any(s[:k] in stems for k in range(1, len(s)))}
-    stems = {s: p for s, p in stems.items() if sum(w.startswith(s) for w in words) != 1}  # else the word itself says it all
-    words = {w: p for w, p in words.items() if not any(w[:k] in stems for k in range(1, len(w) + 1))}
-    model = ToxicityModel(dict(sorted(words.items())[:max_terms]), dict(sorted(stems.items())[:max_terms]))
+    marks = [r for r in marks if _surprise(r["toxic"], r["clean"], rate) > math.log(n_features) + SURPRISE]
+    marks = [r for r in marks if r["kind"] == "w" or r["toxic"] >= STEM_PRECISION * (r["toxic"] + r["clean"])]
+    model = _chosen(sample, marks, rate, max_terms)
     if not model.words:
         return model
     automaton = LexiconAutomaton(list(model.words), list(model.stems))
