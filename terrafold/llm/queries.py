@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import exact_dedup, language_id, quality_cnn, toxicity
+from terrafold.llm import exact_dedup, kd_sharding, language_id, quality_cnn, toxicity
 from terrafold.llm.common import held_out
 
 
@@ -28,6 +28,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
 
+def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_cnn.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0)))
     found = quality_cnn.score(table(spark, sf_dir, "documents"), model)
@@ -41,6 +45,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
+    "op4_kd_sharding": op4_kd_sharding,
     "op6_quality_cnn": op6_quality_cnn,
     "op8_exact_dedup": op8_exact_dedup,
 }
