@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import exact_dedup, kd_sharding, language_id, quality_cnn, toxicity
+from terrafold.llm import exact_dedup, kd_sharding, language_id, packing, quality_cnn, toxicity
 from terrafold.llm.common import held_out
 
 
@@ -32,6 +32,11 @@ def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_cnn.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0)))
     found = quality_cnn.score(table(spark, sf_dir, "documents"), model)
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op4_kd_sharding": op4_kd_sharding,
+    "op5_bin_slack_packing": op5_bin_slack_packing,
     "op6_quality_cnn": op6_quality_cnn,
     "op8_exact_dedup": op8_exact_dedup,
 }
