@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import exact_dedup, kd_sharding, language_id, packing, piece_bpe, quality_cnn, toxicity
+from terrafold.llm import exact_dedup, kd_sharding, language_id, packing, piece_bpe, quality_cnn, quality_rules, toxicity
 from terrafold.llm.common import held_out
 
 
@@ -47,6 +47,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = piece_bpe.round_trip(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bin_slack_packing": op5_bin_slack_packing,
     "op6_quality_cnn": op6_quality_cnn,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op10_piece_bpe": op10_piece_bpe,
 }
 
