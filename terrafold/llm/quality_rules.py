@@ -32,8 +32,8 @@ LEAST_WORDS = 20
 WINDOW = 8
 SUPPORT = 0.75
 STEPS = 4
-CUT = 46.0  # chi-square with 5 degrees of freedom: about 1 in 10^8
-FLOORS = (0.5, 0.12, 0.5, 0.5, 0.8)
+CUT = 30.0  # chi-square with 5 degrees of freedom: about 1 in 10^5
+FLOORS = (0.5, 0.12, 0.4, 0.7, 1.2)
 LEAST_ROWS = 50
 BROADCAST_GROUPS = 100_000
 _MEDIAN_CHI2 = 4.351
