@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import exact_dedup, kd_sharding, language_id, packing, piece_bpe, quality_cnn, quality_rules, toxicity
+from terrafold.llm import exact_dedup, kd_sharding, language_id, packing, piece_bpe, quality_cnn, quality_rules, quotation, toxicity
 from terrafold.llm.common import held_out
 
 
@@ -28,6 +28,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
 
+def op3_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
+    "op3_quotation": op3_quotation,
     "op4_kd_sharding": op4_kd_sharding,
     "op5_bin_slack_packing": op5_bin_slack_packing,
     "op6_quality_cnn": op6_quality_cnn,
