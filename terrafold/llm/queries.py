@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import exact_dedup, kd_sharding, language_id, packing, piece_bpe, quality_cnn, quality_rules, quotation, toxicity
+from terrafold.llm import exact_dedup, jaccard_join, kd_sharding, language_id, packing, piece_bpe, quality_cnn, quality_rules, quotation, toxicity
 from terrafold.llm.common import held_out
 
 
@@ -47,6 +47,10 @@ def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_kd_sharding": op4_kd_sharding,
     "op5_bin_slack_packing": op5_bin_slack_packing,
     "op6_quality_cnn": op6_quality_cnn,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_piece_bpe": op10_piece_bpe,
