@@ -44,6 +44,14 @@ def need(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names)
 
 
+def with_row(docs: DataFrame, id_col: str, name: str) -> tuple[DataFrame, bool]:
+    """docs with a long column `_row` that tells rows apart: the id where it does, else numbers in a written table."""
+    plain = docs.schema[id_col].dataType.typeName() in ("long", "integer", "short", "byte")
+    if plain and docs.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty():
+        return docs.withColumn("_row", F.col(id_col).cast("long")), True
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), name), False
+
+
 def held_out(doc_id: str | Column, modulus: int, remainder: int) -> Column:
     """True where crc32 of the id as text leaves that remainder."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import SPACE_CHARS, materialize, need
+from terrafold.llm.common import SPACE_CHARS, materialize, need, with_row
 
 FIRST_RUN = 48
 GROWTH = 32
@@ -60,28 +60,23 @@ def split_groups(rows: DataFrame, first_run: int = FIRST_RUN, growth: int = GROW
     return out
 
 
+def _marks(numbered: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """numbered: docs with `_row`. Of rows that equal another one: row, keep_id, size, and first (whether it stays)."""
+    text = F.col(text_col)
+    groups = materialize(split_groups(numbered.select(F.col("_row").alias("row"), F.encode(normalized(text), "utf-8").alias("bytes"))), "radix-groups")
+    points = numbered.select(F.col("_row").alias("row"), F.col(id_col).alias("doc_id"), F.length(F.coalesce(text, F.lit(""))).alias("n_points"))
+    members = materialize(points.join(groups, "row"), "radix-members")
+    first = F.struct((-F.col("n_points")).alias("a"), "doc_id", "row")
+    classes = members.groupBy("group").agg(F.min(first).alias("best"), F.count(F.lit(1)).alias("size"))
+    return members.join(classes, "group").select("row", F.col("best.doc_id").alias("keep_id"), "size", (F.col("best.row") == F.col("row")).alias("first"))
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, keep_id (the row that stays of its class: the most code points, then the
     smallest id), group_size, kept, text_sha256 of the text without white space."""
-    source = need(docs, id_col, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    facts = source.select(
-        F.col(id_col).alias("doc_id"),
-        F.length(text).alias("n_points"),
-        F.sha2(F.encode(normalized(F.col(text_col)), "utf-8"), 256).alias("text_sha256"),
-        F.encode(normalized(F.col(text_col)), "utf-8").alias("bytes"),
-    )
-    repeated = not source.select(id_col).groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty()
-    if repeated:
-        facts = materialize(facts.withColumn("row", F.monotonically_increasing_id()), "radix-rows")
-    else:
-        facts = facts.withColumn("row", F.col("doc_id").cast("long"))
-    groups = materialize(split_groups(facts.select("row", "bytes")), "radix-groups")
-    facts = facts.drop("bytes")
-    first = F.struct((-F.col("n_points")).alias("a"), "doc_id", "row")
-    members = materialize(facts.select("row", "doc_id", "n_points").join(groups, "row"), "radix-members")
-    classes = members.groupBy("group").agg(F.min(first).alias("best"), F.count(F.lit(1)).alias("size"))
-    marks = members.join(classes, "group").select("row", F.col("best.doc_id").alias("keep_id"), "size", (F.col("best.row") == F.col("row")).alias("first"))
+    numbered, _ = with_row(need(docs, id_col, text_col), id_col, "radix-rows")
+    marks = _marks(numbered, id_col, text_col)
+    facts = numbered.select(F.col("_row").alias("row"), F.col(id_col).alias("doc_id"), F.sha2(F.encode(normalized(F.col(text_col)), "utf-8"), 256).alias("text_sha256"))
     return facts.join(marks, "row", "left").select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
@@ -89,3 +84,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.coalesce("first", F.lit(True)).alias("kept"),
         "text_sha256",
     )
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    numbered, _ = with_row(docs, id_col, "radix-rows")
+    gone = materialize(_marks(numbered, id_col, text_col).where(~F.col("first")).select(F.col("row").alias("_row")), "radix-dropped")
+    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import by_group, materialize, need
+from terrafold.llm.common import by_group, materialize, need, with_row
 
 WIDTH = 5
 PERCENT = 80
@@ -353,16 +353,9 @@ def _open(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("place").sortWithinPartitions("place", "asks").mapInPandas(run, "u long, v long")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id (the least id that links reach)."""
-    source = need(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    plain = source.schema["doc_id"].dataType.typeName() in ("long", "integer", "short", "byte")
-    unique = plain and source.select("doc_id").groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull()).isEmpty()
-    if unique:
-        rows = source.select(F.col("doc_id").cast("long").alias("row"), "text")
-    else:
-        numbered = materialize(source.withColumn("row", F.monotonically_increasing_id()), "jaccard-rows")
-        rows = numbered.select("row", "text")
+def classes_of(numbered: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
+    """numbered: docs with `_row`. Returns row, n (size of its set), comp (the least row that links reach)."""
+    rows = numbered.select(F.col("_row").alias("row"), F.col(text_col).alias("text"))
     facts = materialize(_facts(rows, width), "jaccard-facts")
     filled = facts.where("n > 0")
     classes = filled.groupBy("n", "s1", "s2").agg(F.min("row").alias("rep"), F.min("k1").alias("k1"), F.min("k2").alias("k2"))
@@ -399,10 +392,24 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     merged = components(between)
     final = named.join(merged, named["comp"] == merged["node"], "left").select(F.col("row").alias("rep"), F.coalesce("label", "comp").alias("comp"))
     of_class = classes.select("n", "s1", "s2", "rep").join(final, "rep").select("n", "s1", "s2", "comp")
-    found = facts.select("row", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left").select("row", "n", F.coalesce("comp", "row").alias("comp"))
+    return facts.select("row", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left").select("row", "n", F.coalesce("comp", "row").alias("comp"))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id (the least id that links reach)."""
+    numbered, unique = with_row(need(docs, id_col, text_col), id_col, "jaccard-rows")
+    found = classes_of(numbered, text_col, width, percent)
     if unique:
         kind = docs.schema[id_col].dataType
         return found.select(F.col("row").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").cast(kind).alias("component_id"))
-    found = found.join(numbered.select("row", "doc_id"), "row")
+    found = found.join(numbered.select(F.col("_row").alias("row"), F.col(id_col).alias("doc_id")), "row")
     least = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return found.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, the one with the least id (or number, where ids repeat), with all its columns."""
+    numbered, _ = with_row(docs, id_col, "jaccard-rows")
+    found = classes_of(numbered, text_col, width, percent)
+    gone = materialize(found.where("row <> comp").select(F.col("row").alias("_row")), "jaccard-dropped")
+    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)

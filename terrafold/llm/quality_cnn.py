@@ -20,7 +20,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terrafold.llm.common import labelled_sample, need
 
@@ -175,17 +177,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> QualityMode
     return train(sample["text"].tolist(), sample["quality"].astype(int).tolist())
 
 
-def score(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
-    """Columns `keep` of docs with score and predicted (1 from the threshold on); one row for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    inner = need(docs, *keep) if "text" in keep else need(docs, *keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+def verdict(spark: SparkSession, model: QualityModel, text: Column, threshold: float = THRESHOLD) -> Column:
+    """score and predicted (1 from the threshold on) of a text column, as one struct."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator) -> Iterator:
+    @F.pandas_udf("score double, predicted int")
+    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
-        for batch in batches:
-            part = batch[list(keep)].reset_index(drop=True)
-            scores = own.scores([t if isinstance(t, str) else None for t in batch["text"]])
-            yield part.assign(score=scores, predicted=(scores >= threshold).astype("int32"))
+        for batch in texts:
+            scores = own.scores([t if isinstance(t, str) else None for t in batch])
+            yield pd.DataFrame({"score": scores, "predicted": (scores >= threshold).astype("int32")})
+
+    return judge.asNondeterministic()(text)  # else Spark may run it once more for each use of a field
 
-    return inner.mapInPandas(run, schema + ", score double, predicted int")
+
+def score(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
+    """Columns `keep` of docs with score and predicted; one row for each row of docs."""
+    found = need(docs, *dict.fromkeys([*keep, "text"])).select(*keep, verdict(docs.sparkSession, model, F.col("text"), threshold).alias("_verdict"))
+    return found.select(*keep, "_verdict.*")
