@@ -10,9 +10,10 @@ A document is the set of its distinct word shingles, as 64-bit hashes. Documents
 3. Prefix tokens: of a set of n shingles that links to another one, the first n - ceil(n * percent / 100) + 1 in a fixed
    order must meet the other's. The order puts frequent shingles (counted over all documents) last, so that shared
    passages meet nobody. The token-group matrix is the distinct pairs (prefix token, group); tokens in one group only
-   are dropped. A document with a token of another group is a query against that group.
-4. A query opens a group (in blocks of at most `BLOCK` members) only if its overlap with the block's token union reaches
-   what a link needs; then it is compared with the members whose size allows a link.
+   are dropped. A document is a query against another group when it has as many prefix tokens in common with the group's
+   as a link to a member of any size there would need.
+4. A query opens a group (in blocks of at most `BLOCK` members) only if its overlap with the block's whole token union
+   reaches what a link needs; then it is compared with the members whose size allows a link.
 
 The outcome is exact: a link between different groups has a common prefix token, so step 4 looks at it; links inside a
 group change nothing. No list of pairs inside a group is made, and no group is held by one task beyond a block.
@@ -40,6 +41,7 @@ PERCENT = 80
 BLOCK = 2048
 FREQUENT = 50
 MAX_FREQUENT = 1_000_000
+BROADCAST_ROWS = 1_000_000
 _SLICE = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.array([0x8CB92BA72F3D8DD7, 0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8BB84B93962EACC9, 0x4B33A62ED433D4A3, 0x2545F4914F6CDD1D, 0xCA5A826395121157, 0x9FB21C651E98DF25], dtype=np.uint64)
@@ -303,30 +305,70 @@ def _group_edges(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("group").sortWithinPartitions("group", "row").mapInPandas(run, "u long, v long")
 
 
-def _queries(shared: DataFrame) -> DataFrame:
-    """shared: token, row, n, comp, of tokens in more than one component. Returns distinct (row, comp): queries.
-
-    Of two components that share a token, the rows with the token in the one of the greater name ask the other."""
+def _least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """How many prefix tokens two sets of sizes n and m that link must have in common, at least.
+
+    Of the set whose prefix ends first at most (size - overlap) tokens are missing in the other, wherever they stand."""
+    overlap = -(-(percent * (n + m)) // (100 + percent))
+    return np.maximum(1, overlap + 1 - (percent * np.maximum(n, m) + 99) // 100)
+
+
+def _asked(part: pd.DataFrame, percent: int, most: int = 1_000_000) -> Iterator[pd.DataFrame]:
+    """part: whole runs of equal tokens, sorted by token and comp. (row, comp, least): who asks which group by a token."""
+    token, comp, row, n, size = (part[c].to_numpy(np.int64) for c in ("token", "comp", "row", "n", "size"))
+    if not len(token):
+        return
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (comp[1:] != comp[:-1])])
+    at = np.flatnonzero(new)  # an entry of the matrix for each token and group
+    low, high = np.minimum.reduceat(n, at), np.maximum.reduceat(n, at)
+    e_token, e_comp, e_size = token[at], comp[at], size[at]
+    first = np.searchsorted(e_token, token, side="left")
+    count = np.searchsorted(e_token, token, side="right") - first
+    ends = np.cumsum(count)
+    a = 0
+    while a < len(token):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        k = count[a:b]
+        i = np.repeat(np.arange(a, b), k)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k) + first[i]
+        lo = np.maximum(low[j], -(-(n[i] * percent) // 100))
+        hi = np.minimum(high[j], n[i] * 100 // percent)
+        larger = (e_size[j] > size[i]) | ((e_size[j] == size[i]) & (e_comp[j] > comp[i]))
+        ok = larger & (e_comp[j] != comp[i]) & (lo <= hi)
+        i, j, lo, hi = i[ok], j[ok], lo[ok], hi[ok]
+        least = np.minimum(_least_overlap(n[i], lo, percent), _least_overlap(n[i], hi, percent))
+        yield pd.DataFrame({"row": row[i], "comp": e_comp[j], "least": least})
+        a = b
+
+
+def _queries(shared: DataFrame, percent: int) -> DataFrame:
+    """shared: token, row, n, comp, size, of tokens in more than one group. Returns (row, comp): queries of the rows of
+    the smaller group against the larger one, where the query has as many prefix tokens in common with the group's
+    union as a link to any member asks for."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        size = 0
-        for _, part in by_group(batches, "token"):
-            comp = part["comp"].to_numpy()
-            asked = np.unique(comp)
-            row = part["row"].to_numpy()
-            for a in range(0, len(row), 512):
-                q, c = row[a : a + 512], comp[a : a + 512]
-                at, to = np.nonzero(c[:, None] > asked[None, :])
-                held.append(pd.DataFrame({"row": q[at], "comp": asked[to]}))
-                size += len(at)
-                if size > 200_000:
-                    yield pd.concat(held).drop_duplicates()
-                    held, size = [], 0
-        if held:
-            yield pd.concat(held).drop_duplicates()
-
-    return shared.repartition("token").sortWithinPartitions("token", "comp").mapInPandas(run, "row long, comp long").distinct()
+        rest: list[pd.DataFrame] = []
+        for batch in batches:
+            if batch.empty:
+                continue
+            token = batch["token"].to_numpy()
+            cut = int(np.searchsorted(token, token[-1], side="left"))
+            if cut or (rest and rest[-1]["token"].iloc[-1] != token[0]):
+                yield from _asked(pd.concat([*rest, batch.iloc[:cut]], ignore_index=True), percent)
+                rest = [batch.iloc[cut:]]
+            else:
+                rest.append(batch)
+        if rest:
+            yield from _asked(pd.concat(rest, ignore_index=True), percent)
+
+    asked = shared.repartition("token").sortWithinPartitions("token", "comp").mapInPandas(run, "row long, comp long, least long")
+    met = asked.groupBy("row", "comp").agg(F.count(F.lit(1)).alias("met"), F.min("least").alias("least"))
+    return met.where("met >= least").select("row", "comp")
+
+
+def _of_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose number is wanted; the list is broadcast up to BROADCAST_ROWS numbers."""
+    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "row", "left_semi")
 
 
 def _open(rows: DataFrame, percent: int) -> DataFrame:
@@ -370,22 +412,25 @@ def classes_of(numbered: DataFrame, text_col: str, width: int, percent: int) ->
     tokens = _prefix_tokens(rows, frequent, width, percent).repartition("token")
     common = tokens.groupBy("token").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a <> b").select("token")
     tokens = materialize(tokens.join(common, "token").join(reps, "row"), "jaccard-tokens")
-    wanted = grouped.select("row").union(tokens.select("row")).distinct()
-    sets = materialize(_sets(rows.join(wanted, "row", "left_semi"), width), "jaccard-sets", "uncompressed")
+    sets = materialize(_sets(_of_rows(rows, materialize(grouped.select("row").distinct(), "jaccard-rows-grouped")), width), "jaccard-sets", "uncompressed")
 
     first = materialize(_group_edges(grouped.join(sets, "row").select("group", "row", "tokens"), percent), "jaccard-edges")
     labels = components(first)
     named = materialize(reps.join(labels, reps["row"] == labels["node"], "left").select("row", "n", F.coalesce("label", "row").alias("comp")), "jaccard-named")
 
     # the token-group matrix, without tokens of one group; queries against groups
-    placed = materialize(tokens.drop("n").join(named, "row").select("token", "row", "n", "comp"), "jaccard-placed")
-    several = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
-    queries = materialize(_queries(placed.join(several, "token")), "jaccard-queries")
-    sizes = named.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-    asked = materialize(queries.select("comp").distinct().join(sizes, "comp").select("comp", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "jaccard-asked")
+    several = named.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sized = named.join(several, "comp", "left").select("row", "comp", F.coalesce("size", F.lit(1)).alias("size"))
+    placed = tokens.join(sized, "row").select("token", "row", "n", "comp", "size").repartition("token")
+    mixed = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
+    queries = materialize(_queries(placed.join(mixed, "token"), percent), "jaccard-queries")
+    asked = queries.select("comp").distinct().join(sized.select("comp", "size").distinct(), "comp")
+    asked = materialize(asked.select("comp", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "jaccard-asked")
     members = named.join(asked, "comp").select("row", F.xxhash64("comp", F.pmod(F.xxhash64("row"), "blocks").cast("int")).alias("place"), F.lit(False).alias("asks"))
     asking = queries.join(asked, "comp").select("row", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.xxhash64("comp", F.pmod(b.cast("long"), "blocks").cast("int")))).alias("place"), F.lit(True).alias("asks"))
-    opened = members.unionByName(asking).join(sets, "row").select("place", "asks", "row", "tokens")
+    opened = materialize(members.unionByName(asking), "jaccard-opened")
+    sets = _sets(_of_rows(rows, materialize(opened.select("row").distinct(), "jaccard-rows-opened")), width)
+    opened = opened.join(sets, "row").select("place", "asks", "row", "tokens")
     second = materialize(_open(opened, percent), "jaccard-links")
     name = named.select(F.col("row").alias("at"), F.col("comp").alias("c"))
     between = second.join(name, second["u"] == name["at"]).select("v", F.col("c").alias("cu")).join(name, F.col("v") == name["at"]).select(F.col("cu").alias("u"), F.col("c").alias("v"))
