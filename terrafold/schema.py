@@ -1,0 +1,29 @@
+"""Table layouts of the engine, as Spark types."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+
+def _struct(text: str) -> T.StructType:
+    kinds = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "float": T.FloatType(), "string": T.StringType(), "date": T.DateType(), "boolean": T.BooleanType()}
+    return T.StructType([T.StructField(n, kinds[k]) for n, k in (x.split(":") for x in text.split())])
+
+
+POINTS = _struct("id:long lon:double lat:double altitude:double type:string")
+GRID_MAPPING = _struct("id:int gid:long row:int col:int lon:double lat:double")
+CLIMATE_LONG = _struct("variable:string year:int month:int id:int date:date value:float")
+CLIMATE_WINDOW = _struct("id:long date:date tmin:double tmax:double tdew:double rain:double")
+HUMID_DAILY = _struct("id:long season:int date:date humid_hours:int humid_tmean:double rain:double tavg:double")
+YEARLY = _struct("id:long year:int region:string app:int sum_bu:long sum_fu:long n_days:long")
+INDEX_MONTHLY = _struct("year:int month:int value:double")
+PIXELS = _struct("y_idx:int x_idx:int value:double")
+
+
+def require(df: DataFrame, *names: str) -> DataFrame:
+    """df, if it has these columns; else an error that names the missing ones."""
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df
