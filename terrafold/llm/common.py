@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -36,6 +37,20 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps now: it does so when its driver collects garbage, which a
+    driver with little to do may put off for half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Python workers get texts in batches of so many rows at most, so that what they hold stays small beside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def need(df: DataFrame, *names: str) -> DataFrame:
     """Only these columns of df; a missing one is an error that names it."""
     missing = [n for n in names if n not in df.columns]

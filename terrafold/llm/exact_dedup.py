@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import SPACE_CHARS, materialize, need, with_row
+from terrafold.llm.common import SPACE_CHARS, materialize, need, release, with_row
 
 FIRST_RUN = 48
 GROWTH = 32
@@ -48,6 +48,7 @@ def split_groups(rows: DataFrame, first_run: int = FIRST_RUN, growth: int = GROW
             parts.append(kept.select("row", "group"))
             break
         kept = materialize(kept, "radix-round")
+        release(rows.sparkSession)
         at, run = at + run, run * growth
         parts.append(kept.where(F.col("n") <= at).select("row", "group"))
         live = kept.where(F.col("n") > at).select("row", "group", "bytes", "n")

@@ -6,7 +6,8 @@ A document is the set of its distinct word shingles, as 64-bit hashes. Documents
 1. Equal sets form one class each; one representative goes on.
 2. Representatives are partitioned into groups of similar documents by two least hashes (MinHash); inside a group they
    are compared breadth first against what is not reached yet, so a group of near copies costs about one comparison a
-   member. Components found so are the groups of the matrix.
+   member, and pairs of one block that do not link are known from then on. Components found so are the groups of the
+   matrix.
 3. Prefix tokens: of a set of n shingles that links to another one, the first n - ceil(n * percent / 100) + 1 in a fixed
    order must meet the other's. The order puts frequent shingles (counted over all documents) last, so that shared
    passages meet nobody. The token-group matrix is the distinct pairs (prefix token, group); tokens in one group only
@@ -34,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import by_group, materialize, need, with_row
+from terrafold.llm.common import by_group, materialize, need, release, with_row
 
 WIDTH = 5
 PERCENT = 80
@@ -42,7 +43,7 @@ BLOCK = 2048
 FREQUENT = 50
 MAX_FREQUENT = 1_000_000
 BROADCAST_ROWS = 1_000_000
-_SLICE = 2_000_000
+_SLICE = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.array([0x8CB92BA72F3D8DD7, 0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8BB84B93962EACC9, 0x4B33A62ED433D4A3, 0x2545F4914F6CDD1D, 0xCA5A826395121157, 0x9FB21C651E98DF25], dtype=np.uint64)
 _SPACE = np.zeros(256, dtype=bool)
@@ -223,11 +224,11 @@ def _facts(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _frequent(rows: DataFrame, width: int, percent: int) -> np.ndarray:
-    """The shingles that more than FREQUENT documents have among twice their prefix, MAX_FREQUENT at most: sorted."""
+    """The shingles that more than FREQUENT documents have among half again their prefix, MAX_FREQUENT at most: sorted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [s[: 2 * prefix_length(len(s), percent)] for s in shingle_sets(batch["text"].tolist(), width) if len(s)]
+            parts = [s[: 3 * prefix_length(len(s), percent) // 2] for s in shingle_sets(batch["text"].tolist(), width) if len(s)]
             if parts:
                 token, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pd.DataFrame({"token": _long(token), "n": n})
@@ -264,6 +265,30 @@ def _prefix_tokens(rows: DataFrame, frequent: np.ndarray, width: int, percent: i
     return rows.mapInPandas(run, "token long, row long")
 
 
+def _not_alone(tokens: DataFrame) -> DataFrame:
+    """(token, row) of tokens that more than one row has: neighbours in a sort by token, read as a stream."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple[int, int, bool] | None = None  # the last row so far, and whether it met its like
+        for batch in batches:
+            if batch.empty:
+                continue
+            token, row = batch["token"].to_numpy(), batch["row"].to_numpy()
+            same = token[1:] == token[:-1]
+            met = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            if held is not None and held[0] == token[0]:
+                met[0] = True
+                held = (held[0], held[1], True)
+            if held is not None and held[2]:
+                yield pd.DataFrame({"token": [held[0]], "row": [held[1]]})
+            yield pd.DataFrame({"token": token[:-1][met[:-1]], "row": row[:-1][met[:-1]]})
+            held = (int(token[-1]), int(row[-1]), bool(met[-1]))
+        if held is not None and held[2]:
+            yield pd.DataFrame({"token": [held[0]], "row": [held[1]]})
+
+    return tokens.repartition("token").sortWithinPartitions("token").mapInPandas(run, "token long, row long")
+
+
 def _sets(rows: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -315,13 +340,15 @@ def _least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 def _asked(part: pd.DataFrame, percent: int, most: int = 1_000_000) -> Iterator[pd.DataFrame]:
     """part: whole runs of equal tokens, sorted by token and comp. (row, comp, least): who asks which group by a token."""
-    token, comp, row, n, size = (part[c].to_numpy(np.int64) for c in ("token", "comp", "row", "n", "size"))
+    token, comp, row, n, size, g1, g2 = (part[c].to_numpy(np.int64) for c in ("token", "comp", "row", "n", "size", "g1", "g2"))
     if not len(token):
         return
     new = np.concatenate([[True], (token[1:] != token[:-1]) | (comp[1:] != comp[:-1])])
     at = np.flatnonzero(new)  # an entry of the matrix for each token and group
     low, high = np.minimum.reduceat(n, at), np.maximum.reduceat(n, at)
     e_token, e_comp, e_size = token[at], comp[at], size[at]
+    # where all of an entry were in one block of step 2, what they link to in that block is known
+    e_g1, e_g2 = (np.where(np.minimum.reduceat(g, at) == np.maximum.reduceat(g, at), g[at], 0) for g in (g1, g2))
     first = np.searchsorted(e_token, token, side="left")
     count = np.searchsorted(e_token, token, side="right") - first
     ends = np.cumsum(count)
@@ -334,7 +361,8 @@ def _asked(part: pd.DataFrame, percent: int, most: int = 1_000_000) -> Iterator[
         lo = np.maximum(low[j], -(-(n[i] * percent) // 100))
         hi = np.minimum(high[j], n[i] * 100 // percent)
         larger = (e_size[j] > size[i]) | ((e_size[j] == size[i]) & (e_comp[j] > comp[i]))
-        ok = larger & (e_comp[j] != comp[i]) & (lo <= hi)
+        known = ((e_g1[j] != 0) & (e_g1[j] == g1[i])) | ((e_g2[j] != 0) & (e_g2[j] == g2[i]))
+        ok = larger & (e_comp[j] != comp[i]) & (lo <= hi) & ~known
         i, j, lo, hi = i[ok], j[ok], lo[ok], hi[ok]
         least = np.minimum(_least_overlap(n[i], lo, percent), _least_overlap(n[i], hi, percent))
         yield pd.DataFrame({"row": row[i], "comp": e_comp[j], "least": least})
@@ -342,7 +370,7 @@ def _asked(part: pd.DataFrame, percent: int, most: int = 1_000_000) -> Iterator[
 
 
 def _queries(shared: DataFrame, percent: int) -> DataFrame:
-    """shared: token, row, n, comp, size, of tokens in more than one group. Returns (row, comp): queries of the rows of
+    """shared: token, row, n, comp, size, g1, g2 (the blocks in which the row was compared). Returns (row, comp): queries of the rows of
     the smaller group against the larger one, where the query has as many prefix tokens in common with the group's
     union as a link to any member asks for."""
 
@@ -397,6 +425,7 @@ def _open(rows: DataFrame, percent: int) -> DataFrame:
 
 def classes_of(numbered: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
     """numbered: docs with `_row`. Returns row, n (size of its set), comp (the least row that links reach)."""
+    spark = numbered.sparkSession
     rows = numbered.select(F.col("_row").alias("row"), F.col(text_col).alias("text"))
     facts = materialize(_facts(rows, width), "jaccard-facts")
     filled = facts.where("n > 0")
@@ -407,23 +436,28 @@ def classes_of(numbered: DataFrame, text_col: str, width: int, percent: int) ->
     reps = classes.select(F.col("rep").alias("row"), "n")
     keyed = classes.select(F.col("rep").alias("row"), F.explode(F.array(F.struct(F.lit(1).alias("o"), F.col("k1").alias("k")), F.struct(F.lit(2).alias("o"), F.col("k2").alias("k")))).alias("key"))
     crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    grouped = materialize(keyed.join(crowded, "key").select("row", F.xxhash64("key", F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / BLOCK))).alias("group")), "jaccard-groups")
+    grouped = materialize(keyed.join(crowded, "key").select("row", "key.o", F.xxhash64("key", F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / BLOCK))).alias("group")), "jaccard-groups")
     frequent = _frequent(rows, width, percent)
-    tokens = _prefix_tokens(rows, frequent, width, percent).repartition("token")
-    common = tokens.groupBy("token").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a <> b").select("token")
-    tokens = materialize(tokens.join(common, "token").join(reps, "row"), "jaccard-tokens")
+    release(spark)
+    tokens = materialize(_not_alone(_prefix_tokens(rows, frequent, width, percent)), "jaccard-common")
+    tokens = materialize(tokens.join(reps, "row"), "jaccard-tokens")
+    release(spark)
     sets = materialize(_sets(_of_rows(rows, materialize(grouped.select("row").distinct(), "jaccard-rows-grouped")), width), "jaccard-sets", "uncompressed")
 
     first = materialize(_group_edges(grouped.join(sets, "row").select("group", "row", "tokens"), percent), "jaccard-edges")
     labels = components(first)
+    release(spark)
     named = materialize(reps.join(labels, reps["row"] == labels["node"], "left").select("row", "n", F.coalesce("label", "row").alias("comp")), "jaccard-named")
 
     # the token-group matrix, without tokens of one group; queries against groups
     several = named.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sized = named.join(several, "comp", "left").select("row", "comp", F.coalesce("size", F.lit(1)).alias("size"))
-    placed = tokens.join(sized, "row").select("token", "row", "n", "comp", "size").repartition("token")
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
-    queries = materialize(_queries(placed.join(mixed, "token"), percent), "jaccard-queries")
+    compared = grouped.groupBy("row").agg(*[F.max(F.when(F.col("o") == o, F.col("group"))).alias(f"g{o}") for o in (1, 2)])
+    compared = sized.join(compared, "row", "left").select("row", "comp", "size", *[F.coalesce(f"g{o}", F.lit(0)).alias(f"g{o}") for o in (1, 2)])
+    placed = materialize(tokens.join(compared, "row").select("token", "row", "n", "comp", "size", "g1", "g2"), "jaccard-placed")
+    release(spark)
+    queries = materialize(_queries(placed, percent), "jaccard-queries")
+    release(spark)
     asked = queries.select("comp").distinct().join(sized.select("comp", "size").distinct(), "comp")
     asked = materialize(asked.select("comp", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "jaccard-asked")
     members = named.join(asked, "comp").select("row", F.xxhash64("comp", F.pmod(F.xxhash64("row"), "blocks").cast("int")).alias("place"), F.lit(False).alias("asks"))
@@ -432,6 +466,7 @@ def classes_of(numbered: DataFrame, text_col: str, width: int, percent: int) ->
     sets = _sets(_of_rows(rows, materialize(opened.select("row").distinct(), "jaccard-rows-opened")), width)
     opened = opened.join(sets, "row").select("place", "asks", "row", "tokens")
     second = materialize(_open(opened, percent), "jaccard-links")
+    release(spark)
     name = named.select(F.col("row").alias("at"), F.col("comp").alias("c"))
     between = second.join(name, second["u"] == name["at"]).select("v", F.col("c").alias("cu")).join(name, F.col("v") == name["at"]).select(F.col("cu").alias("u"), F.col("c").alias("v"))
     merged = components(between)

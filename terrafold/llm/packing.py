@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrafold.llm.common import materialize, need, tokenizer_file
+from terrafold.llm.common import materialize, need, small_batches, tokenizer_file
 
 LENGTH = 1024
 END_ID = 2
@@ -81,6 +81,7 @@ def cut(n: int, length: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, vocabulary: str = VOCABULARY, with_ids: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids (little-endian unsigned 32 bits) or their ids_crc32, and part, rank: the
     task that made the piece and its rank there among the pieces of its length."""
+    small_batches(docs.sparkSession)
     source = need(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
 
@@ -100,7 +101,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
                     out.append((doc, k, a, n, data if with_ids else zlib.crc32(data), part, int(seen[n])))
                     seen[n] += 1
                     held += n
-                if held > 4_000_000:
+                if held > 1_000_000:
                     yield _frame(out, with_ids)
                     out, held = [], 0
             yield _frame(out, with_ids)

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from terrafold.llm.common import need, tokenizer_file
+from terrafold.llm.common import need, small_batches, tokenizer_file
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -319,6 +319,7 @@ def codec(path: str) -> PieceCodec:
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """One row for each row of docs: doc_id, n_tokens, ids (decimal, one space between, the end id last), decoded."""
+    small_batches(docs.sparkSession)
     source = need(docs, id_col, text_col).withColumnsRenamed({id_col: "doc_id", text_col: "text"})
     id_type = source.schema["doc_id"].dataType.simpleString()
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import labelled_sample, need
+from terrafold.llm.common import labelled_sample, need, small_batches
 
 FILTERS = 24
 WIDTH = 5
@@ -179,6 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> QualityMode
 
 def verdict(spark: SparkSession, model: QualityModel, text: Column, threshold: float = THRESHOLD) -> Column:
     """score and predicted (1 from the threshold on) of a text column, as one struct."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, predicted int")

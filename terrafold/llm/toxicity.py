@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import labelled_sample, materialize, need
+from terrafold.llm.common import labelled_sample, materialize, need, small_batches
 
 BASE = 0.01
 FIT_ROWS = 20_000
@@ -38,7 +38,7 @@ STEM_LENGTHS = range(4, 10)
 THRESHOLD = 0.3
 SURPRISE = 5.0
 STEM_PRECISION = 0.95
-_CACHE = 400_000
+_CACHE = 200_000
 
 _WORD = re.compile(r"[^\W_]+(?:['@$!|*+.\-_]+(?=[^\W_])[^\W_]+)*")
 _JOINER = re.compile(r"[.\-_*+]+")
@@ -247,7 +247,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             grams = {("w", w) for w in words if len(w) <= 40}
             grams |= {("s", w[:n]) for w in words for n in STEM_LENGTHS if len(w) > n}
             (toxic if label else clean).update(grams)
-        if len(toxic) + len(clean) > 3_000_000:
+        if len(toxic) + len(clean) > 1_000_000:
             yield _feature_rows(toxic, clean)
             toxic, clean = Counter(), Counter()
     yield _feature_rows(toxic, clean)
@@ -316,6 +316,7 @@ def _chosen(sample: DataFrame, marks: list, rate: float, max_terms: int) -> Toxi
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_terms: int = MAX_TERMS) -> ToxicityModel:
     """Learn from docs (doc_id, text) and labels (doc_id, toxic), at most `rows` labelled documents, those with the least hash of their id."""
+    small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, "toxic", rows, "toxicity-sample")
     n = sample.agg(F.sum(F.when(F.col("toxic") != 0, 1).otherwise(0)).alias("t"), F.count(F.lit(1)).alias("n")).first()
     n_toxic, n_all = int(n["t"] or 0), int(n["n"] or 0)
@@ -355,6 +356,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_terms: int
 
 def verdict(spark: SparkSession, model: ToxicityModel, text: Column, threshold: float = THRESHOLD) -> Column:
     """score and predicted (1 from the threshold on) of a text column, as one struct."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, predicted int")
