@@ -43,6 +43,7 @@ BLOCK = 2048
 FREQUENT = 50
 MAX_FREQUENT = 1_000_000
 BROADCAST_ROWS = 1_000_000
+LEADER_ROWS = 200_000
 _SLICE = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.array([0x8CB92BA72F3D8DD7, 0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8BB84B93962EACC9, 0x4B33A62ED433D4A3, 0x2545F4914F6CDD1D, 0xCA5A826395121157, 0x9FB21C651E98DF25], dtype=np.uint64)
@@ -266,27 +267,31 @@ def _prefix_tokens(rows: DataFrame, frequent: np.ndarray, width: int, percent: i
 
 
 def _not_alone(tokens: DataFrame) -> DataFrame:
-    """(token, row) of tokens that more than one row has: neighbours in a sort by token, read as a stream."""
+    """(token, row, leader) of tokens that more than one row has; leader is the least such row. Neighbours in a sort by
+    token and row, read as a stream."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple[int, int, bool] | None = None  # the last row so far, and whether it met its like
+        held: tuple[int, int, int, bool] | None = None  # the last row so far: token, row, leader, met its like
         for batch in batches:
             if batch.empty:
                 continue
             token, row = batch["token"].to_numpy(), batch["row"].to_numpy()
             same = token[1:] == token[:-1]
             met = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            new = np.flatnonzero(np.concatenate([[True], ~same]))
+            leader = np.repeat(row[new], np.diff(np.append(new, len(row))))
             if held is not None and held[0] == token[0]:
+                leader[token == token[0]] = held[2]
                 met[0] = True
-                held = (held[0], held[1], True)
-            if held is not None and held[2]:
-                yield pd.DataFrame({"token": [held[0]], "row": [held[1]]})
-            yield pd.DataFrame({"token": token[:-1][met[:-1]], "row": row[:-1][met[:-1]]})
-            held = (int(token[-1]), int(row[-1]), bool(met[-1]))
-        if held is not None and held[2]:
-            yield pd.DataFrame({"token": [held[0]], "row": [held[1]]})
+                held = (*held[:3], True)
+            if held is not None and held[3]:
+                yield pd.DataFrame({"token": [held[0]], "row": [held[1]], "leader": [held[2]]})
+            yield pd.DataFrame({"token": token[:-1][met[:-1]], "row": row[:-1][met[:-1]], "leader": leader[:-1][met[:-1]]})
+            held = (int(token[-1]), int(row[-1]), int(leader[-1]), bool(met[-1]))
+        if held is not None and held[3]:
+            yield pd.DataFrame({"token": [held[0]], "row": [held[1]], "leader": [held[2]]})
 
-    return tokens.repartition("token").sortWithinPartitions("token").mapInPandas(run, "token long, row long")
+    return tokens.repartition("token").sortWithinPartitions("token", "row").mapInPandas(run, "token long, row long, leader long")
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
@@ -338,11 +343,15 @@ def _least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return np.maximum(1, overlap + 1 - (percent * np.maximum(n, m) + 99) // 100)
 
 
-def _asked(part: pd.DataFrame, percent: int, most: int = 1_000_000) -> Iterator[pd.DataFrame]:
-    """part: whole runs of equal tokens, sorted by token and comp. (row, comp, least): who asks which group by a token."""
-    token, comp, row, n, size, g1, g2 = (part[c].to_numpy(np.int64) for c in ("token", "comp", "row", "n", "size", "g1", "g2"))
-    if not len(token):
+def _asked(part: pd.DataFrame, percent: int, most: int = 500_000) -> Iterator[pd.DataFrame]:
+    """part: all rows of some leaders. (row, comp): who asks which group.
+
+    A query's common tokens with a group are counted leader by leader. With so many leaders among its tokens, a count
+    that suffices for a link is, under one of them at least, that number divided by the leaders or more."""
+    if part.empty:
         return
+    part = part.sort_values(["token", "comp"], kind="stable", ignore_index=True)
+    token, comp, row, n, size, g1, g2, leader, leaders = (part[c].to_numpy(np.int64) for c in ("token", "comp", "row", "n", "size", "g1", "g2", "leader", "leaders"))
     new = np.concatenate([[True], (token[1:] != token[:-1]) | (comp[1:] != comp[:-1])])
     at = np.flatnonzero(new)  # an entry of the matrix for each token and group
     low, high = np.minimum.reduceat(n, at), np.maximum.reduceat(n, at)
@@ -351,37 +360,51 @@ def _asked(part: pd.DataFrame, percent: int, most: int = 1_000_000) -> Iterator[
     e_g1, e_g2 = (np.where(np.minimum.reduceat(g, at) == np.maximum.reduceat(g, at), g[at], 0) for g in (g1, g2))
     first = np.searchsorted(e_token, token, side="left")
     count = np.searchsorted(e_token, token, side="right") - first
-    ends = np.cumsum(count)
+    order = np.lexsort((row, leader))  # a query: one row under one leader
+    asking = np.cumsum(np.concatenate([[True], (row[order][1:] != row[order][:-1]) | (leader[order][1:] != leader[order][:-1])])) - 1
+    ends = np.cumsum(count[order])
+    names, e_name = np.unique(e_comp, return_inverse=True)
     a = 0
-    while a < len(token):
+    while a < len(order):
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
-        k = count[a:b]
-        i = np.repeat(np.arange(a, b), k)
+        b = int(np.searchsorted(asking, asking[min(b, len(order)) - 1], side="right"))  # whole queries
+        mine = order[a:b]
+        k = count[mine]
+        q = np.repeat(np.arange(b - a), k)
+        i = mine[q]
         j = np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k) + first[i]
         lo = np.maximum(low[j], -(-(n[i] * percent) // 100))
         hi = np.minimum(high[j], n[i] * 100 // percent)
         larger = (e_size[j] > size[i]) | ((e_size[j] == size[i]) & (e_comp[j] > comp[i]))
         known = ((e_g1[j] != 0) & (e_g1[j] == g1[i])) | ((e_g2[j] != 0) & (e_g2[j] == g2[i]))
-        ok = larger & (e_comp[j] != comp[i]) & (lo <= hi) & ~known
-        i, j, lo, hi = i[ok], j[ok], lo[ok], hi[ok]
-        least = np.minimum(_least_overlap(n[i], lo, percent), _least_overlap(n[i], hi, percent))
-        yield pd.DataFrame({"row": row[i], "comp": e_comp[j], "least": least})
+        ok = np.flatnonzero(larger & (e_comp[j] != comp[i]) & (lo <= hi) & ~known)
+        if len(ok):
+            i, j, lo, hi = i[ok], j[ok], lo[ok], hi[ok]
+            least = np.minimum(_least_overlap(n[i], lo, percent), _least_overlap(n[i], hi, percent))
+            pair = (asking[a:b][q[ok]] - asking[a]) * len(names) + e_name[j]
+            by_pair = np.argsort(pair, kind="stable")
+            heads = np.flatnonzero(np.concatenate([[True], np.diff(pair[by_pair]) != 0]))
+            met = np.diff(np.append(heads, len(pair)))
+            need_ = np.minimum.reduceat(least[by_pair], heads)
+            at_ = by_pair[heads]
+            fine = met * leaders[i[at_]] >= need_
+            yield pd.DataFrame({"row": row[i[at_[fine]]], "comp": e_comp[j[at_[fine]]]})
         a = b
 
 
 def _queries(shared: DataFrame, percent: int) -> DataFrame:
-    """shared: token, row, n, comp, size, g1, g2 (the blocks in which the row was compared). Returns (row, comp): queries of the rows of
-    the smaller group against the larger one, where the query has as many prefix tokens in common with the group's
-    union as a link to any member asks for."""
+    """shared: token, row, n, comp, size, g1, g2 (the blocks in which the row was compared), leader, leaders (how many
+    the row's tokens have). Returns (row, comp): queries of the rows of the smaller group against the larger one, where
+    the query has as many prefix tokens in common with the group's union as a link to any member asks for."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
         for batch in batches:
             if batch.empty:
                 continue
-            token = batch["token"].to_numpy()
-            cut = int(np.searchsorted(token, token[-1], side="left"))
-            if cut or (rest and rest[-1]["token"].iloc[-1] != token[0]):
+            key = batch["leader"].to_numpy()
+            cut = int(np.searchsorted(key, key[-1], side="left"))
+            if cut or (rest and rest[-1]["leader"].iloc[-1] != key[0]):
                 yield from _asked(pd.concat([*rest, batch.iloc[:cut]], ignore_index=True), percent)
                 rest = [batch.iloc[cut:]]
             else:
@@ -389,9 +412,7 @@ def _queries(shared: DataFrame, percent: int) -> DataFrame:
         if rest:
             yield from _asked(pd.concat(rest, ignore_index=True), percent)
 
-    asked = shared.repartition("token").sortWithinPartitions("token", "comp").mapInPandas(run, "row long, comp long, least long")
-    met = asked.groupBy("row", "comp").agg(F.count(F.lit(1)).alias("met"), F.min("least").alias("least"))
-    return met.where("met >= least").select("row", "comp")
+    return shared.repartition("leader").sortWithinPartitions("leader").mapInPandas(run, "row long, comp long").distinct()
 
 
 def _of_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -454,7 +475,12 @@ def classes_of(numbered: DataFrame, text_col: str, width: int, percent: int) ->
     sized = named.join(several, "comp", "left").select("row", "comp", F.coalesce("size", F.lit(1)).alias("size"))
     compared = grouped.groupBy("row").agg(*[F.max(F.when(F.col("o") == o, F.col("group"))).alias(f"g{o}") for o in (1, 2)])
     compared = sized.join(compared, "row", "left").select("row", "comp", "size", *[F.coalesce(f"g{o}", F.lit(0)).alias(f"g{o}") for o in (1, 2)])
-    placed = materialize(tokens.join(compared, "row").select("token", "row", "n", "comp", "size", "g1", "g2"), "jaccard-placed")
+    # a leader with very many rows is split into its tokens; there are few such leaders
+    large = tokens.groupBy("leader").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > LEADER_ROWS).select("leader", F.lit(True).alias("large"))
+    tokens = tokens.join(F.broadcast(large), "leader", "left").withColumn("leader", F.when(F.col("large"), F.col("token")).otherwise(F.col("leader"))).drop("large")
+    leaders = tokens.groupBy("row").agg(F.count_distinct("leader").alias("leaders"))
+    placed = tokens.join(compared.join(leaders, "row"), "row").select("token", "row", "n", "comp", "size", "g1", "g2", "leader", "leaders")
+    placed = materialize(placed, "jaccard-placed")
     release(spark)
     queries = materialize(_queries(placed, percent), "jaccard-queries")
     release(spark)
