@@ -6,7 +6,7 @@ automaton of the lexicon is the set of pairs (trie node, edits spent) that a wor
 made deterministic on demand, one table entry for each set and character. So a word costs one dictionary lookup a
 character and most words leave the automaton after a few.
 
-Each hit weighs as much as hits of its kind (exact word, stem, one edit, two edits) are right in the labelled rows.
+Each hit weighs as much as hits of its term and kind (exact, stem, one edit, two edits) are right in the labelled rows.
 Words of the labelled rows that are one or two edits from a term but occur in harmless texts are never misspellings.
 The window of `WINDOW` words around a hit tells quotation from abuse: quotation marks that enclose the hit, or a
 quoted line, lower its weight, more so with a verb of saying nearby. A text's score is the noisy-or of its hits.
@@ -34,9 +34,13 @@ BASE = 0.01
 FIT_ROWS = 20_000
 WINDOW = 6
 MAX_TERMS = 5_000
+MAX_HARMLESS = 100_000
+NEAR = {1: 0.8, 2: 0.6}
+PRIOR_ROWS = 4
 STEM_LENGTHS = range(4, 10)
 THRESHOLD = 0.3
-SURPRISE = 5.0
+SURPRISE = 3.0
+WORD_PRECISION = 0.9
 STEM_PRECISION = 0.95
 _CACHE = 200_000
 
@@ -167,12 +171,12 @@ def spellings(word: str) -> list[str]:
 
 @dataclass
 class ToxicityModel:
-    """words, stems: term to the share of labelled texts with it that are toxic. kinds: the same for 1 and 2 edits.
-    harmless: words near a term that occur in harmless texts. quoted: factors for hits in quotation, without and with a verb of saying."""
+    """words, stems: term to the share of labelled texts with it that are toxic. near: the same for words that are (term,
+    edits) away, where the labelled texts have such words. harmless: words near a term that occur in harmless texts. quoted: factors for hits in quotation, without and with a verb of saying."""
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
-    kinds: dict[int, float] = field(default_factory=lambda: {1: 0.8, 2: 0.6})
+    near: dict[tuple[str, int], float] = field(default_factory=dict)
     harmless: frozenset = frozenset()
     quoted: tuple[float, float] = (0.6, 0.25)
 
@@ -198,7 +202,7 @@ class Scorer:
                 continue
             term, edits = self.automaton.terms[hit[0]], hit[1]
             if edits:
-                w = 0.0 if form in self.model.harmless or word in self.model.harmless else self.model.kinds[edits]
+                w = 0.0 if form in self.model.harmless or word in self.model.harmless else self.model.near.get((term, edits), NEAR[edits])
             else:
                 w = max(self.model.words.get(form, 0.0), self.model.stems.get(term, 0.0), self.model.words.get(term, 0.0) if form != word else 0.0)
             best = max(best, w)
@@ -272,7 +276,7 @@ def _family(text: str) -> int:
     return min((zlib.crc32(w.encode()) for w in set(_WORD.findall(text.lower()))), default=0)
 
 
-def _chosen(sample: DataFrame, marks: list, rate: float, max_terms: int) -> ToxicityModel:
+def _chosen(sample: DataFrame, marks: list, rate: float, sure: float, max_terms: int) -> ToxicityModel:
     """Of the terms that mark toxic texts those that explain texts which no better term explains.
 
     Else every rare word of a toxic text that has copies would be a term. Copies of one text count once."""
@@ -306,9 +310,9 @@ def _chosen(sample: DataFrame, marks: list, rate: float, max_terms: int) -> Toxi
             explained |= gain
             r = marks[best]
             (words if r["kind"] == "w" else stems)[r["term"]] = (r["toxic"] + rate * 0.5) / (r["toxic"] + r["clean"] + 0.5)
-    for i, cover in covers.items():  # often, though always beside others
+    for i, cover in covers.items():  # sure by distinct texts alone, though always beside others
         r = marks[i]
-        if r["kind"] == "w" and len(words) < max_terms and words and len(cover) >= 10 * least:
+        if r["kind"] == "w" and len(words) < max_terms and _surprise(len(cover), r["clean"], rate) > sure:
             words[r["term"]] = (r["toxic"] + rate * 0.5) / (r["toxic"] + r["clean"] + 0.5)
     words = {w: p for w, p in words.items() if not any(w[:k] in stems for k in range(1, len(w) + 1))}
     return ToxicityModel(dict(sorted(words.items())), dict(sorted(stems.items())))
@@ -325,32 +329,32 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_terms: int
     parts = max(2, sample.sparkSession.sparkContext.defaultParallelism)
     found = sample.select("text", "toxic").repartition(parts).mapInPandas(_features, "kind string, term string, toxic long, clean long")
     found = materialize(found.groupBy("kind", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-terms")
-    found_all, found = found, found.where((F.col("toxic") >= 3) | ((F.col("kind") == "w") & (F.col("clean") >= 1) & (F.length("term") >= 4)))
+    found_all = found
     rate = n_toxic / n_all
-    n_features = max(2, found_all.count())
-    marks = found.where((F.col("toxic") >= 3) & (F.col("toxic") > 0.8 * (F.col("toxic") + F.col("clean"))))
+    n_features = max(2, found_all.where(F.col("toxic") + F.col("clean") >= 3).count())  # terms that could pass at all
+    marks = found_all.where((F.col("toxic") >= 3) & (F.col("toxic") > WORD_PRECISION * (F.col("toxic") + F.col("clean"))))
     marks = marks.orderBy(F.desc("toxic"), "kind", "term").limit(4 * max_terms).collect()
     marks = [r for r in marks if _surprise(r["toxic"], r["clean"], rate) > math.log(n_features) + SURPRISE]
     marks = [r for r in marks if r["kind"] == "w" or r["toxic"] >= STEM_PRECISION * (r["toxic"] + r["clean"])]
-    model = _chosen(sample, marks, rate, max_terms)
+    model = _chosen(sample, marks, rate, math.log(n_features) + SURPRISE, max_terms)
     if not model.words:
         return model
     automaton = LexiconAutomaton(list(model.words), list(model.stems))
 
     def near(batches):
         for batch in batches:
-            hits = [(h[1] if (h := automaton.match(t)) else 0) for t in batch["term"]]
-            batch = batch.assign(edits=hits)
+            hits = [automaton.match(t) or (0, 0) for t in batch["term"]]
+            batch = batch.assign(edits=[h[1] for h in hits], hit=[automaton.terms[h[0]] for h in hits])
             yield batch[batch["edits"] > 0]
 
-    nearby = found.where(F.col("kind") == "w").mapInPandas(near, "kind string, term string, toxic long, clean long, edits long")
-    rows_near = nearby.orderBy(F.desc("clean"), "term").limit(100_000).collect()
-    model.harmless = frozenset(r["term"] for r in rows_near if r["clean"] > r["toxic"])
-    for k in (1, 2):
-        good = sum(r["toxic"] for r in rows_near if r["edits"] == k and r["term"] not in model.harmless)
-        bad = sum(r["clean"] for r in rows_near if r["edits"] == k and r["term"] not in model.harmless)
-        prior = (0.8, 0.6)[k - 1]
-        model.kinds[k] = (good + 10 * prior) / (good + bad + 10)
+    nearby = found_all.where((F.col("kind") == "w") & (F.length("term") >= 4)).mapInPandas(near, "kind string, term string, toxic long, clean long, edits long, hit string")
+    nearby = materialize(nearby, "toxicity-near")
+    harmless = nearby.where(F.col("clean") > F.col("toxic")).orderBy(F.desc("clean"), "term").limit(MAX_HARMLESS).select("term").collect()
+    model.harmless = frozenset(r["term"] for r in harmless)
+    # words met once stand for words never met
+    once = nearby.where(F.col("toxic") + F.col("clean") == 1).groupBy("hit", "edits").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    for r in once.collect():  # terms times two
+        model.near[(r["hit"], r["edits"])] = (r["toxic"] + PRIOR_ROWS * NEAR[r["edits"]]) / (r["toxic"] + r["clean"] + PRIOR_ROWS)
     return model
 
 
