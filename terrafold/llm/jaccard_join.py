@@ -347,11 +347,12 @@ def _asked(part: pd.DataFrame, percent: int, most: int = 500_000) -> Iterator[pd
     """part: all rows of some leaders. (row, comp): who asks which group.
 
     A query's common tokens with a group are counted leader by leader. With so many leaders among its tokens, a count
-    that suffices for a link is, under one of them at least, that number divided by the leaders or more."""
+    that suffices for a link is, under one of them at least, that number divided by the leaders or more; and what the
+    count lacks must come from the query's tokens under other leaders."""
     if part.empty:
         return
     part = part.sort_values(["token", "comp"], kind="stable", ignore_index=True)
-    token, comp, row, n, size, g1, g2, leader, leaders = (part[c].to_numpy(np.int64) for c in ("token", "comp", "row", "n", "size", "g1", "g2", "leader", "leaders"))
+    token, comp, row, n, size, g1, g2, leader, leaders, total = (part[c].to_numpy(np.int64) for c in ("token", "comp", "row", "n", "size", "g1", "g2", "leader", "leaders", "total"))
     new = np.concatenate([[True], (token[1:] != token[:-1]) | (comp[1:] != comp[:-1])])
     at = np.flatnonzero(new)  # an entry of the matrix for each token and group
     low, high = np.minimum.reduceat(n, at), np.maximum.reduceat(n, at)
@@ -387,7 +388,8 @@ def _asked(part: pd.DataFrame, percent: int, most: int = 500_000) -> Iterator[pd
             met = np.diff(np.append(heads, len(pair)))
             need_ = np.minimum.reduceat(least[by_pair], heads)
             at_ = by_pair[heads]
-            fine = met * leaders[i[at_]] >= need_
+            own = np.bincount(asking[a:b] - asking[a])[asking[a:b][q[ok]][at_] - asking[a]]  # the query's tokens here
+            fine = (met * leaders[i[at_]] >= need_) & (met + total[i[at_]] - own >= need_)
             yield pd.DataFrame({"row": row[i[at_[fine]]], "comp": e_comp[j[at_[fine]]]})
         a = b
 
@@ -417,7 +419,12 @@ def _queries(shared: DataFrame, percent: int) -> DataFrame:
 
 def _of_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows whose number is wanted; the list is broadcast up to BROADCAST_ROWS numbers."""
-    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "row", "left_semi")
+    return rows.join(_small(wanted), "row", "left_semi")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast while it has BROADCAST_ROWS rows at most."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def _open(rows: DataFrame, percent: int) -> DataFrame:
@@ -461,11 +468,11 @@ def classes_of(numbered: DataFrame, text_col: str, width: int, percent: int) ->
     frequent = _frequent(rows, width, percent)
     release(spark)
     tokens = materialize(_not_alone(_prefix_tokens(rows, frequent, width, percent)), "jaccard-common")
-    tokens = materialize(tokens.join(reps, "row"), "jaccard-tokens")
+    tokens = materialize(tokens.join(_small(reps), "row"), "jaccard-tokens")
     release(spark)
     sets = materialize(_sets(_of_rows(rows, materialize(grouped.select("row").distinct(), "jaccard-rows-grouped")), width), "jaccard-sets", "uncompressed")
 
-    first = materialize(_group_edges(grouped.join(sets, "row").select("group", "row", "tokens"), percent), "jaccard-edges")
+    first = materialize(_group_edges(_small(grouped).join(sets, "row").select("group", "row", "tokens"), percent), "jaccard-edges")
     labels = components(first)
     release(spark)
     named = materialize(reps.join(labels, reps["row"] == labels["node"], "left").select("row", "n", F.coalesce("label", "row").alias("comp")), "jaccard-named")
@@ -478,8 +485,9 @@ def classes_of(numbered: DataFrame, text_col: str, width: int, percent: int) ->
     # a leader with very many rows is split into its tokens; there are few such leaders
     large = tokens.groupBy("leader").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > LEADER_ROWS).select("leader", F.lit(True).alias("large"))
     tokens = tokens.join(F.broadcast(large), "leader", "left").withColumn("leader", F.when(F.col("large"), F.col("token")).otherwise(F.col("leader"))).drop("large")
-    leaders = tokens.groupBy("row").agg(F.count_distinct("leader").alias("leaders"))
-    placed = tokens.join(compared.join(leaders, "row"), "row").select("token", "row", "n", "comp", "size", "g1", "g2", "leader", "leaders")
+    leaders = tokens.groupBy("row").agg(F.count_distinct("leader").alias("leaders"), F.count(F.lit(1)).alias("total"))
+    about = materialize(compared.join(leaders, "row"), "jaccard-about")
+    placed = tokens.join(_small(about), "row").select("token", "row", "n", "comp", "size", "g1", "g2", "leader", "leaders", "total")
     placed = materialize(placed, "jaccard-placed")
     release(spark)
     queries = materialize(_queries(placed, percent), "jaccard-queries")
@@ -487,10 +495,13 @@ def classes_of(numbered: DataFrame, text_col: str, width: int, percent: int) ->
     asked = queries.select("comp").distinct().join(sized.select("comp", "size").distinct(), "comp")
     asked = materialize(asked.select("comp", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "jaccard-asked")
     members = named.join(asked, "comp").select("row", F.xxhash64("comp", F.pmod(F.xxhash64("row"), "blocks").cast("int")).alias("place"), F.lit(False).alias("asks"))
-    asking = queries.join(asked, "comp").select("row", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.xxhash64("comp", F.pmod(b.cast("long"), "blocks").cast("int")))).alias("place"), F.lit(True).alias("asks"))
+    asking = queries.join(asked, "comp")
+    several_blocks = asking.where("blocks > 1").select("row", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    asking = asking.where("blocks = 1").select("row", "comp", F.lit(0).alias("block")).unionByName(several_blocks)
+    asking = asking.select("row", F.xxhash64("comp", "block").alias("place"), F.lit(True).alias("asks"))
     opened = materialize(members.unionByName(asking), "jaccard-opened")
     sets = _sets(_of_rows(rows, materialize(opened.select("row").distinct(), "jaccard-rows-opened")), width)
-    opened = opened.join(sets, "row").select("place", "asks", "row", "tokens")
+    opened = _small(opened).join(sets, "row").select("place", "asks", "row", "tokens")
     second = materialize(_open(opened, percent), "jaccard-links")
     release(spark)
     name = named.select(F.col("row").alias("at"), F.col("comp").alias("c"))
