@@ -343,6 +343,17 @@ def _least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return np.maximum(1, overlap + 1 - (percent * np.maximum(n, m) + 99) // 100)
 
 
+def _least_of_sizes(n: np.ndarray, lo: np.ndarray, hi: np.ndarray, percent: int) -> np.ndarray:
+    """The minimum of _least_overlap over all sizes from lo to hi.
+
+    Up to n it grows with the size. Beyond n it falls, but for rounding: a size so many steps below hi that the fall is 1
+    without rounding cannot have less than hi has."""
+    least = _least_overlap(n, lo, percent)
+    for k in range(-(-100 * (100 + percent) // percent**2)):
+        least = np.minimum(least, _least_overlap(n, np.maximum(lo, hi - k), percent))
+    return least
+
+
 def _asked(part: pd.DataFrame, percent: int, most: int = 500_000) -> Iterator[pd.DataFrame]:
     """part: all rows of some leaders. (row, comp): who asks which group.
 
@@ -381,7 +392,7 @@ def _asked(part: pd.DataFrame, percent: int, most: int = 500_000) -> Iterator[pd
         ok = np.flatnonzero(larger & (e_comp[j] != comp[i]) & (lo <= hi) & ~known)
         if len(ok):
             i, j, lo, hi = i[ok], j[ok], lo[ok], hi[ok]
-            least = np.minimum(_least_overlap(n[i], lo, percent), _least_overlap(n[i], hi, percent))
+            least = _least_of_sizes(n[i], lo, hi, percent)
             pair = (asking[a:b][q[ok]] - asking[a]) * len(names) + e_name[j]
             by_pair = np.argsort(pair, kind="stable")
             heads = np.flatnonzero(np.concatenate([[True], np.diff(pair[by_pair]) != 0]))
