@@ -1,10 +1,24 @@
 """Cases that text operators once lost, each against a plain version of the same decision."""
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
 
-from terrafold.llm import jaccard_join
+from terrafold.llm import jaccard_join, language_id
+from tests.llm.test_operators import table
+
+# 1 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_no_count_of_a_rare_language_is_left_out(spark):
+    texts = ["the quick brown fox " * 5, "der schnelle braune fuchs " * 5, "zwyx", "12 34 ..."]
+    model = language_id.fit(table(spark, texts, lang=["en", "de", "rare", "letterless"]))
+    assert model.langs == ["de", "en", "rare"]
+    got = language_id.identify(table(spark, ["zwyx", "fox", "fuchs"]), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got] == ["rare", "en", "de"]
+
 
 # 7 ------------------------------------------------------------------------------------------------------------------
 
