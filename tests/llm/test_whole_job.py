@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from terrafold.llm import jaccard_join, language_id
+from terrafold.llm import jaccard_join, language_id, quality_rules
 from tests.llm.test_operators import table
 
 # 1 ------------------------------------------------------------------------------------------------------------------
@@ -43,3 +43,25 @@ def test_query_between_sizes_is_asked():
     part = pd.DataFrame([(t, r, n[r], min(r, 2), 1 if r == q else 3, 0, 0, q, 1, 1 if r == q else 3) for t, r in rows], columns=["token", "row", "n", "comp", "size", "g1", "g2", "leader", "leaders", "total"])
     got = pd.concat(jaccard_join._asked(part, 85))
     assert (q, 2) in set(zip(got["row"], got["comp"]))
+
+
+# 9 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_repeats_alone_are_rejected(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    clean = ["\n".join(line(rng.randrange(3, 12)) for _ in range(rng.randrange(10, 40))) for _ in range(300)]
+    bad = []
+    for share in range(21, 30):  # a passage that stands twice
+        passage = [word() for _ in range(share)]
+        bad.append(" ".join([*passage, *[word() for _ in range(200 - 2 * share)], *passage]))
+    for n in range(3, 9):  # lines that stand in the text again and again, never after the same one
+        pool = [line(n) for _ in range(12)]
+        order = [x for step in (1, 5, 7, 11) for x in (k * step % 12 for k in range(12))]
+        bad.append("\n".join(pool[k] for k in order))
+    got = {r["doc_id"]: r for r in quality_rules.judge(table(spark, clean + bad, lang="en", source="s")).collect()}
+    assert all(got[i]["kept"] for i in range(300))
+    assert [i - 300 for i in range(300, len(got)) if got[i]["kept"]] == []
+    assert sum(not got[i]["base_failed"] for i in range(300, len(got))) >= 11
