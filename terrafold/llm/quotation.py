@@ -3,14 +3,16 @@
 Lines that begin with quote marks (`>`, nested by repetition) are parsed into levels; runs of lines of one level are a
 passage. A passage is normalised (marks off, lower case, white space collapsed) and hashed, as a whole and line by
 line, and joined by hash to the bodies, paragraphs and lines of the earlier messages of its conversation; the source
-is the message that holds most of the passage's characters, the latest of equals. Passages without a source there are
-joined by the hash of the whole passage to the first message of any conversation with that body. A message replies to
+is the latest message that holds the whole passage, else the one that holds most of its lines' characters, the latest
+of equals. Passages without a source there are joined by the hash of the whole passage to the first message of any
+other conversation with that body. A message replies to
 the source of its outermost passages. Following replies to their first message gives threads; a conversation is
 ordered by thread, then by turn, so that each message comes after what it answers. Quoted lines, and the attribution
 line before them, are left out of the body.
 
-Skew: joins go by (conversation, hash) or by hash alone against one row per hash, so common lines and turns do not
-multiply; positions come from a range partitioning and per-partition offsets, so a conversation that holds a third of
+Skew: whole passages, and the most common line of each other passage, meet the latest message with that hash alone, so
+a common line does not multiply; a passage's other lines meet every message with them. Far links join by hash against
+one row per hash; positions come from a range partitioning and per-partition offsets, so a conversation that holds a third of
 all messages is ordered in many tasks. Threads are followed by pointer doubling (rounds: logarithm of the depth).
 
 Defined results: null text has a null body and no quotes; a body of quotes alone is empty; messages that repeat a
@@ -30,6 +32,7 @@ MARKS = r"^(?:[ \t]*>)+[ \t]?"
 # How lines end that say who is quoted, in the languages at hand.
 ATTRIBUTION = r"(?i)(?:wrote|said|schrieb|sagte|a écrit|escribió|dijo)\s*:\s*$"
 LEAST_LINE = 12
+SPAN = 1_000
 
 
 def normalized(text: Column) -> Column:
@@ -75,29 +78,71 @@ def passages(parsed: DataFrame) -> DataFrame:
 
 
 def _units(parsed: DataFrame) -> DataFrame:
-    """What passages can quote: hashes of bodies, paragraphs and lines, each with the first message of the conversation that has it."""
+    """What passages can quote: hashes of bodies, paragraphs and lines, with every message that has them."""
     parts = F.concat(F.array(F.col("body")), F.split("body", r"\n\s*\n"), F.split("body", "\n"))
     units = parsed.where(F.length("body") > 0).select("conv_id", "turn", F.explode(F.array_distinct(F.transform(parts, normalized))).alias("unit"))
-    hashed = units.where(F.length("unit") > 0).select("conv_id", "turn", F.xxhash64("unit").alias("hash"))
-    return hashed.groupBy("conv_id", "hash").agg(F.min("turn").alias("source_turn"))
+    return units.where(F.length("unit") > 0).select("conv_id", "turn", F.xxhash64("unit").alias("hash"))
+
+
+def _latest(units: DataFrame, asks: DataFrame) -> DataFrame:
+    """For each (conv_id, hash, turn) of asks the latest earlier turn with that hash, as source_turn, where there is one.
+
+    Turns go by spans of SPAN: one window inside a span, one over the spans, so that no task holds all of a common line."""
+    asks = asks.select("conv_id", "hash", "turn").distinct()
+    both = units.select("conv_id", "hash", "turn", F.col("turn").alias("has"), F.lit(False).alias("asks"))
+    both = both.unionByName(asks.withColumn("has", F.lit(None).cast(units.schema["turn"].dataType)).withColumn("asks", F.lit(True)))
+    both = both.withColumn("span", F.floor(F.col("turn") / SPAN))
+    earlier = Window.partitionBy("conv_id", "hash", "span").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    inside = both.withColumn("near", F.max("has").over(earlier)).where("asks").select("conv_id", "hash", "turn", "span", "near")
+    spans = both.groupBy("conv_id", "hash", "span").agg(F.max("has").alias("has"))
+    before = Window.partitionBy("conv_id", "hash").orderBy("span").rangeBetween(Window.unboundedPreceding, -1)
+    far = spans.withColumn("far", F.max("has").over(before)).select("conv_id", "hash", "span", "far")
+    found = inside.join(far, ["conv_id", "hash", "span"]).select("conv_id", "hash", "turn", F.coalesce("near", "far").alias("source_turn"))
+    return found.where(F.col("source_turn").isNotNull())
+
+
+def _by_lines(rest: DataFrame, units: DataFrame) -> DataFrame:
+    """conv_id, turn, passage, source_turn: the earlier message that holds most characters of a passage's lines.
+
+    A passage's most common line proposes only the latest message with it: of those that hold no other line, that is the
+    best. All with another line are proposed, and all that are proposed are credited with the common line if they have it."""
+    place = ["conv_id", "turn", "passage"]
+    by_line = F.array_distinct(F.transform(F.filter("lines", lambda x: F.length(x) >= LEAST_LINE), lambda x: F.struct(F.xxhash64(x).alias("hash"), F.length(x).cast("long").alias("chars"))))
+    keys = rest.select(*place, F.explode(by_line).alias("key")).select(*place, "key.hash", "key.chars")
+    keys = keys.join(units.groupBy("conv_id", "hash").agg(F.count(F.lit(1)).alias("n")), ["conv_id", "hash"])
+    common = keys.groupBy(*place).agg(F.max(F.struct("n", "hash", "chars")).alias("common")).select(*place, F.col("common.hash").alias("common"), F.col("common.chars").alias("common_chars"))
+    common = materialize(common, "quote-common")
+    has = units.select("conv_id", "hash", F.col("turn").alias("source_turn"))
+    others = keys.join(common, place).where(F.col("hash") != F.col("common")).join(has, ["conv_id", "hash"]).where(F.col("source_turn") < F.col("turn"))
+    asks = common.select(*place, F.col("common").alias("hash"))
+    last = asks.join(_latest(units, asks), ["conv_id", "hash", "turn"]).select(*place, "source_turn", F.lit(0).cast("long").alias("chars"))
+    scored = others.select(*place, "source_turn", "chars").unionByName(last).groupBy(*place, "source_turn").agg(F.sum("chars").alias("chars")).join(common, place)
+    held = has.select("conv_id", F.col("hash").alias("common"), "source_turn", F.lit(True).alias("held"))
+    scored = scored.join(held, ["conv_id", "common", "source_turn"], "left").withColumn("chars", F.col("chars") + F.when(F.col("held"), F.col("common_chars")).otherwise(0))
+    return scored.groupBy(*place).agg(F.max(F.struct("chars", "source_turn")).alias("best")).select(*place, F.col("best.source_turn").alias("source_turn"))
 
 
 def link(parsed: DataFrame, found: DataFrame) -> DataFrame:
     """found: passages. Returns conv_id, turn, passage, level, source_conv, source_turn; null where no source is known."""
-    whole = F.array(F.struct(F.xxhash64("text").alias("hash"), (F.length("text") + 1).alias("chars")))
-    by_line = F.transform(F.filter("lines", lambda x: F.length(x) >= LEAST_LINE), lambda x: F.struct(F.xxhash64(x).alias("hash"), F.length(x).alias("chars")))
-    keys = found.select("conv_id", "turn", "passage", "level", F.explode(F.array_distinct(F.concat(whole, by_line))).alias("key")).select("conv_id", "turn", "passage", "level", "key.hash", "key.chars")
-    asked = found.select("conv_id").distinct()
-    units = _units(parsed.join(asked, "conv_id", "left_semi"))
-    inside = keys.join(units, ["conv_id", "hash"]).where(F.col("source_turn") < F.col("turn"))
-    scored = inside.groupBy("conv_id", "turn", "passage", "source_turn").agg(F.sum("chars").alias("chars"))
-    best = scored.groupBy("conv_id", "turn", "passage").agg(F.max(F.struct("chars", "source_turn")).alias("best"))
-    linked = found.join(best, ["conv_id", "turn", "passage"], "left").select("conv_id", "turn", "passage", "level", F.xxhash64("text").alias("hash"), F.col("best.source_turn").alias("source_turn"))
+    place = ["conv_id", "turn", "passage"]
+    hashed = found.select(*place, "level", "lines", F.xxhash64("text").alias("hash"))
+    asked = hashed.select("conv_id", F.explode(F.concat(F.array("hash"), F.transform("lines", lambda x: F.xxhash64(x)))).alias("hash")).distinct()
+    units = materialize(_units(parsed).join(asked, ["conv_id", "hash"], "left_semi").distinct(), "quote-units")
+    # a message with the whole passage holds all its characters
+    whole = materialize(hashed.join(_latest(units, hashed), ["conv_id", "hash", "turn"], "left"), "quote-whole")
+    lines = _by_lines(whole.where("source_turn is null"), units).withColumnRenamed("source_turn", "by_lines")
+    linked = whole.join(lines, place, "left").select(*place, "level", "hash", F.coalesce("source_turn", "by_lines").alias("source_turn"))
+    linked = materialize(linked, "quote-linked")
     open_ = linked.where("source_turn is null").select("hash").distinct()
     bodies = parsed.where(F.length("body") > 0).select("conv_id", "turn", F.xxhash64(normalized(F.col("body"))).alias("hash")).join(open_, "hash", "left_semi")
-    first = bodies.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    out = linked.join(first, "hash", "left")
-    outside = F.col("first.conv_id") != F.col("conv_id")
+    # the first body of each of the two first conversations: one of them is not the passage's own
+    each = bodies.groupBy("hash", "conv_id").agg(F.min("turn").alias("turn"))
+    each = materialize(each, "quote-bodies")
+    first = each.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("one"))
+    second = each.join(first, "hash").where(F.col("conv_id") != F.col("one.conv_id")).groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("two"))
+    first = first.join(second, "hash", "left")
+    out = linked.join(first, "hash", "left").withColumn("first", F.when(F.col("one.conv_id") != F.col("conv_id"), F.col("one")).otherwise(F.col("two")))
+    outside = F.col("first").isNotNull()
     return out.select(
         "conv_id", "turn", "passage", "level",
         F.when(F.col("source_turn").isNotNull(), F.col("conv_id")).when(outside, F.col("first.conv_id")).alias("source_conv"),

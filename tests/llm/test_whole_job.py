@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from terrafold.llm import jaccard_join, language_id, quality_rules
+from terrafold.llm import jaccard_join, language_id, quality_rules, quotation
 from tests.llm.test_operators import table
 
 # 1 ------------------------------------------------------------------------------------------------------------------
@@ -20,6 +20,22 @@ def test_no_count_of_a_rare_language_is_left_out(spark):
     assert [r["lang_pred"] for r in got] == ["rare", "en", "de"]
 
 
+# 3 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_quotes_link_to_the_latest_message_that_holds_most(spark, monkeypatch):
+    monkeypatch.setattr(quotation, "SPAN", 4)
+    long, short = "this is the longer line of the two", "and a shorter one"
+    rows = [
+        (1, 3, "a body that is said twice"), (1, 9, "a body that is said twice"), (1, 10, "> a body that is said twice\nyes"),
+        (2, 0, f"{long}\nsomething else"), (2, 5, f"before\n{long}\n{short}\nafter"), (2, 6, f"{long}\nmore"), (2, 7, f"{short}\nless"), (2, 8, f"> {long}\n> {short}\nso"),
+        (3, 1, "> a late body of its own\nhm"), (3, 9, "a late body of its own"), (4, 2, "a late body of its own"), (5, 0, "a late body of its own"),
+    ]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["reply_to_conv"], r["reply_to_turn"]) for r in quotation.format_conversations(df).collect()}
+    assert (got[1, 10], got[2, 8], got[3, 1]) == ((1, 9), (2, 5), (4, 2))
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
