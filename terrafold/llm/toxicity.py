@@ -24,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,9 @@ THRESHOLD = 0.3
 SURPRISE = 3.0
 WORD_PRECISION = 0.9
 STEM_PRECISION = 0.95
+SKETCH = 256
+BANDS = 12
+COPY = 0.8
 _CACHE = 200_000
 
 _WORD = re.compile(r"[^\W_]+(?:['@$!|*+.\-_]+(?=[^\W_])[^\W_]+)*")
@@ -271,9 +275,34 @@ def _surprise(toxic: int, clean: int, rate: float) -> float:
     return n * (p * math.log(p / rate) + ((1 - p) * math.log((1 - p) / (1 - rate)) if p < 1 else 0.0))
 
 
-def _family(text: str) -> int:
-    """The same number for most near copies: the least hash of the text's words."""
-    return min((zlib.crc32(w.encode()) for w in set(_WORD.findall(text.lower()))), default=0)
+def _sketch(text: str) -> np.ndarray:
+    """The SKETCH least hashes of a text's words, in order."""
+    hashes = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in set(_WORD.findall(text.lower()))], dtype=np.uint32)
+    return np.unique(hashes * np.uint32(0x9E3779B1))[:SKETCH]
+
+
+def _near_copies(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the word sets of two sketches have a Jaccard similarity of COPY or more; of small sets it is exact."""
+    union = np.union1d(a, b)[:SKETCH]
+    return np.isin(union, a[np.isin(a, b)]).sum() >= COPY * len(union)
+
+
+def _families(sketches: list[np.ndarray]) -> list[int]:
+    """For each text the place of the first near copy of it that is near to none before, whatever the order of the rest.
+
+    Texts meet by bands of two least hashes under different orders; each meeting is checked."""
+    steps = np.random.default_rng(0).integers(0, 1 << 31, 2 * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    leaders: dict[tuple, list[int]] = {}
+    out = []
+    for i, s in enumerate(sketches):
+        least = (s[None, :] * steps[:, None]).min(axis=1).tolist() if len(s) else [0] * (2 * BANDS)
+        bands = [(k, least[2 * k], least[2 * k + 1]) for k in range(BANDS)]
+        met = sorted({j for band in bands for j in leaders.get(band, ())})
+        out.append(next((j for j in met if _near_copies(s, sketches[j])), i))
+        if out[-1] == i:
+            for band in bands:
+                leaders.setdefault(band, []).append(i)
+    return out
 
 
 def _chosen(sample: DataFrame, marks: list, rate: float, sure: float, max_terms: int) -> ToxicityModel:
@@ -292,14 +321,16 @@ def _chosen(sample: DataFrame, marks: list, rate: float, sure: float, max_terms:
                 got = {by_term[("w", w)] for w in words if ("w", w) in by_term}
                 got |= {by_term[("s", w[:n])] for w in words for n in lengths if len(w) > n and ("s", w[:n]) in by_term}
                 out.append(sorted(got))
-            yield pd.DataFrame({"family": [_family(t) for t in batch["text"]], "hits": out})
+            yield pd.DataFrame({"sketch": [_sketch(t).astype(">u4").tobytes() for t in batch["text"]], "hits": out})
 
-    toxic = sample.where(F.col("toxic") != 0).select("text").mapInPandas(hits, "family long, hits array<int>").dropDuplicates(["family"]).collect()
+    # at most FIT_ROWS sketches of SKETCH hashes; a family has the terms of all its texts
+    toxic = sorted((bytes(r["sketch"]), r["hits"]) for r in sample.where(F.col("toxic") != 0).select("text").mapInPandas(hits, "sketch binary, hits array<int>").collect())
+    families = _families([np.frombuffer(s, ">u4").astype(np.uint32) for s, _ in toxic])
     covers: dict[int, set[int]] = {}
-    for r in toxic:
-        for i in r["hits"]:
-            covers.setdefault(i, set()).add(r["family"])
-    least = max(3, math.ceil(0.002 * len(toxic)))
+    for family, (_, got) in zip(families, toxic):
+        for i in got:
+            covers.setdefault(i, set()).add(family)
+    least = max(3, math.ceil(0.002 * len(set(families))))
     words, stems, left = {}, {}, True
     explained: set[int] = set()
     while covers and left and len(words) + len(stems) < max_terms:

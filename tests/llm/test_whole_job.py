@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from terrafold.llm import jaccard_join, language_id, quality_rules, quotation
+from terrafold.llm import jaccard_join, language_id, quality_rules, quotation, toxicity
 from tests.llm.test_operators import table
 
 # 1 ------------------------------------------------------------------------------------------------------------------
@@ -20,6 +20,19 @@ def test_no_count_of_a_rare_language_is_left_out(spark):
     assert [r["lang_pred"] for r in got] == ["rare", "en", "de"]
 
 
+# 2 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_texts_that_share_a_word_are_not_near_copies(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    texts = [[*[word() for _ in range(60)], "the", "anly"] for _ in range(40)]
+    copies = [[*t[:-3], word(), *t[-2:]] for t in texts[:5]]  # one word of 62 is another
+    sketches = [toxicity._sketch(" ".join(t)) for t in texts + copies]
+    family = toxicity._families(sketches)
+    assert len(set(family[:40])) == 40 and family[40:] == family[:5]
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------
 
 
