@@ -345,7 +345,6 @@ def _chosen(sample: DataFrame, marks: list, rate: float, sure: float, max_terms:
         r = marks[i]
         if r["kind"] == "w" and len(words) < max_terms and _surprise(len(cover), r["clean"], rate) > sure:
             words[r["term"]] = (r["toxic"] + rate * 0.5) / (r["toxic"] + r["clean"] + 0.5)
-    words = {w: p for w, p in words.items() if not any(w[:k] in stems for k in range(1, len(w) + 1))}
     return ToxicityModel(dict(sorted(words.items())), dict(sorted(stems.items())))
 
 
@@ -368,6 +367,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_terms: int
     marks = [r for r in marks if _surprise(r["toxic"], r["clean"], rate) > math.log(n_features) + SURPRISE]
     marks = [r for r in marks if r["kind"] == "w" or r["toxic"] >= STEM_PRECISION * (r["toxic"] + r["clean"])]
     model = _chosen(sample, marks, rate, math.log(n_features) + SURPRISE, max_terms)
+    if model.stems:  # the words of a stem stand beside it, for their misspellings
+        begins = F.coalesce(*[F.when(F.substring("term", 1, n).isin([s for s in model.stems if len(s) == n]), F.substring("term", 1, n)) for n in STEM_LENGTHS])
+        of_stem = found_all.where((F.col("kind") == "w") & (F.col("toxic") > WORD_PRECISION * (F.col("toxic") + F.col("clean")))).select("term", begins.alias("stem")).where("stem is not null")
+        for r in of_stem.collect():
+            model.words[r["term"]] = max(model.words.get(r["term"], 0.0), model.stems[r["stem"]])
+        model.words = dict(sorted(model.words.items()))
     if not model.words:
         return model
     automaton = LexiconAutomaton(list(model.words), list(model.stems))

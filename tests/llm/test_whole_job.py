@@ -33,6 +33,19 @@ def test_texts_that_share_a_word_are_not_near_copies(spark):
     assert len(set(family[:40])) == 40 and family[40:] == family[:5]
 
 
+def test_misspelled_words_of_a_stem_are_caught(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    ends = ["oi", "on", "ou"]
+    texts = [" ".join([*[word() for _ in range(30)], *(["zugrew" + ends[k % 3]] if k % 5 == 0 else [])]) for k in range(400)]
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(400)], "doc_id long, toxic int")
+    model = toxicity.fit(table(spark, texts), labels)
+    assert model.stems
+    scorer = model.scorer()
+    assert all(scorer.score(f"well {w} then") > 0.5 for w in ("zugrewoi", "zugrewon", "zugrewus"))
+    assert all(scorer.score(f"well {w} then") > 0.3 for w in ("zukrewoi", "zugewon", "zzugrewou"))
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------
 
 
