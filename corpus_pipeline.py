@@ -52,7 +52,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack),
 ]
 
-#: Learned models and packing have no SQL form; tests hold the stages against brute-force versions.
+#: Learned models and packing have no SQL form. Tests hold exact and near copies against brute-force versions; the stages
+#: of languages, toxicity and packing only by counts, sums and ids.
 ORACLE_SQL: str | None = None
 
 
