@@ -1,9 +1,11 @@
-"""Helpers the text operators share: cutting lineage, typed inputs, sorted group iteration."""
+"""Helpers the text operators share: written tables that cut lineage, free column names, samples, sorted group iteration."""
 
 from __future__ import annotations
 
-import gc
+import atexit
 import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,15 +16,22 @@ from pyspark.sql import functions as F
 
 #: Characters that count as white space wherever a contract speaks of words.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_OWN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of this process in
+    local mode, which goes when the process ends; an error on a cluster, whose machines share no local folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="terrafold-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return f"file://{_OWN[0]}"
 
 
 def table_path(spark: SparkSession, name: str) -> str:
@@ -30,25 +39,38 @@ def table_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage is cut, columns stay prunable."""
+    """Write df as Parquet into the shared folder and read it back: lineage is cut, columns stay prunable.
+
+    The write's own shuffle files go when it ends. The table goes with discard(), else when the driver ends."""
     spark = df.sparkSession
     path = table_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished steps now: it does so when its driver collects garbage, which a
-    driver with little to do may put off for half an hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Python workers get texts in batches of so many rows at most, so that what they hold stays small beside the heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() wrote and nothing reads any more."""
+    for t in tables:
+        spark, path = t.sparkSession, t._written
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like this one that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def need(df: DataFrame, *names: str) -> DataFrame:
@@ -59,12 +81,13 @@ def need(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names)
 
 
-def with_row(docs: DataFrame, id_col: str, name: str) -> tuple[DataFrame, bool]:
-    """docs with a long column `_row` that tells rows apart: the id where it does, else numbers in a written table."""
+def with_row(docs: DataFrame, id_col: str, name: str) -> tuple[DataFrame, str, bool]:
+    """docs with a long column that tells rows apart, its name, and whether it is the id: else numbers in a written table."""
+    row = free_name(docs, "_row")
     plain = docs.schema[id_col].dataType.typeName() in ("long", "integer", "short", "byte")
     if plain and docs.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty():
-        return docs.withColumn("_row", F.col(id_col).cast("long")), True
-    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), name), False
+        return docs.withColumn(row, F.col(id_col).cast("long")), row, True
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), name), row, False
 
 
 def held_out(doc_id: str | Column, modulus: int, remainder: int) -> Column:

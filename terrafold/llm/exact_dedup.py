@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import SPACE_CHARS, materialize, need, release, with_row
+from terrafold.llm.common import SPACE_CHARS, discard, free_name, materialize, need, with_row
 
 FIRST_RUN = 48
 GROWTH = 32
@@ -48,7 +48,6 @@ def split_groups(rows: DataFrame, first_run: int = FIRST_RUN, growth: int = GROW
             parts.append(kept.select("row", "group"))
             break
         kept = materialize(kept, "radix-round")
-        release(rows.sparkSession)
         at, run = at + run, run * growth
         parts.append(kept.where(F.col("n") <= at).select("row", "group"))
         live = kept.where(F.col("n") > at).select("row", "group", "bytes", "n")
@@ -61,11 +60,11 @@ def split_groups(rows: DataFrame, first_run: int = FIRST_RUN, growth: int = GROW
     return out
 
 
-def _marks(numbered: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """numbered: docs with `_row`. Of rows that equal another one: row, keep_id, size, and first (whether it stays)."""
+def _marks(numbered: DataFrame, row_col: str, id_col: str, text_col: str) -> DataFrame:
+    """numbered: docs with row_col, a number that tells rows apart. Of rows that equal another one: row, keep_id, size, and first (whether it stays)."""
     text = F.col(text_col)
-    groups = materialize(split_groups(numbered.select(F.col("_row").alias("row"), F.encode(normalized(text), "utf-8").alias("bytes"))), "radix-groups")
-    points = numbered.select(F.col("_row").alias("row"), F.col(id_col).alias("doc_id"), F.length(F.coalesce(text, F.lit(""))).alias("n_points"))
+    groups = materialize(split_groups(numbered.select(F.col(row_col).alias("row"), F.encode(normalized(text), "utf-8").alias("bytes"))), "radix-groups")
+    points = numbered.select(F.col(row_col).alias("row"), F.col(id_col).alias("doc_id"), F.length(F.coalesce(text, F.lit(""))).alias("n_points"))
     members = materialize(points.join(groups, "row"), "radix-members")
     first = F.struct((-F.col("n_points")).alias("a"), "doc_id", "row")
     classes = members.groupBy("group").agg(F.min(first).alias("best"), F.count(F.lit(1)).alias("size"))
@@ -75,9 +74,9 @@ def _marks(numbered: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, keep_id (the row that stays of its class: the most code points, then the
     smallest id), group_size, kept, text_sha256 of the text without white space."""
-    numbered, _ = with_row(need(docs, id_col, text_col), id_col, "radix-rows")
-    marks = _marks(numbered, id_col, text_col)
-    facts = numbered.select(F.col("_row").alias("row"), F.col(id_col).alias("doc_id"), F.sha2(F.encode(normalized(F.col(text_col)), "utf-8"), 256).alias("text_sha256"))
+    numbered, row, _ = with_row(need(docs, id_col, text_col), id_col, "radix-rows")
+    marks = _marks(numbered, row, id_col, text_col)
+    facts = numbered.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.sha2(F.encode(normalized(F.col(text_col)), "utf-8"), 256).alias("text_sha256"))
     return facts.join(marks, "row", "left").select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
@@ -89,6 +88,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    numbered, _ = with_row(docs, id_col, "radix-rows")
-    gone = materialize(_marks(numbered, id_col, text_col).where(~F.col("first")).select(F.col("row").alias("_row")), "radix-dropped")
-    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
+    numbered, row, _ = with_row(docs, id_col, "radix-rows")
+    gone = materialize(_marks(numbered, row, id_col, text_col).where(~F.col("first")).select(F.col("row").alias(row)), "radix-dropped")
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)

@@ -4,26 +4,34 @@ A document is the set of its distinct word shingles, as 64-bit hashes. Documents
 `percent` / 100 or more; the result names each document's component under links. Steps:
 
 1. Equal sets form one class each; one representative goes on.
-2. Representatives are partitioned into groups of similar documents by two least hashes (MinHash); inside a group they
-   are compared breadth first against what is not reached yet, so a group of near copies costs about one comparison a
-   member, and pairs of one block that do not link are known from then on. Components found so are the groups of the
-   matrix.
+2. Representatives with a least hash (MinHash, two orders) in common are compared in blocks, breadth first against what
+   is not reached yet, so that near copies cost about one comparison a member. Components found so far are known links.
 3. Prefix tokens: of a set of n shingles that links to another one, the first n - ceil(n * percent / 100) + 1 in a fixed
    order must meet the other's. The order puts frequent shingles (counted over all documents) last, so that shared
-   passages meet nobody. The token-group matrix is the distinct pairs (prefix token, group); tokens in one group only
-   are dropped. A document is a query against another group when it has as many prefix tokens in common with the group's
-   as a link to a member of any size there would need.
-4. A query opens a group (in blocks of at most `BLOCK` members) only if its overlap with the block's whole token union
-   reaches what a link needs; then it is compared with the members whose size allows a link.
-
-The outcome is exact: a link between different groups has a common prefix token, so step 4 looks at it; links inside a
-group change nothing. No list of pairs inside a group is made, and no group is held by one task beyond a block.
-Frequent-token lists are broadcast at `MAX_FREQUENT` entries at most (they only order tokens; any list gives the same
-result). Components are found by iterated joins, cut by written tables.
+   passages meet nobody. Tokens that only one component has are dropped, and documents without any token left are done.
+4. Groups of similar documents: a component joins the group of the prefix token that most documents share among all that
+   its members have. A group is cut into blocks of about `BLOCK` members or `BLOCK_TOKENS` shingles; components stay
+   whole, and those of more than half a block get blocks of their own. So near copies that do not link to each other
+   still lie together, and a group of them makes a few blocks, not as many groups as documents.
+5. The token-group matrix has an entry for each prefix token and block, with the least and greatest size and component of
+   the block's members that have the token. A document is a query against a block (its own too) when it has as many
+   tokens in common with the block's token union as a link to a member of any size there would need; entries whose
+   members are all in the document's own component count for nothing. Of two blocks the smaller one's members ask.
+6. A block that is asked is opened: its members' shingle sets come to one task with at most about `ASKS` queries, which
+   the bound of the whole token union thins out further, and components that link are joined there. A block and a
+   component that are joined already are not compared again.
+
+The outcome is exact: a link between components has common prefix tokens, enough of them, in entries that hold the other
+component, so one of the two asks the other's block. What leaves a task is a query for each document and block, and at
+most one edge for each component in a block, never a pair of documents; a family of m near copies that do not link makes
+m queries for each of its m / BLOCK blocks. Lists of row numbers are broadcast below `BROADCAST_ROWS` rows of at most
+four numbers (about 16 MB) and joined by key beyond; the list of frequent tokens has `MAX_FREQUENT` entries (8 MB) at
+most and only orders tokens, any list gives the same result. Frequent tokens are dealt with a salt, others have few rows.
 
 Defined results: null texts and texts without a word have no shingles and are components of themselves; a text with
 fewer words than a shingle is one shingle; ids that repeat are separate rows, component_id is the least id of any row
-in the component; an empty table gives no rows; other columns are ignored. Texts are read whole.
+in the component; an empty table gives no rows; other columns, whatever their names, are ignored (or kept by
+drop_near_copies). Texts are read whole, long ones in slices; ties need no rule, as components have none.
 """
 
 from __future__ import annotations
@@ -35,16 +43,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import by_group, materialize, need, release, with_row
+from terrafold.llm.common import by_group, discard, materialize, need, with_row
 
 WIDTH = 5
 PERCENT = 80
 BLOCK = 2048
+BLOCK_TOKENS = 2_000_000
+ASKS = 4096
+SALTS = 64
 FREQUENT = 50
 MAX_FREQUENT = 1_000_000
-BROADCAST_ROWS = 1_000_000
-LEADER_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 _SLICE = 1_000_000
+_ENTRY = 6
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.array([0x8CB92BA72F3D8DD7, 0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8BB84B93962EACC9, 0x4B33A62ED433D4A3, 0x2545F4914F6CDD1D, 0xCA5A826395121157, 0x9FB21C651E98DF25], dtype=np.uint64)
 _SPACE = np.zeros(256, dtype=bool)
@@ -240,13 +251,13 @@ def _frequent(rows: DataFrame, width: int, percent: int) -> np.ndarray:
 
 
 def _prefix_tokens(rows: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(token, row): each document's first tokens in the order that puts frequent ones last."""
+    """(token, row, common): each document's first tokens in the order that puts frequent ones (common) last."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = shared.value
         for batch in batches:
-            tokens, owners = [], []
+            tokens, owners, commons = [], [], []
             for row, s in zip(batch["row"], shingle_sets(batch["text"].tolist(), width)):
                 if not len(s):
                     continue
@@ -257,41 +268,40 @@ def _prefix_tokens(rows: DataFrame, frequent: np.ndarray, width: int, percent: i
                     rare = s[~common][:p]
                     s = np.concatenate([rare, s[common][: p - len(rare)]])
                 else:
-                    s = s[:p]
+                    s = rare = s[:p]
                 tokens.append(s)
                 owners.append(np.full(len(s), row, dtype=np.int64))
+                commons.append(np.arange(len(s)) >= len(rare))
             if tokens:
-                yield pd.DataFrame({"token": _long(np.concatenate(tokens)), "row": np.concatenate(owners)})
+                yield pd.DataFrame({"token": _long(np.concatenate(tokens)), "row": np.concatenate(owners), "common": np.concatenate(commons)})
 
-    return rows.mapInPandas(run, "token long, row long")
+    return rows.mapInPandas(run, "token long, row long, common boolean")
 
 
 def _not_alone(tokens: DataFrame) -> DataFrame:
-    """(token, row, leader) of tokens that more than one row has; leader is the least such row. Neighbours in a sort by
-    token and row, read as a stream."""
+    """(token, row) of tokens that are common or that more than one row has: neighbours in a sort by token and row, read as
+    a stream. Common tokens, which many rows may have, go through as they are, dealt over SALTS tasks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple[int, int, int, bool] | None = None  # the last row so far: token, row, leader, met its like
+        held: tuple[int, int, bool] | None = None  # the last row so far: token, row, whether it goes on
         for batch in batches:
             if batch.empty:
                 continue
-            token, row = batch["token"].to_numpy(), batch["row"].to_numpy()
+            token, row, common = batch["token"].to_numpy(), batch["row"].to_numpy(), batch["common"].to_numpy(bool)
             same = token[1:] == token[:-1]
-            met = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            new = np.flatnonzero(np.concatenate([[True], ~same]))
-            leader = np.repeat(row[new], np.diff(np.append(new, len(row))))
-            if held is not None and held[0] == token[0]:
-                leader[token == token[0]] = held[2]
-                met[0] = True
-                held = (*held[:3], True)
-            if held is not None and held[3]:
-                yield pd.DataFrame({"token": [held[0]], "row": [held[1]], "leader": [held[2]]})
-            yield pd.DataFrame({"token": token[:-1][met[:-1]], "row": row[:-1][met[:-1]], "leader": leader[:-1][met[:-1]]})
-            held = (int(token[-1]), int(row[-1]), int(leader[-1]), bool(met[-1]))
-        if held is not None and held[3]:
-            yield pd.DataFrame({"token": [held[0]], "row": [held[1]], "leader": [held[2]]})
-
-    return tokens.repartition("token").sortWithinPartitions("token", "row").mapInPandas(run, "token long, row long, leader long")
+            met = common | np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            if held is not None:
+                if held[0] == token[0]:
+                    met[0], held = True, (*held[:2], True)
+                if held[2]:
+                    yield pd.DataFrame({"token": [held[0]], "row": [held[1]]})
+            yield pd.DataFrame({"token": token[:-1][met[:-1]], "row": row[:-1][met[:-1]]})
+            held = (int(token[-1]), int(row[-1]), bool(met[-1]))
+        if held is not None and held[2]:
+            yield pd.DataFrame({"token": [held[0]], "row": [held[1]]})
+
+    salt = F.when(F.col("common"), F.pmod(F.hash("row"), F.lit(SALTS))).otherwise(0)
+    return tokens.withColumn("salt", salt).repartition("token", "salt").sortWithinPartitions("token", "row").select("token", "row", "common").mapInPandas(run, "token long, row long")
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
@@ -309,16 +319,18 @@ def components(edges: DataFrame) -> DataFrame:
     labels = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "component-labels")
     while True:
         # the least label among a node's neighbours, then the label of that label
-        seen = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near"))
-        lower = labels.join(seen, labels["node"] == seen["u"]).select("node", "label", F.least("label", "near").alias("low"))
+        seen = both.join(labels.select("node", "label"), F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("near"))
+        lower = labels.join(seen, F.col("node") == F.col("u")).select("node", "label", F.least("label", "near").alias("low"))
         lower = materialize(lower, "component-step")
         jump = lower.select(F.col("node").alias("at"), F.col("low").alias("next"))
         moved = lower.join(jump, lower["low"] == jump["at"], "left").select("node", F.col("label").alias("old"), F.least("low", F.coalesce("next", "low")).alias("label"))
         moved = materialize(moved, "component-labels")
         done = moved.where("old <> label").isEmpty()
-        labels = moved.select("node", "label")
+        discard(lower, labels)
+        labels = moved
         if done:
-            return labels
+            discard(both)
+            return moved.select("node", "label")
 
 
 def _group_edges(rows: DataFrame, percent: int) -> DataFrame:
@@ -354,82 +366,43 @@ def _least_of_sizes(n: np.ndarray, lo: np.ndarray, hi: np.ndarray, percent: int)
     return least
 
 
-def _asked(part: pd.DataFrame, percent: int, most: int = 500_000) -> Iterator[pd.DataFrame]:
-    """part: all rows of some leaders. (row, comp): who asks which group.
-
-    A query's common tokens with a group are counted leader by leader. With so many leaders among its tokens, a count
-    that suffices for a link is, under one of them at least, that number divided by the leaders or more; and what the
-    count lacks must come from the query's tokens under other leaders."""
-    if part.empty:
-        return
-    part = part.sort_values(["token", "comp"], kind="stable", ignore_index=True)
-    token, comp, row, n, size, g1, g2, leader, leaders, total = (part[c].to_numpy(np.int64) for c in ("token", "comp", "row", "n", "size", "g1", "g2", "leader", "leaders", "total"))
-    new = np.concatenate([[True], (token[1:] != token[:-1]) | (comp[1:] != comp[:-1])])
-    at = np.flatnonzero(new)  # an entry of the matrix for each token and group
-    low, high = np.minimum.reduceat(n, at), np.maximum.reduceat(n, at)
-    e_token, e_comp, e_size = token[at], comp[at], size[at]
-    # where all of an entry were in one block of step 2, what they link to in that block is known
-    e_g1, e_g2 = (np.where(np.minimum.reduceat(g, at) == np.maximum.reduceat(g, at), g[at], 0) for g in (g1, g2))
-    first = np.searchsorted(e_token, token, side="left")
-    count = np.searchsorted(e_token, token, side="right") - first
-    order = np.lexsort((row, leader))  # a query: one row under one leader
-    asking = np.cumsum(np.concatenate([[True], (row[order][1:] != row[order][:-1]) | (leader[order][1:] != leader[order][:-1])])) - 1
-    ends = np.cumsum(count[order])
-    names, e_name = np.unique(e_comp, return_inverse=True)
-    a = 0
-    while a < len(order):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
-        b = int(np.searchsorted(asking, asking[min(b, len(order)) - 1], side="right"))  # whole queries
-        mine = order[a:b]
-        k = count[mine]
-        q = np.repeat(np.arange(b - a), k)
-        i = mine[q]
-        j = np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k) + first[i]
-        lo = np.maximum(low[j], -(-(n[i] * percent) // 100))
-        hi = np.minimum(high[j], n[i] * 100 // percent)
-        larger = (e_size[j] > size[i]) | ((e_size[j] == size[i]) & (e_comp[j] > comp[i]))
-        known = ((e_g1[j] != 0) & (e_g1[j] == g1[i])) | ((e_g2[j] != 0) & (e_g2[j] == g2[i]))
-        ok = np.flatnonzero(larger & (e_comp[j] != comp[i]) & (lo <= hi) & ~known)
-        if len(ok):
-            i, j, lo, hi = i[ok], j[ok], lo[ok], hi[ok]
-            least = _least_of_sizes(n[i], lo, hi, percent)
-            pair = (asking[a:b][q[ok]] - asking[a]) * len(names) + e_name[j]
-            by_pair = np.argsort(pair, kind="stable")
-            heads = np.flatnonzero(np.concatenate([[True], np.diff(pair[by_pair]) != 0]))
-            met = np.diff(np.append(heads, len(pair)))
-            need_ = np.minimum.reduceat(least[by_pair], heads)
-            at_ = by_pair[heads]
-            own = np.bincount(asking[a:b] - asking[a])[asking[a:b][q[ok]][at_] - asking[a]]  # the query's tokens here
-            fine = (met * leaders[i[at_]] >= need_) & (met + total[i[at_]] - own >= need_)
-            yield pd.DataFrame({"row": row[i[at_[fine]]], "comp": e_comp[j[at_[fine]]]})
-        a = b
-
-
-def _queries(shared: DataFrame, percent: int) -> DataFrame:
-    """shared: token, row, n, comp, size, g1, g2 (the blocks in which the row was compared), leader, leaders (how many
-    the row's tokens have). Returns (row, comp): queries of the rows of the smaller group against the larger one, where
-    the query has as many prefix tokens in common with the group's union as a link to any member asks for."""
+def _asked(part: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """part: row, n, comp, block, size (of the block), entries: of each of the row's tokens, and each block that has the
+    token, six numbers: block, its size, least and greatest size and component of its members with the token.
+
+    Returns (row, block): which of them each row has to ask."""
+    lengths = part["entries"].map(len).to_numpy(np.int64) // _ENTRY
+    if not lengths.sum():
+        return pd.DataFrame({"row": np.zeros(0, np.int64), "block": np.zeros(0, np.int64)})
+    entries = np.concatenate(part["entries"].to_list()).reshape(-1, _ENTRY)
+    q = np.repeat(np.arange(len(part)), lengths)
+    row, n, comp, block, size = (part[c].to_numpy(np.int64)[q] for c in ("row", "n", "comp", "block", "size"))
+    e_block, e_size, low, high, comp_low, comp_high = entries.T
+    lo, hi = np.maximum(low, -(-(n * percent) // 100)), np.minimum(high, n * 100 // percent)
+    larger = (e_size > size) | ((e_size == size) & (e_block >= block))
+    ok = np.flatnonzero(larger & (lo <= hi) & ((comp_low != comp) | (comp_high != comp)))
+    least = _least_of_sizes(n[ok], lo[ok], hi[ok], percent)
+    order = np.lexsort((e_block[ok], q[ok]))
+    q, e_block, row, least = q[ok][order], e_block[ok][order], row[ok][order], least[order]
+    heads = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (e_block[1:] != e_block[:-1])])) if len(q) else np.zeros(0, np.int64)
+    if not len(heads):
+        return pd.DataFrame({"row": row, "block": e_block})
+    fine = heads[np.diff(np.append(heads, len(q))) >= np.minimum.reduceat(least, heads)]
+    return pd.DataFrame({"row": row[fine], "block": e_block[fine]})
+
+
+def _queries(entries: DataFrame, percent: int) -> DataFrame:
+    """entries: one row a document, as _asked() reads them. Returns (row, block)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: list[pd.DataFrame] = []
         for batch in batches:
-            if batch.empty:
-                continue
-            key = batch["leader"].to_numpy()
-            cut = int(np.searchsorted(key, key[-1], side="left"))
-            if cut or (rest and rest[-1]["leader"].iloc[-1] != key[0]):
-                yield from _asked(pd.concat([*rest, batch.iloc[:cut]], ignore_index=True), percent)
-                rest = [batch.iloc[cut:]]
-            else:
-                rest.append(batch)
-        if rest:
-            yield from _asked(pd.concat(rest, ignore_index=True), percent)
+            yield _asked(batch, percent)
 
-    return shared.repartition("leader").sortWithinPartitions("leader").mapInPandas(run, "row long, comp long").distinct()
+    return entries.mapInPandas(run, "row long, block long")
 
 
 def _of_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose number is wanted; the list is broadcast up to BROADCAST_ROWS numbers."""
+    """The rows whose number is in wanted, a written table."""
     return rows.join(_small(wanted), "row", "left_semi")
 
 
@@ -439,105 +412,145 @@ def _small(table: DataFrame) -> DataFrame:
 
 
 def _open(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: comp, block, asks, row, tokens. Members come first; each query gets an edge to one member it links to."""
+    """rows: place, kind (0 member, 1 member that asks, 2 other document that asks), row, comp, tokens. Members come
+    first; edges (u, v) between components that link, or are joined by what the place has shown so far, once each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, part in by_group(batches, "place"):
-            asks = part["asks"].to_numpy()
-            if asks.all() or not asks.any():
+            kind, comps = part["kind"].to_numpy(), part["comp"].to_numpy(np.int64)
+            inside = np.flatnonzero(kind < 2)
+            asks = np.flatnonzero(kind > 0)
+            if not len(inside) or not len(asks):
                 continue
-            ids, tokens = part["row"].to_numpy(), part["tokens"].to_numpy()
-            block = _Block(ids[~asks], [np.frombuffer(t, np.uint64) for t in tokens[~asks]])
+            sets = [np.frombuffer(t, np.uint64) for t in part["tokens"]]
+            block = _Block(inside, [sets[i] for i in inside])
+            names, root = np.unique(comps, return_inverse=True)  # root: of each row the component it is joined to here
             u, v = [], []
-            for row, t in zip(ids[asks], tokens[asks]):
-                s = np.frombuffer(t, np.uint64)
-                lo, both = block.overlap(s, percent)
-                near = np.flatnonzero(_linked(both, block.n[lo : lo + len(both)], len(s), percent))
-                if len(near):
-                    u.append(row)
-                    v.append(block.ids[lo + near[0]])
+            for i in asks.tolist():
+                if (root[block.ids] == root[i]).all():
+                    continue
+                lo, both = block.overlap(sets[i], percent)
+                near = np.flatnonzero(_linked(both, block.n[lo : lo + len(both)], len(sets[i]), percent)) + lo
+                for other in np.unique(root[block.ids[near]]).tolist():
+                    mine = root[i]
+                    if other != mine:
+                        u.append(names[mine])
+                        v.append(names[other])
+                        root[root == other] = mine
             if u:
                 yield pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
-    return rows.repartition("place").sortWithinPartitions("place", "asks").mapInPandas(run, "u long, v long")
+    return rows.repartition("place").sortWithinPartitions("place", "kind", "row").mapInPandas(run, "u long, v long")
+
+
+def _blocks(active: DataFrame) -> DataFrame:
+    """active: row, n, comp, lead (documents with the component's most shared token, that token). Returns row, n, comp,
+    block and size, its number of members."""
+    comps = active.groupBy("comp").agg(F.max("lead.token").alias("leader"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
+    comps = materialize(comps, "jaccard-comps")
+    parts = F.ceil(F.greatest(F.sum("members") / BLOCK, F.sum("tokens") / BLOCK_TOKENS))
+    own = F.greatest(F.col("members") / BLOCK, F.col("tokens") / BLOCK_TOKENS)
+    groups = materialize(comps.where(own <= 0.5).groupBy("leader").agg(parts.alias("parts")), "jaccard-groups")
+    placed = comps.where(own <= 0.5).join(_small(groups), "leader").select("comp", F.xxhash64("leader", F.pmod(F.xxhash64("comp"), "parts")).alias("block"), F.lit(1).cast("long").alias("parts"))
+    placed = placed.unionByName(comps.where(own > 0.5).select("comp", F.xxhash64("comp", F.lit(-1)).alias("block"), F.ceil(own).alias("parts")))
+    placed = materialize(placed, "jaccard-comp-blocks")
+    block = F.when(F.col("parts") > 1, F.xxhash64("block", F.pmod(F.xxhash64("row"), "parts"))).otherwise(F.col("block"))
+    rows = materialize(active.join(_small(placed), "comp").select("row", "n", "comp", block.alias("block")), "jaccard-row-blocks")
+    sizes = materialize(rows.groupBy("block").agg(F.count(F.lit(1)).alias("size")), "jaccard-sizes")
+    out = materialize(rows.join(_small(sizes), "block").select("row", "n", "comp", "block", "size"), "jaccard-blocks")
+    discard(comps, groups, placed, rows, sizes)
+    return out
+
+
+def _asking(tokens: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """tokens: token, row; blocks: as _blocks() returns them. The token-group matrix, and from it (row, block): queries."""
+    placed = materialize(tokens.join(_small(blocks), "row").select("token", "row", "n", "comp", "block", "size"), "jaccard-placed")
+    cells = placed.groupBy("token", "block").agg(F.max("size").alias("size"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("n", "comp") for f in (F.min, F.max)])
+    entry = F.array("block", "size", "min_n", "max_n", "min_comp", "max_comp")
+    matrix = materialize(cells.groupBy("token").agg(F.flatten(F.collect_list(entry)).alias("entries")), "jaccard-matrix")
+    of_row = placed.join(matrix, "token").groupBy("row").agg(F.flatten(F.collect_list("entries")).alias("entries"))
+    found = materialize(_queries(of_row.join(_small(blocks), "row"), percent), "jaccard-queries")
+    discard(placed, matrix)
+    return found
+
+
+def _opened(queries: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(place, kind, row, comp): the members of each block that is asked, and who asks it, in places of about ASKS queries."""
+    about = _small(blocks)
+    asks = materialize(queries.withColumnRenamed("block", "asked").join(about, "row").select("row", "n", "comp", "asked", (F.col("asked") == F.col("block")).alias("own")), "jaccard-asks")
+    own = asks.where("own").select(F.col("asked").alias("block"), F.lit(0).cast("long").alias("slice"), F.lit(1).alias("kind"), "row", "comp")
+    slices = F.ceil(F.greatest(F.count(F.lit(1)) / ASKS, F.sum("n") / BLOCK_TOKENS)).alias("slices")
+    outside = materialize(asks.where("not own").groupBy(F.col("asked").alias("block")).agg(slices), "jaccard-asked")
+    others = asks.where("not own").select(F.col("asked").alias("block"), "row", "comp").join(_small(outside), "block")
+    others = others.select("block", F.pmod(F.xxhash64("row"), "slices").alias("slice"), F.lit(2).alias("kind"), "row", "comp")
+    members = blocks.select("block", "row", "comp").join(_small(outside), "block").select("block", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("kind"), "row", "comp")
+    # who asks the own block is a member of it: once, as one that asks
+    inside = own.unionByName(members).groupBy("block", "slice", "row", "comp").agg(F.max("kind").alias("kind"))
+    out = materialize(inside.unionByName(others).select(F.xxhash64("block", "slice").alias("place"), "kind", "row", "comp"), "jaccard-opened")
+    discard(asks, outside)
+    return out
 
 
-def classes_of(numbered: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
-    """numbered: docs with `_row`. Returns row, n (size of its set), comp (the least row that links reach)."""
-    spark = numbered.sparkSession
-    rows = numbered.select(F.col("_row").alias("row"), F.col(text_col).alias("text"))
+def classes_of(numbered: DataFrame, row_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """numbered: docs with row_col, a number that tells rows apart. Returns row, n (size of its set), comp (the least row
+    that links reach)."""
+    rows = numbered.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"))
     facts = materialize(_facts(rows, width), "jaccard-facts")
-    filled = facts.where("n > 0")
-    classes = filled.groupBy("n", "s1", "s2").agg(F.min("row").alias("rep"), F.min("k1").alias("k1"), F.min("k2").alias("k2"))
+    classes = facts.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("row").alias("rep"), F.min("k1").alias("k1"), F.min("k2").alias("k2"))
     classes = materialize(classes, "jaccard-classes")
 
-    # who has company: by least hashes, or by prefix tokens
+    # known links: inside blocks of one least hash
     reps = classes.select(F.col("rep").alias("row"), "n")
-    keyed = classes.select(F.col("rep").alias("row"), F.explode(F.array(F.struct(F.lit(1).alias("o"), F.col("k1").alias("k")), F.struct(F.lit(2).alias("o"), F.col("k2").alias("k")))).alias("key"))
-    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    grouped = materialize(keyed.join(crowded, "key").select("row", "key.o", F.xxhash64("key", F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / BLOCK))).alias("group")), "jaccard-groups")
-    frequent = _frequent(rows, width, percent)
-    release(spark)
-    tokens = materialize(_not_alone(_prefix_tokens(rows, frequent, width, percent)), "jaccard-common")
-    tokens = materialize(tokens.join(_small(reps), "row"), "jaccard-tokens")
-    release(spark)
-    sets = materialize(_sets(_of_rows(rows, materialize(grouped.select("row").distinct(), "jaccard-rows-grouped")), width), "jaccard-sets", "uncompressed")
-
+    keyed = classes.select(F.col("rep").alias("row"), "n", F.explode(F.array(F.struct(F.lit(1).alias("o"), F.col("k1").alias("k")), F.struct(F.lit(2).alias("o"), F.col("k2").alias("k")))).alias("key"))
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_TOKENS))
+    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), parts.alias("parts")).where("size > 1")
+    grouped = materialize(keyed.join(crowded, "key").select("row", F.xxhash64("key", F.pmod(F.xxhash64("row"), "parts")).alias("group")), "jaccard-grouped")
+    listed = materialize(grouped.select("row").distinct(), "jaccard-listed")
+    sets = materialize(_sets(_of_rows(rows, listed), width), "jaccard-sets", "uncompressed")
     first = materialize(_group_edges(_small(grouped).join(sets, "row").select("group", "row", "tokens"), percent), "jaccard-edges")
     labels = components(first)
-    release(spark)
     named = materialize(reps.join(labels, reps["row"] == labels["node"], "left").select("row", "n", F.coalesce("label", "row").alias("comp")), "jaccard-named")
+    discard(grouped, listed, sets, first)
 
-    # the token-group matrix, without tokens of one group; queries against groups
-    several = named.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sized = named.join(several, "comp", "left").select("row", "comp", F.coalesce("size", F.lit(1)).alias("size"))
-    compared = grouped.groupBy("row").agg(*[F.max(F.when(F.col("o") == o, F.col("group"))).alias(f"g{o}") for o in (1, 2)])
-    compared = sized.join(compared, "row", "left").select("row", "comp", "size", *[F.coalesce(f"g{o}", F.lit(0)).alias(f"g{o}") for o in (1, 2)])
-    # a leader with very many rows is split into its tokens; there are few such leaders
-    large = tokens.groupBy("leader").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > LEADER_ROWS).select("leader", F.lit(True).alias("large"))
-    tokens = tokens.join(F.broadcast(large), "leader", "left").withColumn("leader", F.when(F.col("large"), F.col("token")).otherwise(F.col("leader"))).drop("large")
-    leaders = tokens.groupBy("row").agg(F.count_distinct("leader").alias("leaders"), F.count(F.lit(1)).alias("total"))
-    about = materialize(compared.join(leaders, "row"), "jaccard-about")
-    placed = tokens.join(_small(about), "row").select("token", "row", "n", "comp", "size", "g1", "g2", "leader", "leaders", "total")
-    placed = materialize(placed, "jaccard-placed")
-    release(spark)
-    queries = materialize(_queries(placed, percent), "jaccard-queries")
-    release(spark)
-    asked = queries.select("comp").distinct().join(sized.select("comp", "size").distinct(), "comp")
-    asked = materialize(asked.select("comp", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "jaccard-asked")
-    members = named.join(asked, "comp").select("row", F.xxhash64("comp", F.pmod(F.xxhash64("row"), "blocks").cast("int")).alias("place"), F.lit(False).alias("asks"))
-    asking = queries.join(asked, "comp")
-    several_blocks = asking.where("blocks > 1").select("row", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    asking = asking.where("blocks = 1").select("row", "comp", F.lit(0).alias("block")).unionByName(several_blocks)
-    asking = asking.select("row", F.xxhash64("comp", "block").alias("place"), F.lit(True).alias("asks"))
-    opened = materialize(members.unionByName(asking), "jaccard-opened")
-    sets = _sets(_of_rows(rows, materialize(opened.select("row").distinct(), "jaccard-rows-opened")), width)
-    opened = _small(opened).join(sets, "row").select("place", "asks", "row", "tokens")
-    second = materialize(_open(opened, percent), "jaccard-links")
-    release(spark)
-    name = named.select(F.col("row").alias("at"), F.col("comp").alias("c"))
-    between = second.join(name, second["u"] == name["at"]).select("v", F.col("c").alias("cu")).join(name, F.col("v") == name["at"]).select(F.col("cu").alias("u"), F.col("c").alias("v"))
-    merged = components(between)
+    # prefix tokens that more than one component has
+    frequent = _frequent(rows, width, percent)
+    tokens = materialize(_not_alone(_prefix_tokens(rows, frequent, width, percent)), "jaccard-tokens")
+    owned = materialize(tokens.join(_small(named), "row").select("token", "row", "n", "comp"), "jaccard-owned")
+    mixed = owned.groupBy("token").agg(F.count(F.lit(1)).alias("documents"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token", "documents")
+    mixed = materialize(mixed, "jaccard-mixed")
+    shared = materialize(owned.join(_small(mixed), "token"), "jaccard-shared")
+    discard(tokens, owned, mixed)
+    lead = F.max(F.struct("documents", "token")).alias("lead")
+    of_comp = materialize(shared.groupBy("comp").agg(lead), "jaccard-leaders")
+    active = shared.select("row", "n", "comp").distinct().join(_small(of_comp), "comp")
+    blocks = _blocks(active)
+    queries = _asking(shared.select("token", "row"), blocks, percent)
+    opened = _opened(queries, blocks)
+    listed = materialize(opened.select("row").distinct(), "jaccard-listed")
+    sets = _sets(_of_rows(rows, listed), width)
+    second = materialize(_open(_small(opened).join(sets, "row").select("place", "kind", "row", "comp", "tokens"), percent), "jaccard-links")
+    merged = components(second)
     final = named.join(merged, named["comp"] == merged["node"], "left").select(F.col("row").alias("rep"), F.coalesce("label", "comp").alias("comp"))
-    of_class = classes.select("n", "s1", "s2", "rep").join(final, "rep").select("n", "s1", "s2", "comp")
-    return facts.select("row", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left").select("row", "n", F.coalesce("comp", "row").alias("comp"))
+    of_class = materialize(classes.select("n", "s1", "s2", "rep").join(final, "rep").select("n", "s1", "s2", "comp"), "jaccard-final")
+    discard(shared, of_comp, blocks, queries, opened, listed, second, named, classes)
+    return facts.select("row", "n", "s1", "s2").join(_small(of_class), ["n", "s1", "s2"], "left").select("row", "n", F.coalesce("comp", "row").alias("comp"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (the least id that links reach)."""
-    numbered, unique = with_row(need(docs, id_col, text_col), id_col, "jaccard-rows")
-    found = classes_of(numbered, text_col, width, percent)
+    numbered, row, unique = with_row(need(docs, id_col, text_col), id_col, "jaccard-rows")
+    found = classes_of(numbered, row, text_col, width, percent)
     if unique:
         kind = docs.schema[id_col].dataType
         return found.select(F.col("row").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").cast(kind).alias("component_id"))
-    found = found.join(numbered.select(F.col("_row").alias("row"), F.col(id_col).alias("doc_id")), "row")
+    found = found.join(numbered.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id")), "row")
     least = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return found.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row of each component, the one with the least id (or number, where ids repeat), with all its columns."""
-    numbered, _ = with_row(docs, id_col, "jaccard-rows")
-    found = classes_of(numbered, text_col, width, percent)
-    gone = materialize(found.where("row <> comp").select(F.col("row").alias("_row")), "jaccard-dropped")
-    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
+    numbered, row, _ = with_row(docs, id_col, "jaccard-rows")
+    found = classes_of(numbered, row, text_col, width, percent)
+    gone = materialize(found.where("row <> comp").select(F.col("row").alias(row)), "jaccard-dropped")
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import labelled_sample, materialize, need, small_batches
+from terrafold.llm.common import free_name, labelled_sample, materialize, need
 
 BASE = 0.01
 FIT_ROWS = 20_000
@@ -350,7 +350,6 @@ def _chosen(sample: DataFrame, marks: list, rate: float, sure: float, max_terms:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_terms: int = MAX_TERMS) -> ToxicityModel:
     """Learn from docs (doc_id, text) and labels (doc_id, toxic), at most `rows` labelled documents, those with the least hash of their id."""
-    small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, "toxic", rows, "toxicity-sample")
     n = sample.agg(F.sum(F.when(F.col("toxic") != 0, 1).otherwise(0)).alias("t"), F.count(F.lit(1)).alias("n")).first()
     n_toxic, n_all = int(n["t"] or 0), int(n["n"] or 0)
@@ -396,7 +395,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_terms: int
 
 def verdict(spark: SparkSession, model: ToxicityModel, text: Column, threshold: float = THRESHOLD) -> Column:
     """score and predicted (1 from the threshold on) of a text column, as one struct."""
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, predicted int")
@@ -417,5 +415,5 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_i
 
 def keep_harmless(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs below the threshold, with all their columns."""
-    found = docs.withColumn("_verdict", verdict(docs.sparkSession, model, F.col("text"), threshold))
-    return found.where(F.col("_verdict.predicted") == 0).drop("_verdict")
+    name = free_name(docs, "_verdict")
+    return docs.withColumn(name, verdict(docs.sparkSession, model, F.col("text"), threshold)).where(F.col(name)["predicted"] == 0).drop(name)

@@ -26,7 +26,7 @@ def table(spark, texts, **more):
 
 def clash(df):
     """More columns, under names that operators use inside."""
-    return df.withColumns({n: F.lit(7) for n in ("row", "group", "score", "n", "size", "token", "comp", "kept", "label", "key", "bytes", "rejected", "predicted", "lang_pred")})
+    return df.withColumns({n: F.lit(7) for n in ("row", "group", "score", "n", "size", "token", "comp", "kept", "label", "key", "bytes", "rejected", "predicted", "lang_pred", "_row", "_verdict", "_ROW_", "block", "entries", "place", "kind")})
 
 
 @pytest.fixture(scope="module")
@@ -342,6 +342,28 @@ def test_jaccard_components(spark, monkeypatch, width, percent):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, width, percent)
 
 
+def test_jaccard_family_that_does_not_link(spark, monkeypatch):
+    """Near copies below the threshold, a few of which link, beside one that all documents with a passage are near."""
+    rng = random.Random(12)
+    word = lambda: f"v{rng.randrange(5000)}"
+    base = [word() for _ in range(60)]
+    texts = near_copies(rng, base, 220, 5) + [" ".join([*base[:30], *[word() for _ in range(30)]]) for _ in range(40)]
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 10)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 32)
+    monkeypatch.setattr(jaccard_join, "ASKS", 16)
+    asked = []
+    kept = jaccard_join._opened
+    monkeypatch.setattr(jaccard_join, "_opened", lambda queries, blocks: asked.append((queries.count(), blocks.count(), blocks.select("block").distinct().count())) or kept(queries, blocks))
+    for limit in (jaccard_join.BROADCAST_ROWS, 0):  # lists broadcast, or joined by key
+        monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", limit)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(table(spark, texts), width=4, percent=85).collect()}
+        want = brute_components(texts, 4, 85)
+        assert [got[i] for i in range(len(texts))] == want
+    assert len({c for _, c in want}) > 60
+    for queries, rows, blocks in asked:  # a document asks blocks, not documents
+        assert blocks < rows / 6 and queries <= rows * blocks
+
+
 def test_jaccard_repeated_ids_and_empty(spark):
     df = spark.createDataFrame([(5, "one two three four five six"), (5, "one two three four five six"), (3, "something else altogether than that"), (None, "one two three four five six"), (9, None)], "doc_id long, text string")
     got = sorted(map(tuple, jaccard_join.join(df).collect()), key=str)

@@ -80,11 +80,11 @@ def test_query_between_sizes_is_asked():
     # B = b1..b17; q = B, q1 links m = B, u1, u2 (17 of 20). k = B, u1, u2, u3 and l = b1..b15, u1, u2, u3 are in m's
     # group. In the order u1, u2, q1, b1, u3, b2.. the prefixes of q and the group have b1 alone in common.
     q, m, k, l_ = 1, 2, 3, 4
-    n = {q: 18, m: 19, k: 20, l_: 18}
-    rows = [(30, q), *[(t, r) for t in (10, 20, 30) for r in (m, k, l_)]]
-    part = pd.DataFrame([(t, r, n[r], min(r, 2), 1 if r == q else 3, 0, 0, q, 1, 1 if r == q else 3) for t, r in rows], columns=["token", "row", "n", "comp", "size", "g1", "g2", "leader", "leaders", "total"])
-    got = pd.concat(jaccard_join._asked(part, 85))
-    assert (q, 2) in set(zip(got["row"], got["comp"]))
+    # entries: block, its size, least and greatest size and component of the members with the token
+    entries = np.array([1, 1, 18, 18, q, q, 2, 3, 18, 20, m, m])
+    part = pd.DataFrame({"row": [q], "n": [18], "comp": [q], "block": [1], "size": [1], "entries": [entries]})
+    got = jaccard_join._asked(part, 85)
+    assert (q, 2) in set(zip(got["row"], got["block"]))
 
 
 # 9 ------------------------------------------------------------------------------------------------------------------
