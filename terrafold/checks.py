@@ -10,6 +10,14 @@ class DataError(ValueError):
     """The input breaks a rule that the operator relies on."""
 
 
+def require(df: DataFrame, *names: str) -> DataFrame:
+    """df, if it has these columns; else an error that names the missing ones."""
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df
+
+
 def none_where(df: DataFrame, bad: Column, what: str, show: int = 3) -> DataFrame:
     """Fails, with a few examples, if any row is bad. One job, which stops at the first examples it finds."""
     found = df.where(bad).limit(show).collect()

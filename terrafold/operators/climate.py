@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrafold.checks import nan_to_null, option
+from terrafold.checks import nan_to_null, option, require
 from terrafold.functions import diurnal, solar
-from terrafold.schema import require
 
 VARIABLES = {"tmin": "tmin", "tmax": "tmax", "tdew": "tdew", "rain": "rain"}
 
@@ -46,12 +45,12 @@ def join_variables(parts: dict[str, DataFrame]) -> DataFrame:
     return wide.where(keep).select("id", "date", *names)
 
 
-def sun_times(daily: DataFrame, points: DataFrame, offset: float = -5.0) -> DataFrame:
-    """daily with sunrise and sunset of its (id, date). The day's terms are worked out once a date, not once a row."""
-    days = daily.select("date").distinct()
-    terms = solar.day_terms(F.col("date"))
-    days = days.select("date", *[c.alias(n) for n, c in terms.items()])
-    rows = daily.join(F.broadcast(days), "date").join(points.select("id", "lat", "lon"), "id")
+def sun_times(daily: DataFrame, points: DataFrame | None = None, offset: float = -5.0) -> DataFrame:
+    """daily with sunrise and sunset of its (id, date); lat and lon are its own columns, or those of the points.
+
+    Everything follows from the row, so the series is read once and not shuffled for it."""
+    rows = daily if points is None else daily.join(points.select("id", "lat", "lon"), "id")
+    rows = rows.withColumns(solar.day_terms(F.col("date")))
     rise, set_ = solar.sun_hours(F.col("lat"), F.col("lon"), F.col("declination"), F.col("equation_of_time"), offset)
     return rows.withColumns({"sunrise": rise, "sunset": set_}).drop("declination", "equation_of_time", "lat", "lon")
 
@@ -60,9 +59,10 @@ def humid_days(daily: DataFrame, keys: tuple[str, ...] = ("id", "season"), thres
     """daily: keys, date, tmin, tmax, tdew, rain, sunrise, sunset. Per series (a value of the keys, by date) the humid
     hours and their mean temperature of the window that ends at each day's noon; the first two and last two days of a
     series have no whole window and are left out, as are series of fewer than five days. Neighbours are the next rows,
-    whatever their date. All shifts share one window, so there is one shuffle and one sort.
+    whatever their date. All shifts share one window, so there is one shuffle and one sort; `day` counts a series' rows
+    that are left, from 1.
 
-    method "arrow" computes the curve in numpy; "sql" in array expressions only."""
+    A task's output holds whole series, sorted by the keys and the day. method "arrow" computes the curve in numpy; "sql" in array expressions only."""
     option(method, ("arrow", "sql"), "method")
     require(daily, *keys, "date", "tmin", "tmax", "tdew", "rain", "sunrise", "sunset")
     w = Window.partitionBy(*keys).orderBy("date")
@@ -80,7 +80,7 @@ def humid_days(daily: DataFrame, keys: tuple[str, ...] = ("id", "season"), thres
     else:
         result = _window_sql(threshold)
     found = shifted.withColumn("_w", result)
-    return found.select(*keys, "date", c("_w.hours").alias("humid_hours"), c("_w.tmean").alias("humid_tmean"), "rain", ((c("tmin") + c("tmax")) / 2).alias("tavg"))
+    return found.select(*keys, "date", (c("_at") - 2).alias("day"), c("_w.hours").alias("humid_hours"), c("_w.tmean").alias("humid_tmean"), "rain", ((c("tmin") + c("tmax")) / 2).alias("tavg"))
 
 
 def _window_sql(threshold: float) -> Column:

@@ -63,15 +63,15 @@ def event_seasons(means: DataFrame, events: DataFrame, warm: float = 0.5) -> Dat
 
 
 def block_permutations(n: int, count: int, block: int = 2, seed: int = 0) -> np.ndarray:
-    """count permutations of 0..n-1 that keep blocks of neighbours together; the first block's length is drawn too."""
+    """count permutations of 0..n-1 that keep blocks of neighbours together; where blocks begin is drawn too.
+
+    All at once: every block of every permutation draws a key, and positions are sorted by their block's key; a stable
+    sort keeps the order inside a block."""
     rng = np.random.default_rng(seed)
-    out = np.empty((count, n), dtype=np.int64)
-    for row in out:
-        shift = int(rng.integers(0, block))
-        edges = np.unique(np.concatenate([[0], np.arange(shift or block, n, block), [n]]))
-        order = rng.permutation(len(edges) - 1)
-        row[:] = np.concatenate([np.arange(edges[i], edges[i + 1]) for i in order])
-    return out
+    short = rng.integers(0, block, (count, 1))  # the first block's length, 0: a whole one
+    number = (np.arange(n) + (block - short) % block) // block
+    keys = rng.random((count, -(-n // block) + 1))
+    return np.argsort(np.take_along_axis(keys, number, axis=1), axis=1, kind="stable")
 
 
 def series_of(yearly: DataFrame, metric: str, years: list[int]) -> DataFrame:
@@ -82,36 +82,47 @@ def series_of(yearly: DataFrame, metric: str, years: list[int]) -> DataFrame:
     return packed.select("id", "region", F.transform("s", lambda x: x["v"]).alias("y"))
 
 
-def permutation_slopes(series: DataFrame, index: dict[str, list[float]], perms: np.ndarray, local_alpha: float = 0.05) -> DataFrame:
-    """series: id, region, y. Slope on the region's index and its permutation p, per point; and, as rows with id NULL,
-    how many points each permutation makes locally significant (hits, one vector per task).
+class _Null:
+    """What slopes on one index are under permutation: the centred index, as it is and in every permuted order."""
 
-    The permuted index is one matrix (years x permutations) per region, sent once; points stream through it in blocks. Double precision
-    throughout, so that ties with the observed slope count the same everywhere."""
-    matrices = {}
-    for region, x in index.items():
+    def __init__(self, x: list[float], perms: np.ndarray):
         centred = np.asarray(x, dtype=np.float64) - np.mean(x)
-        matrices[region] = (centred, float(centred @ centred), centred[perms].T)
-    shared = series.sparkSession.sparkContext.broadcast(matrices)
+        self.weights = np.column_stack([centred, centred[perms].T]) / (centred @ centred)
+
+    def judge(self, y: np.ndarray, alpha: float) -> tuple[pd.DataFrame, np.ndarray]:
+        """y: (points, years). slope, p, flat and sd of each point; and per permutation how many points it makes significant.
+
+        Sizes of the permuted slopes are sorted once a point: p is where the observed one would stand, and a permuted one
+        counts from the value at the next rank above 1 - alpha on. Ties, to 1e-9, count as reached."""
+        slopes = (y - y.mean(axis=1, keepdims=True)) @ self.weights
+        sizes = np.abs(slopes[:, 1:])
+        order = np.sort(sizes, axis=1)
+        n = order.shape[1]
+        reached = n - (order < np.abs(slopes[:, :1]) - 1e-9).sum(axis=1)
+        limit = order[:, [int(np.ceil((n - 1) * (1 - alpha)))]]
+        hits = ((sizes >= limit - 1e-9) & (order[:, -1:] > 1e-9)).sum(axis=0)
+        spread = np.ptp(y, axis=1) == 0
+        return pd.DataFrame({"slope": slopes[:, 0], "p": (reached + 1) / (n + 1), "flat": spread, "sd": y.std(axis=1, ddof=1)}), hits
+
+
+def permutation_slopes(series: DataFrame, index: dict[str, list[float]], perms: np.ndarray, local_alpha: float = 0.05, block: int = 2000) -> DataFrame:
+    """series: id, region, y. Slope on the region's index and its permutation p, per point; and, as rows with id NULL,
+    how many points each permutation makes locally significant (hits, one vector per task and region).
+
+    The permuted index is one matrix (years x permutations) per region, sent once; points stream through it `block` at a
+    time. Double precision throughout, so that ties with the observed slope count the same everywhere."""
+    shared = series.sparkSession.sparkContext.broadcast({region: _Null(x, perms) for region, x in index.items()})
+    columns = ["id", "region", "slope", "p", "flat", "sd", "hits"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hits: dict[str, np.ndarray] = {}
+        counters: dict[str, np.ndarray] = {}
         for batch in batches:
-            for region, part in batch.groupby("region"):
-                x, ssx, permuted = shared.value[region]
-                for a in range(0, len(part), 2000):
-                    rows = part.iloc[a : a + 2000]
-                    y = np.stack(rows["y"].to_numpy())
-                    centred = y - y.mean(axis=1, keepdims=True)
-                    slope = centred @ x / ssx
-                    other = np.abs(centred @ permuted / ssx)
-                    p = ((other >= np.abs(slope)[:, None] - 1e-9).sum(axis=1) + 1) / (other.shape[1] + 1)
-                    limit = np.quantile(other, 1 - local_alpha, axis=1, method="higher")
-                    moving = other.max(axis=1) > 1e-9
-                    hits[region] = hits.get(region, 0) + ((other >= limit[:, None] - 1e-9) & moving[:, None]).sum(axis=0)
-                    yield pd.DataFrame({"id": rows["id"], "region": region, "slope": slope, "p": p, "flat": y.std(axis=1) == 0, "sd": y.std(axis=1, ddof=1), "hits": None})
-        for region, h in hits.items():
-            yield pd.DataFrame({"id": [None], "region": [region], "slope": [None], "p": [None], "flat": [None], "sd": [None], "hits": [h.astype(np.int64).tolist()]})
+            for (region, _), rows in batch.groupby([batch["region"], np.arange(len(batch)) // block]):
+                found, hits = shared.value[region].judge(np.stack(rows["y"].to_list()), local_alpha)
+                counters[region] = counters.get(region, 0) + hits
+                yield found.assign(id=rows["id"].to_numpy(), region=region, hits=None)[columns]
+        if counters:
+            yield pd.DataFrame({"region": list(counters), "hits": [h.tolist() for h in counters.values()]}).reindex(columns=columns)
 
     return series.mapInPandas(run, "id long, region string, slope double, p double, flat boolean, sd double, hits array<long>")
 
@@ -173,6 +184,17 @@ def unit_regressions(table: DataFrame) -> DataFrame:
     return sums.select("region", "zone", slope.alias("slope"), F.when(F.col("mean") != 0, F.try_divide(100 * slope, F.col("mean"))).alias("slope_pct"), F.when(F.col("syy") > 0, F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy")))).otherwise(0.0).alias("r"), "mean", "n_years")
 
 
+def unit_significance(table: DataFrame, index: dict[str, list[float]], years: list[int], perms: np.ndarray) -> DataFrame:
+    """unit_regressions of the units that have every year, with p: the permutation p of the unit's slope on its region's
+    index (1 for a constant unit)."""
+    rows = table.where(F.col("year").isin(years) & F.col("unit_mean").isNotNull())
+    packed = rows.groupBy("region", "zone").agg(F.transform(F.array_sort(F.collect_list(F.struct("year", "unit_mean"))), lambda x: x["unit_mean"]).alias("y")).where(F.size("y") == len(years))
+    # units are regions times zones; a number stands for the zone while slopes are worked out
+    units = packed.withColumn("id", F.xxhash64("region", "zone"))
+    found = point_significance(permutation_slopes(units, index, perms)).select("id", "p")
+    return unit_regressions(rows).join(units.select("region", "zone", "id"), ["region", "zone"]).join(found, "id").drop("id")
+
+
 def neutral_means(yearly: DataFrame, means: DataFrame, metric: str, low: float = -0.7, high: float = 0.5) -> DataFrame:
     """(id, neutral): each point's mean over seasons whose index is neutral."""
     near = means.where((F.col("value") >= low) & (F.col("value") < high)).select("region", "year")
@@ -192,11 +214,5 @@ def zone_anomalies(values: DataFrame, least: float = 5.0) -> DataFrame:
     return values.groupBy("zone").agg(F.avg(e - r).alias("mean_difference"), (100 * (F.try_divide(F.sum(F.when(r >= least, e)), F.sum(F.when(r >= least, r))) - 1)).alias("percent"))
 
 
-def higher_quantile(values: Column, q: float) -> Column:
-    """Of an array the element at the next higher rank, without interpolation."""
-    ordered = F.array_sort(values)
-    return F.get(ordered, F.ceil((F.size(values) - 1) * F.lit(q)).cast("int"))
-
-
 def years_frame(spark: SparkSession, first: int, last: int) -> DataFrame:
     return spark.range(first, last + 1).select(F.col("id").cast("int").alias("year"))

@@ -19,9 +19,11 @@ FORCED_DAY = 25
 
 
 def scored(humid: DataFrame, kind: str = "r", keys: tuple[str, ...] = ("id", "season")) -> DataFrame:
-    """humid days with their two scores. The day that the rain table asks for is the day of the series."""
-    day = F.row_number().over(Window.partitionBy(*keys).orderBy("date"))
-    return humid.withColumn("day", day).withColumns({"bu": scores.blight_units(F.col("humid_hours"), F.col("humid_tmean"), kind), "fu": scores.washoff_units(F.col("rain"), F.col("day"))})
+    """humid days with their two scores. The day that the rain table asks for is the day of the series, counted here
+    where the rows do not have it."""
+    if "day" not in humid.columns:
+        humid = humid.withColumn("day", F.row_number().over(Window.partitionBy(*keys).orderBy("date")))
+    return humid.withColumns({"bu": scores.blight_units(F.col("humid_hours"), F.col("humid_tmean"), kind), "fu": scores.washoff_units(F.col("rain"), F.col("day"))})
 
 
 def _fold(bu: np.ndarray, fu: np.ndarray, live: np.ndarray, due_b: int, due_f: int, min_days: int, forced_day: int):
@@ -46,11 +48,12 @@ def _fold(bu: np.ndarray, fu: np.ndarray, live: np.ndarray, due_b: int, due_f: i
     return out_fu, at_b, at_f, apps
 
 
-def by_batches(days: DataFrame, kind: str = "r", keys: tuple[str, ...] = ("id", "season"), min_days: int = MIN_DAYS, forced_day: int = FORCED_DAY, parts: int | None = None) -> DataFrame:
+def by_batches(days: DataFrame, kind: str = "r", keys: tuple[str, ...] = ("id", "season"), min_days: int = MIN_DAYS, forced_day: int = FORCED_DAY, parts: int | None = None, dealt: bool = False) -> DataFrame:
     """days: keys, date, day (1..n), bu, fu and more. Adds acc_bu, acc_fu (sums at a treatment, else 0) and
-    applications (running count); fu is 0 on treatment days."""
-    spark = days.sparkSession
-    parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    applications (running count); fu is 0 on treatment days.
+
+    dealt: tasks already hold whole series in order, as after climate.humid_days; they are not shuffled again, and a
+    series that is out of order is an error. Else series are dealt by their keys."""
     due_b, due_f = scores.BLIGHT_DUE[kind], scores.WASHOFF_DUE[kind]
     extra = "acc_bu int, acc_fu int, applications int"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in days.schema) + ", " + extra
@@ -73,6 +76,8 @@ def by_batches(days: DataFrame, kind: str = "r", keys: tuple[str, ...] = ("id",
 
     def treat(rows: pd.DataFrame) -> pd.DataFrame:
         day = rows["day"].to_numpy() - 1
+        if day[0] or ((np.diff(day) != 1) & (day[1:] != 0)).any():
+            raise ValueError("days of a series are missing or out of order")
         series = np.cumsum(day == 0) - 1
         shape = (int(series[-1]) + 1, int(day.max()) + 1)
         bu, fu, live = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(shape, bool)
@@ -80,7 +85,9 @@ def by_batches(days: DataFrame, kind: str = "r", keys: tuple[str, ...] = ("id",
         out_fu, at_b, at_f, apps = (a[series, day].astype(np.int32) for a in _fold(bu, fu, live, due_b, due_f, min_days, forced_day))
         return rows.assign(fu=out_fu, acc_bu=at_b, acc_fu=at_f, applications=apps)
 
-    return days.repartition(parts, *keys).sortWithinPartitions(*order).mapInPandas(run, schema)
+    if not dealt:
+        days = (days.repartition(parts, *keys) if parts else days.repartition(*keys)).sortWithinPartitions(*order)
+    return days.mapInPandas(run, schema)
 
 
 def by_arrays(days: DataFrame, kind: str = "r", keys: tuple[str, ...] = ("id", "season"), min_days: int = MIN_DAYS, forced_day: int = FORCED_DAY) -> DataFrame:

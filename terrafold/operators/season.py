@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.checks import lazily, option
-from terrafold.schema import require
+from terrafold.checks import lazily, option, require
 
 REGIONS = ("highland", "midland", "lowland")
 #: Of each region the months of its season, counted from January of the season's year (0), first and last.
@@ -44,9 +43,16 @@ def strict_lookup(rows: DataFrame, points: DataFrame, *columns: str) -> DataFram
 
 
 def lenient_lookup(rows: DataFrame, points: DataFrame, *columns: str) -> DataFrame:
-    """rows with those columns of the point that the point table has; unknown ids get NULL."""
+    """rows with those columns of the point that the point table has; unknown ids get NULL.
+
+    An id that the point table has more than once stops the run when it is met, so rows cannot multiply."""
     there = [c for c in columns if c in points.columns]
-    return rows.drop(*there).join(points.select("id", *there), "id", "left")
+    if not there:
+        return rows
+    side = points.groupBy("id").agg(*[F.first(c).alias(c) for c in there], F.count(F.lit(1)).alias("_times"))
+    joined = rows.drop(*there).join(side, "id", "left")
+    checked = lazily(F.col("id"), F.coalesce(F.col("_times"), F.lit(0)) > 1, "an id has more than one point").alias("id")
+    return joined.select(*[checked if c == "id" else F.col(c) for c in rows.columns if c not in there], *there)
 
 
 def season_year(date: Column, region: Column) -> Column:
@@ -66,9 +72,10 @@ def season_window(year: Column, region: Column) -> tuple[Column, Column]:
     return first, last
 
 
-def assign(daily: DataFrame, points: DataFrame) -> DataFrame:
-    """daily (id, date, ...) with region and season; days outside their region's season are left out."""
-    rows = daily.join(split_regions(points).select("id", "region"), "id").where(F.col("region").isNotNull())
+def assign(daily: DataFrame, points: DataFrame, *carry: str) -> DataFrame:
+    """daily (id, date, ...) with region, season and columns `carry` of the point; days outside their region's season are
+    left out."""
+    rows = daily.join(split_regions(points).select("id", "region", *carry), "id").where(F.col("region").isNotNull())
     return rows.where(in_season(F.col("date"), F.col("region"))).withColumn("season", season_year(F.col("date"), F.col("region")))
 
 
@@ -81,6 +88,28 @@ def tasks(spark, first_year: int, last_year: int, horizon: int | None = None, re
     return out if horizon is None else out.where(F.year("end") <= horizon)
 
 
+def pairs(periods: dict[str, tuple[str, ...]], regions: tuple[str, ...] = REGIONS, asked: list[tuple[str, str]] | None = None) -> list[tuple[str, str]]:
+    """(region, period) that can be run: each region's own periods, and of those the asked ones, in the regions' order.
+
+    A pair that is asked for but does not exist is an error that names it."""
+    unknown = set(periods) - set(regions)
+    option(min(unknown, default=regions[0]), regions, "region")
+    valid = [(r, p) for r in regions for p in periods.get(r, ())]
+    wrong = [x for x in asked or () if x not in valid]
+    if wrong:
+        raise ValueError(f"no such region and period: {', '.join('/'.join(x) for x in wrong)}")
+    return [x for x in valid if asked is None or x in asked]
+
+
+def not_done(asked: DataFrame, report: DataFrame | None, force: bool = False) -> DataFrame:
+    """The seasons (year, region, ...) of asked that have no record in a coverage report yet, or whose record says that
+    they are truncated; all of them with `force` or without a report."""
+    if force or report is None:
+        return asked
+    done = report.where(~F.coalesce("truncated", F.lit(True))).select("year", "region").distinct()
+    return asked.join(done, ["year", "region"], "left_anti")
+
+
 def reduce_seasons(results: DataFrame, by: str = "season") -> DataFrame:
     """Per id and year: app (greatest count), sum_bu, sum_fu, n_days. by "season" keeps (season, region) apart;
     "calendar" takes the day's year and merges what seasons give it; its region is that of the latest season."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,13 +11,43 @@ from pyspark.sql.window import Window
 
 from terrafold.functions import student
 
-
-MAX_YEARS = 150
+#: Degrees of freedom whose critical values are listed; beyond, an expansion about the normal one is exact to 1e-9.
+LISTED = 150
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 @lru_cache(maxsize=8)
 def _criticals(alpha: float) -> dict[int, float]:
-    return {d: student.critical(d, alpha) for d in range(1, MAX_YEARS - 1)}
+    return {d: student.critical(d, alpha) for d in range(1, LISTED + 1)}
+
+
+def _critical(dof: Column, alpha: float) -> Column:
+    z = NormalDist().inv_cdf(1 - alpha / 2)
+    terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160)
+    far = F.lit(z)
+    for k, c in enumerate(terms, 1):
+        far = far + F.lit(c) / F.pow(dof.cast("double"), F.lit(float(k)))
+    listed = F.create_map(*[x for d, t in _criticals(alpha).items() for x in (F.lit(d), F.lit(t))])
+    return F.when(dof <= LISTED, listed[dof]).otherwise(far)
+
+
+def _moments(metric: str, whole: bool) -> list[Column]:
+    """n, the span, and n times the centred sums of x y (a), x x (b) and y y (c).
+
+    Whole numbers are summed as they are and combined exactly, so that each statistic is rounded in its last step only;
+    others through the regression aggregates, which centre as they go."""
+    if whole:
+        y = F.col(metric).cast("decimal(19,0)")
+        x = F.when(y.isNotNull(), F.col("year").cast("decimal(5,0)") - 2000)
+        n = F.count(y)
+        exact = lambda p, q: (n.cast("decimal(10,0)") * F.sum(p * q) - F.sum(p) * F.sum(q)).cast("double")
+        a, b, c = exact(x, y), exact(x, x), exact(y, y)
+    else:
+        y = F.when(~F.isnan(F.col(metric).cast("double")), F.col(metric).cast("double"))
+        x = F.when(y.isNotNull(), F.col("year").cast("double"))
+        n = F.count(y)
+        a, b, c = n * F.regr_sxy(y, x), n * F.regr_sxx(y, x), n * F.regr_syy(y, x)
+    return [n.alias(f"n_{metric}"), (F.max(y) - F.min(y)).alias(f"span_{metric}"), a.alias(f"a_{metric}"), b.alias(f"b_{metric}"), c.alias(f"c_{metric}")]
 
 
 def ols(yearly: DataFrame, metrics: tuple[str, ...], min_years: int = 10, years: tuple[int, int] | None = None, alpha: float = 0.05) -> DataFrame:
@@ -24,29 +55,23 @@ def ols(yearly: DataFrame, metrics: tuple[str, ...], min_years: int = 10, years:
     r_squared and n_years of each, named <statistic>_<metric>.
 
     Fewer than max(min_years, 3) values, or all in one year: statistics are NULL. A metric that never changes: slope,
-    error and interval 0, p 1, r_squared NULL. Beyond MAX_YEARS values the interval is NULL. Sums are centred (regression aggregates), so years near 2000 lose nothing."""
+    error and interval 0, p 1, r_squared NULL."""
     rows = yearly if years is None else yearly.where(F.col("year").between(*years))
-    aggs = []
-    for m in metrics:
-        y = F.when(~F.isnan(F.col(m).cast("double")), F.col(m).cast("double"))
-        x = F.when(y.isNotNull(), F.col("year").cast("double"))
-        aggs += [F.count(y).alias(f"n_{m}"), F.regr_sxx(y, x).alias(f"sxx_{m}"), F.regr_sxy(y, x).alias(f"sxy_{m}"), F.regr_syy(y, x).alias(f"syy_{m}"), (F.max(y) - F.min(y)).alias(f"span_{m}")]
-    sums = rows.groupBy("id").agg(*aggs)
-    out = sums
+    kinds = dict(rows.dtypes)
+    out = rows.groupBy("id").agg(*[c for m in metrics for c in _moments(m, kinds[m] in _WHOLE)])
     for m in metrics:
-        n, sxx, sxy, syy = (F.col(f"{k}_{m}") for k in ("n", "sxx", "sxy", "syy"))
-        fine = (n >= max(min_years, 3)) & (sxx > 0)
-        flat = F.col(f"span_{m}") == 0
-        slope = F.when(fine, F.when(flat, 0.0).otherwise(F.try_divide(sxy, sxx)))
-        sse = F.greatest(F.lit(0.0), syy - F.try_divide(sxy * sxy, sxx))
-        error = F.when(fine, F.when(flat, 0.0).otherwise(F.sqrt(F.try_divide(sse, (n - 2) * sxx))))
-        out = out.withColumns({f"slope_{m}": slope, f"std_err_{m}": error, f"r_squared_{m}": F.when(fine & ~flat, 1 - F.try_divide(sse, syy))})
-    table = _criticals(alpha)
-    critical = F.create_map(*[x for d, t in table.items() for x in (F.lit(d), F.lit(t))])
+        n, span, a, b, c = (F.col(f"{k}_{m}") for k in ("n", "span", "a", "b", "c"))
+        fine, flat = (n >= max(min_years, 3)) & (b > 0), span == 0
+        error = F.sqrt(F.try_divide(F.greatest(F.lit(0.0), b * c - a * a), b * b * (n - 2)))
+        out = out.withColumns({
+            f"slope_{m}": F.when(fine, F.when(flat, 0.0).otherwise(F.try_divide(a, b))),
+            f"std_err_{m}": F.when(fine, F.when(flat, 0.0).otherwise(error)),
+            f"r_squared_{m}": F.when(fine & ~flat, F.least(F.lit(1.0), F.try_divide(a * a, b * c))),
+        })
     for m in metrics:
         n, slope, error = F.col(f"n_{m}"), F.col(f"slope_{m}"), F.col(f"std_err_{m}")
         dof = (n - 2).cast("int")
-        half = critical[dof] * error
+        half = _critical(dof, alpha) * error
         p = F.when(F.col(f"span_{m}") == 0, 1.0).when(error == 0, 0.0).otherwise(student.two_sided(slope / error, dof))
         out = out.withColumns({f"p_value_{m}": F.when(slope.isNotNull(), p), f"conf_int_lower_{m}": slope - half, f"conf_int_upper_{m}": slope + half, f"n_years_{m}": n.cast("int")})
     names = ("slope", "p_value", "std_err", "conf_int_lower", "conf_int_upper", "r_squared", "n_years")

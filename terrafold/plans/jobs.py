@@ -43,8 +43,8 @@ def _new_months(long: DataFrame, out: str) -> DataFrame:
 def daily_results(window: DataFrame, points: DataFrame, kind: str = "r", threshold: float = 90.0, offset: float = -5.0) -> DataFrame:
     """window (id, date, tmin, tmax, tdew, rain) to scored and treated days of all seasons."""
     keys = ("id", "season", "region")
-    rows = climate.sun_times(season.assign(window, points), points, offset)
-    return scan.by_batches(scan.scored(climate.humid_days(rows, keys, threshold), kind, keys), kind, keys)
+    rows = climate.sun_times(season.assign(window, points, "lat", "lon"), offset=offset)
+    return scan.by_batches(scan.scored(climate.humid_days(rows, keys, threshold), kind, keys), kind, keys, dealt=True)
 
 
 def run_scores(long: DataFrame, points: DataFrame, out: str, start: str, end: str, kind: str = "r") -> DataFrame:

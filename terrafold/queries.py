@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.functions import classes, diurnal, scores, solar
+from terrafold.functions import classes, diurnal, ranks, scores, solar
 from terrafold.operators import catalog, climate, climate_index, grid, raster, scan, season, trend
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,6 +191,7 @@ def resume_to_do(spark, d):
 # ---- sun, hours, scores, scan --------------------------------------------------------------------------------------
 
 _T = "((date - DATE '1970-01-01') + 2440588.0 - 2451545.0) / 36525.0"
+# Polynomial coefficients of the public algorithm, as in functions/solar.py.
 _SUN = f"""suntime AS (SELECT date, degrees(asin(sin(obl) * sin(app))) AS declination,
     4 * degrees(y * sin(2 * l0) - 2 * ecc * sin(m) + 4 * ecc * y * sin(m) * cos(2 * l0) - 0.5 * y * y * sin(4 * l0) - 1.25 * ecc * ecc * sin(2 * m)) AS eot FROM (
     SELECT *, pow(tan(obl / 2), 2) AS y, radians(ml + sin(m) * (1.914602e0 - t * (0.004817e0 + 0.000014e0 * t)) + sin(2 * m) * (0.019993e0 - 0.000101e0 * t) + sin(3 * m) * 0.000289e0 - 0.00569e0 - 0.00478e0 * sin(node)) AS app FROM (
@@ -243,7 +244,7 @@ _BASE = f"WITH RECURSIVE {DAILY}, {POINTS}, {SEASON}"
 
 
 def humid(spark, d, method: str = "arrow"):
-    rows = climate.sun_times(seasoned(spark, d), points(spark, d))
+    rows = climate.sun_times(season.assign(daily(spark, d), points(spark, d), "lat", "lon"))
     return climate.humid_days(rows, ("id", "season", "region"), method=method)
 
 
@@ -251,7 +252,7 @@ def humid(spark, d, method: str = "arrow"):
 def diurnal_hours(spark, d):
     from pyspark.sql.window import Window
 
-    rows = climate.sun_times(seasoned(spark, d), points(spark, d))
+    rows = climate.sun_times(season.assign(daily(spark, d), points(spark, d), "lat", "lon"))
     w = Window.partitionBy("id", "season").orderBy("date")
     names = ("tmin", "tmax", "sunrise", "sunset")
     s = rows.select("id", "season", "date", *names, *[F.lag(n).over(w).alias(f"{n}1") for n in names], F.lead("tmin").over(w).alias("next"), F.row_number().over(w).alias("rn"), F.lead("date", 2).over(w).alias("more"))
@@ -265,12 +266,12 @@ _HUMID_OUT = f"{_BASE}, {_HUMID} SELECT id, season, region, date, humid_hours, r
 
 @query(_HUMID_OUT)
 def humid_hours(spark, d):
-    return humid(spark, d).withColumn("humid_tmean", F.round("humid_tmean", 6))
+    return humid(spark, d).drop("day").withColumn("humid_tmean", F.round("humid_tmean", 6))
 
 
 @query(_HUMID_OUT)
 def humid_hours_sql(spark, d):
-    return humid(spark, d, "sql").withColumn("humid_tmean", F.round("humid_tmean", 6))
+    return humid(spark, d, "sql").drop("day").withColumn("humid_tmean", F.round("humid_tmean", 6))
 
 
 @query(f"{_BASE}, {_HUMID} SELECT id, season, sum(rain) AS rain, count(*) FILTER (humid_hours >= 7) AS wet_days FROM humid GROUP BY ALL")
@@ -332,15 +333,15 @@ for _kind in scores.CLASSES:
     _scan_query(_kind)
 
 
-@query(f"WITH RECURSIVE {DAILY}, {_LONG}, short AS (SELECT * FROM longdays WHERE day <= 120), {_scan_sql('short', 'ms')} {_SCAN_OUT}")
+@query(f"WITH RECURSIVE {DAILY}, {_LONG}, {_scan_sql('longdays', 'ms')} {_SCAN_OUT}")
 def application_scan_fold(spark, d):
-    return scan.by_arrays(_long_days(spark, d).where("day <= 120"), "ms")
+    return scan.by_arrays(_long_days(spark, d), "ms")
 
 
 def flagship(spark, d, kind: str = "s"):
     """Days to seasons: sun, hours, scores, treatments, and the season's sums for each point."""
     keys = ("id", "season", "region")
-    treated = scan.by_batches(scan.scored(humid(spark, d), kind, keys), kind, keys)
+    treated = scan.by_batches(scan.scored(humid(spark, d), kind, keys), kind, keys, dealt=True)
     return season.reduce_seasons(treated)
 
 
@@ -352,18 +353,19 @@ QUERIES["flagship"] = flagship
 
 # ---- trends --------------------------------------------------------------------------------------------------------
 
-_OLS = f"""{YEARLY}, sums AS (SELECT id, count(app) AS n, regr_sxx(app, year) AS sxx, regr_sxy(app, year) AS sxy, regr_syy(app, year) AS syy, max(app) - min(app) AS span FROM yearly GROUP BY id),
-    fit AS (SELECT id, n, CASE WHEN n >= 5 THEN CASE WHEN span = 0 THEN 0 ELSE sxy / sxx END END AS slope, CASE WHEN n >= 5 THEN CASE WHEN span = 0 THEN 0 ELSE sqrt(greatest(0, syy - sxy * sxy / sxx) / ((n - 2) * sxx)) END END AS se,
-    CASE WHEN n >= 5 AND span <> 0 THEN 1 - greatest(0, syy - sxy * sxy / sxx) / syy END AS r2, span, n - 2 AS dof FROM sums),
+_OLS = f"""{YEARLY}, sums AS (SELECT id, count(app) AS n, CAST(count(app) * sum((year - 2000) * app) - sum(year - 2000) * sum(app) AS DOUBLE) AS a, CAST(count(app) * sum((year - 2000) * (year - 2000)) - sum(year - 2000) * sum(year - 2000) AS DOUBLE) AS b,
+    CAST(count(app) * sum(app * app) - sum(app) * sum(app) AS DOUBLE) AS c, max(app) - min(app) AS span FROM yearly GROUP BY id),
+    fit AS (SELECT id, n, CASE WHEN n >= 5 THEN CASE WHEN span = 0 THEN 0e0 ELSE a / b END END AS slope, CASE WHEN n >= 5 THEN CASE WHEN span = 0 THEN 0e0 ELSE sqrt(greatest(0e0, b * c - a * a) / (b * b * (n - 2))) END END AS se,
+    CASE WHEN n >= 5 AND span <> 0 THEN least(1e0, a * a / (b * c)) END AS r2, span, n - 2 AS dof FROM sums),
     angle AS (SELECT *, atan(abs(slope / se) / sqrt(dof)) AS a FROM fit),
     terms AS (SELECT *, list_sum(list_transform(range(0, CASE WHEN dof % 2 = 1 THEN (dof - 1) // 2 ELSE dof // 2 END), lambda k: pow(cos(a), 2 * k) * coalesce(list_product(list_transform(range(1, k + 1), lambda j: CASE WHEN dof % 2 = 1 THEN 2e0 * j / (2 * j + 1) ELSE (2e0 * j - 1) / (2 * j) END)), 1))) AS total FROM angle),
     pval AS (SELECT *, CASE WHEN slope IS NOT NULL THEN CASE WHEN span = 0 THEN 1 WHEN se = 0 THEN 0 ELSE greatest(0, 1 - CASE WHEN dof % 2 = 1 THEN (a + sin(a) * cos(a) * coalesce(total, 0)) * 2 / pi() ELSE sin(a) * total END) END END AS p FROM terms)"""
 
 
-@query(f"WITH {_OLS} SELECT id, round(slope, 6) + 0.0 AS slope_app, round(se, 6) AS std_err_app, round(p, 6) AS p_value_app, round(r2, 6) AS r_squared_app, CAST(n AS INTEGER) AS n_years_app FROM pval")
+@query(f"WITH {_OLS} SELECT id, slope + 0e0 AS slope_app, se AS std_err_app, round(p, 6) AS p_value_app, r2 AS r_squared_app, CAST(n AS INTEGER) AS n_years_app FROM pval")
 def ols_trend(spark, d):
     out = trend.ols(yearly(spark, d), ("app", "sum_bu"), min_years=5)
-    return out.select("id", *[(F.round(f"{k}_app", 6) + 0.0).alias(f"{k}_app") for k in ("slope", "std_err", "p_value", "r_squared")], "n_years_app")
+    return out.select("id", (F.col("slope_app") + 0.0).alias("slope_app"), "std_err_app", F.round("p_value_app", 6).alias("p_value_app"), "r_squared_app", "n_years_app")
 
 
 _CRITICAL = "(VALUES (3, 3.182446305284263e0), (4, 2.776445105198055e0), (5, 2.570581835636314e0)) c(dof, tc)"
@@ -501,8 +503,8 @@ def field_significance(spark, d):
 
 @query("""SELECT o_custkey % 20 AS id, list_sort(list(CAST(floor(o_totalprice) AS BIGINT)))[CAST(ceil((count(*) - 1) * 0.95) AS INTEGER) + 1] AS q FROM orders GROUP BY 1""")
 def higher_quantile(spark, d):
-    rows = table(spark, d, "orders").groupBy((F.col("o_custkey") % 20).alias("id")).agg(F.collect_list(F.floor("o_totalprice")).alias("v"))
-    return rows.select("id", climate_index.higher_quantile(F.col("v"), 0.95).alias("q"))
+    rows = table(spark, d, "orders").select((F.col("o_custkey") % 20).alias("id"), F.floor("o_totalprice").alias("v"))
+    return ranks.higher_quantile(rows, ["id"], "v", 0.95)
 
 
 # ---- grids and rasters ---------------------------------------------------------------------------------------------
@@ -607,6 +609,34 @@ def class_breaks(spark, d):
     return orders.groupBy(found.of(F.col("o_totalprice")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _quantile_sql(k: int, where: str) -> str:
+    cuts = ", ".join(f"quantile_cont(v, (1 + 98e0 * {i} / {k}) / 100)" for i in range(1, k))
+    return f"cuts AS (SELECT unnest([{cuts}]) AS c FROM v {where}), grains AS (SELECT c, 5 * pow(10, floor(log10(c)) - 1) AS g FROM cuts WHERE c > 0), breaks AS (SELECT DISTINCT round_even(c / g, 0) * g AS b FROM grains)"
+
+
+@query(f"WITH v AS (SELECT pow(o_totalprice / 100000e0, 3e0) * 0.37e0 AS v FROM orders), {_quantile_sql(6, '')} SELECT (SELECT count(*) FROM breaks WHERE b <= v) AS class, count(*) AS n FROM v GROUP BY ALL")
+def class_breaks_quantile(spark, d):
+    rows = table(spark, d, "orders").select((F.pow(F.col("o_totalprice") / 100000.0, F.lit(3.0)) * 0.37).alias("v"))
+    found = classes.magnitude(rows, "v", method="quantile")
+    return rows.groupBy(found.of(F.col("v")).cast("long").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH v AS (SELECT CAST(CASE WHEN l_linenumber <= 2 THEN 0 ELSE l_partkey * l_linenumber END AS DOUBLE) AS v FROM lineitem), {_quantile_sql(5, 'WHERE v > 0')}, limits AS (SELECT 0.5e0 AS b UNION ALL SELECT DISTINCT greatest(1, round_even(b, 0)) FROM breaks) SELECT (SELECT count(*) FROM limits WHERE b <= v) AS class, count(*) AS n FROM v GROUP BY ALL")
+def class_breaks_zero(spark, d):
+    rows = table(spark, d, "lineitem").select(F.when(F.col("l_linenumber") <= 2, 0.0).otherwise(F.col("l_partkey") * F.col("l_linenumber").cast("double")).alias("v"))
+    found = classes.magnitude(rows, "v", method="quantile")
+    return rows.groupBy(found.of(F.col("v")).cast("long").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH v AS (SELECT CAST(l_quantity AS DOUBLE) * 1.75e0 - l_linenumber * 9e0 AS v FROM lineitem), a AS (SELECT quantile_cont(abs(v), 0.98) / 3.5e0 AS raw FROM v), u AS (SELECT raw, pow(10, floor(log10(raw))) AS unit FROM a),
+    s AS (SELECT CASE WHEN unit >= raw - 1e-12 THEN unit WHEN 2 * unit >= raw - 1e-12 THEN 2 * unit WHEN 2.5e0 * unit >= raw - 1e-12 THEN 2.5e0 * unit WHEN 5 * unit >= raw - 1e-12 THEN 5 * unit ELSE 10 * unit END AS step FROM u),
+    limits AS (SELECT k * step AS b FROM s, (VALUES (-3e0), (-2e0), (-1e0), (-0.5e0), (0.5e0), (1e0), (2e0), (3e0)) t(k)) SELECT (SELECT count(*) FROM limits WHERE b <= v) AS class, count(*) AS n FROM v GROUP BY ALL""")
+def class_breaks_diverging(spark, d):
+    rows = table(spark, d, "lineitem").select((F.col("l_quantity").cast("double") * 1.75 - F.col("l_linenumber") * 9.0).alias("v"))
+    found = classes.around_zero(rows, "v")
+    return rows.groupBy(found.of(F.col("v")).cast("long").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- catalogue -----------------------------------------------------------------------------------------------------
 
 
@@ -637,6 +667,6 @@ def month_relayout(spark, d):
     return catalog.relayout(rows, points(spark, d))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT s_suppkey AS id FROM supplier LIMIT 7)")
+@query("SELECT count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT s_suppkey AS id FROM supplier LIMIT 7)")  # the limit is the feature
 def sampled_ids(spark, d):
     return catalog.sample_ids(points(spark, d), 7, seed=5).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))

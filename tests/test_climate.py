@@ -96,6 +96,10 @@ def test_permutations_keep_blocks_and_signal_is_found(spark):
     perms = climate_index.block_permutations(39, 200, seed=1)
     assert all(sorted(p) == list(range(39)) for p in perms.tolist())
     assert np.mean(np.diff(perms, axis=1) == 1) > 0.4
+    for p in climate_index.block_permutations(39, 300, seed=5):
+        at = np.argsort(p)
+        together = [{k for k in range(o, 38, 2) if at[k + 1] - at[k] == 1} == set(range(o, 38, 2)) for o in (0, 1)]
+        assert any(together)
     rng = np.random.default_rng(0)
     x = rng.normal(size=39)
     rows = [(i, "a", [float(v) for v in ((2 * x if i < 60 else 0) + rng.normal(size=39))]) for i in range(120)] + [(120, "a", [1.0] * 39)]
@@ -180,8 +184,60 @@ def test_missing_index_months_stop_the_run(spark):
     assert {r["region"] for r in climate_index.season_means(monthly, years, strict=False).collect()} == {"midland", "lowland"}
 
 
-def test_flagship_shuffles_once_for_the_window(spark):
-    from terrafold.queries import humid
+def test_flagship_shuffles_its_series_once(spark):
+    """Without broadcasts: the days' derivation, both sides of the join with the points, and the last sums. The window takes
+    the join's partitioning; nothing is read twice, and neither sun times nor the treatment scan shuffles."""
+    from terrafold.queries import flagship
 
-    plan = humid(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Window ") <= 1 or plan.count("Window [") == 1
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = flagship(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    exchanges = [line for line in plan.splitlines() if "Exchange " in line]
+    assert len(exchanges) == 4 and sum("season" in line for line in exchanges) == 1
+    assert plan.count("Window [") == 1 and plan.count("FileScan parquet") == 2
+
+
+def test_scan_refuses_days_out_of_order(spark):
+    rows, df = series(spark, [30])
+    with pytest.raises(Exception, match="out of order"):
+        scan.by_batches(df.where("day <> 7").coalesce(1), "r", dealt=True).collect()
+
+
+def test_lenient_lookup_does_not_multiply(spark):
+    pts = spark.createDataFrame([(1, -75.0), (2, -76.0)], "id long, lon double")
+    rows = spark.createDataFrame([(1, 5), (1, 6), (3, 7)], "id long, n int")
+    assert [(r["id"], r["lon"]) for r in season.lenient_lookup(rows, pts, "lon", "other").orderBy("n").collect()] == [(1, -75.0), (1, -75.0), (3, None)]
+    with pytest.raises(Exception, match="more than one point"):
+        season.lenient_lookup(rows, pts.union(pts), "lon").collect()
+
+
+def test_pairs_of_region_and_period():
+    periods = {"midland": ("main",), "highland": ("early", "late")}
+    assert season.pairs(periods) == [("highland", "early"), ("highland", "late"), ("midland", "main")]
+    assert season.pairs(periods, asked=[("midland", "main")]) == [("midland", "main")]
+    with pytest.raises(ValueError, match="midland/late"):
+        season.pairs(periods, asked=[("midland", "late")])
+    with pytest.raises(ValueError):
+        season.pairs({"elsewhere": ("main",)})
+
+
+def test_intervals_of_very_long_series(spark):
+    # critical values of printed tables: 200 degrees of freedom 1.97190, 1000 1.96234
+    got = spark.createDataFrame([(200,), (1000,)], "d int").select(trend._critical(F.col("d"), 0.05).alias("t")).collect()
+    assert abs(got[0]["t"] - 1.971896) < 1e-6 and abs(got[1]["t"] - 1.962339) < 1e-6
+    assert abs(trend.student.critical(150) - spark.range(1).select(trend._critical(F.lit(151) * 1, 0.05).alias("t")).first()["t"]) < 2e-5
+
+
+def test_ranks_of_a_column(spark, monkeypatch):
+    from terrafold.functions import ranks
+
+    monkeypatch.setattr(ranks, "FEW", 20)
+    monkeypatch.setattr(ranks, "BINS", 7)
+    v = np.concatenate([np.random.default_rng(4).lognormal(3, 2, 900), np.full(300, 5.0), [-1e6, 1e9]])
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    shares = [0.0, 0.013, 0.25, 0.5, 0.77, 0.99, 1.0]
+    assert np.allclose(ranks.percentiles(df, shares), np.quantile(v, shares), rtol=1e-12)
+    assert ranks.percentiles(df.limit(0), shares) is None

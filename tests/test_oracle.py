@@ -1,4 +1,4 @@
-"""Every climate query against its SQL in DuckDB, on the smallest tables."""
+"""Every climate query against its SQL in DuckDB."""
 
 import math
 
@@ -7,7 +7,7 @@ import pytest
 
 from terrafold.queries import ORACLE_SQL, QUERIES
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
