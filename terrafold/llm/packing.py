@@ -188,20 +188,21 @@ def place(found: DataFrame, length: int = LENGTH) -> DataFrame:
     if per_part.count() <= BROADCAST_ROWS:  # of four numbers each; beyond, a join by key
         starts = F.broadcast(starts)
     ranked = found.join(starts, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "part")
-    shared = spark.sparkContext.broadcast({c: table[c].to_numpy() for c in table.columns})
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.drop("rank").schema)
+    shared = spark.sparkContext.broadcast({c: table[c].to_numpy(np.int64) for c in table.columns})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("sequence_id long, offset long")
+    def spot(lengths: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         t = shared.value
-        # lengths and ranks in one number: ranks stay below 2^48
-        keys = (t["length"].astype(np.int64) << 48) + t["rank"] if len(t["length"]) else np.zeros(0, np.int64)
-        for batch in batches:
-            n, rank = batch["length"].to_numpy(np.int64), batch["rank"].to_numpy(np.int64)
+        keys = (t["length"] << 48) + t["rank"]  # lengths and ranks in one number: ranks stay below 2^48
+        for length_, rank_ in lengths:
+            n, rank = length_.to_numpy(np.int64), rank_.to_numpy(np.int64)
             at = np.searchsorted(keys, (n << 48) + rank, side="right") - 1
             inside = rank - t["rank"][at]
-            yield batch.drop(columns="rank").assign(sequence_id=t["sequence"][at] + inside // t["each"][at], offset=t["offset"][at] + inside % t["each"][at] * n)
+            yield pd.DataFrame({"sequence_id": t["sequence"][at] + inside // t["each"][at], "offset": t["offset"][at] + inside % t["each"][at] * n})
 
-    return ranked.mapInPandas(run, schema + ", sequence_id long, offset long")
+    # Python sees two numbers of each piece; ids stay where they are
+    columns = [c for c in ranked.columns if c != "rank"]
+    return ranked.withColumn("_spot", spot.asNondeterministic()("length", "rank")).select(*columns, "_spot.sequence_id", "_spot.offset")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, vocabulary: str = VOCABULARY, with_ids: bool = True) -> DataFrame:

@@ -37,8 +37,8 @@ def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = packing.pack(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    found = packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
