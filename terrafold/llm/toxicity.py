@@ -1,7 +1,8 @@
 """Toxicity by a lexicon under Levenshtein automata, weighed by the words around each hit (operator 2).
 
 The lexicon is learned: words, and stems (beginnings of words), that mark labelled toxic texts and hardly ever
-others. They lie in a trie whose last nodes say whether a whole word or a stem ends there. The Levenshtein
+others; and families, stems that mark a text in which two or three different words begin with them, though one such word
+says little. Words and stems lie in a trie whose last nodes say whether a whole word or a stem ends there. The Levenshtein
 automaton of the lexicon is the set of pairs (trie node, edits spent) that a word's characters leave alive; it is
 made deterministic on demand, one table entry for each set and character. So a word costs one dictionary lookup a
 character and most words leave the automaton after a few.
@@ -11,8 +12,12 @@ Words of the labelled rows that are one or two edits from a term but occur in ha
 The window of `WINDOW` words around a hit tells quotation from abuse: quotation marks that enclose the hit, or a
 quoted line, lower its weight, more so with a verb of saying nearby. A text's score is the noisy-or of its hits.
 
+Learning reads at most `FIT_ROWS` labelled rows; of these all words count, whatever their number and length.
+
 Defined results: null and empty texts score `BASE`; without labelled rows the lexicon is empty and every text
-scores `BASE`; repeated rows give repeated results; other columns of the input are ignored.
+scores `BASE`; texts are read whole, however long; of equally good terms the one with fewer harmless texts, then the
+longer one, then the first in order is taken; repeated rows give repeated results, an empty table none; other columns of
+the input, whatever their names, are ignored (or kept by keep_harmless).
 """
 
 from __future__ import annotations
@@ -29,13 +34,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import free_name, labelled_sample, materialize, need
+from terrafold.llm.common import discard, free_name, labelled_sample, materialize, need
 
 BASE = 0.01
 FIT_ROWS = 20_000
 WINDOW = 6
-MAX_TERMS = 5_000
-MAX_HARMLESS = 100_000
 NEAR = {1: 0.8, 2: 0.6}
 PRIOR_ROWS = 4
 STEM_LENGTHS = range(4, 10)
@@ -43,6 +46,8 @@ THRESHOLD = 0.3
 SURPRISE = 3.0
 WORD_PRECISION = 0.9
 STEM_PRECISION = 0.95
+FAMILIES = {"d": 2, "t": 3}  # kinds of features: at least so many different words of a stem
+FALSE_FAMILIES = 0.1
 SKETCH = 256
 BANDS = 12
 COPY = 0.8
@@ -176,11 +181,13 @@ def spellings(word: str) -> list[str]:
 @dataclass
 class ToxicityModel:
     """words, stems: term to the share of labelled texts with it that are toxic. near: the same for words that are (term,
-    edits) away, where the labelled texts have such words. harmless: words near a term that occur in harmless texts. quoted: factors for hits in quotation, without and with a verb of saying."""
+    edits) away, where the labelled texts have such words. families: (stem, how many different words) to the share of
+    toxic texts among those with so many of its words or more. harmless: words near a term that occur in harmless texts. quoted: factors for hits in quotation, without and with a verb of saying."""
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
     near: dict[tuple[str, int], float] = field(default_factory=dict)
+    families: dict[tuple[str, int], float] = field(default_factory=dict)
     harmless: frozenset = frozenset()
     quoted: tuple[float, float] = (0.6, 0.25)
 
@@ -193,6 +200,10 @@ class Scorer:
         self.model = model
         self.automaton = LexiconAutomaton(list(model.words), list(model.stems))
         self.cache: dict[str, float] = {}
+        self.kin: dict[str, dict[int, float]] = {}
+        for (stem, k), w in model.families.items():
+            self.kin.setdefault(stem, {})[k] = w
+        self.kin_lengths = sorted({len(x) for x in self.kin})
 
     def weight(self, word: str) -> float:
         """Of one lower-cased word; 0 where it is no hit."""
@@ -216,17 +227,27 @@ class Scorer:
         return best
 
     def score(self, text: str | None) -> float:
-        if not text or not self.automaton.terms:
+        if not text or not (self.automaton.terms or self.kin):
             return BASE
         low = text.lower()
         cache, weight = self.cache, self.weight
-        hot = {w for w in set(_WORD.findall(low)) if (cache[w] if w in cache else weight(w))}
+        words = set(_WORD.findall(low))
+        hot = {w for w in words if (cache[w] if w in cache else weight(w))}
+        kin: dict[str, set[str]] = {}
+        for n in self.kin_lengths:
+            for w in words:
+                if w[:n] in self.kin and len(w) > n:
+                    kin.setdefault(w[:n], set()).add(w)
+        kin = {stem: mine for stem, mine in kin.items() if len(mine) >= min(self.kin[stem])}
         left = 1 - BASE
-        if hot:
+        if hot or kin:
             spans = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(low)]
             for i, (a, b, w) in enumerate(spans):
                 if w in hot:
                     left *= 1 - self.weight(w) * self._context(low, spans, i)
+            for stem, mine in kin.items():  # as bad as the worst of its words' places
+                size = max(v for k, v in self.kin[stem].items() if k <= len(mine))
+                left *= 1 - size * max(self._context(low, spans, i) for i, s in enumerate(spans) if s[2] in mine)
         return min(1.0, max(0.0, 1 - left))
 
     def _context(self, low: str, spans: list, i: int) -> float:
@@ -246,15 +267,21 @@ class Scorer:
         return self.model.quoted[1 if near & _SAYING else 0]
 
 
+def _grams(words: set[str]) -> set[tuple[str, str]]:
+    """(kind, term) of a text's words: "w" words, "s" stems that a word goes on from, and FAMILIES."""
+    kin = Counter(w[:n] for w in words for n in STEM_LENGTHS if len(w) > n)
+    out = {("w", w) for w in words} | {("s", s) for s in kin}
+    return out | {(kind, s) for s, n in kin.items() if n > 1 for kind, k in FAMILIES.items() if n >= k}
+
+
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per partition: in how many toxic and harmless texts each word, and each stem of a word, occurs."""
+    """Per partition: in how many toxic and harmless texts each word, each stem of a word, and each stem of two or three
+    different words occurs."""
     toxic, clean = Counter(), Counter()
     for batch in batches:
         for text, label in zip(batch["text"], batch["toxic"]):
             words = set(_WORD.findall((text or "").lower()))
-            grams = {("w", w) for w in words if len(w) <= 40}
-            grams |= {("s", w[:n]) for w in words for n in STEM_LENGTHS if len(w) > n}
-            (toxic if label else clean).update(grams)
+            (toxic if label else clean).update(_grams(words))
         if len(toxic) + len(clean) > 1_000_000:
             yield _feature_rows(toxic, clean)
             toxic, clean = Counter(), Counter()
@@ -305,50 +332,68 @@ def _families(sketches: list[np.ndarray]) -> list[int]:
     return out
 
 
-def _chosen(sample: DataFrame, marks: list, rate: float, sure: float, max_terms: int) -> ToxicityModel:
+def _real_families(found: DataFrame, rate: float) -> list:
+    """Families whose texts are toxic too often for chance: of those of one kind and length at most FALSE_FAMILIES of the
+    chosen ones are expected to be false (Benjamini and Hochberg's rule, on Chernoff's bound of each one's chance)."""
+    rows = found.where(F.col("kind").isin(*FAMILIES) & (F.col("toxic") + F.col("clean") >= 2))
+    sizes = {(r["kind"], r["n"]): r["count"] for r in rows.groupBy("kind", F.length("term").alias("n")).count().collect()}  # kinds times lengths
+    sure = {}
+    for r in rows.where((F.col("toxic") >= 2) & (F.col("toxic") >= WORD_PRECISION * (F.col("toxic") + F.col("clean")))).collect():
+        sure.setdefault((r["kind"], len(r["term"])), []).append((math.exp(-_surprise(r["toxic"], r["clean"], rate)), r["term"], r))
+    out = []
+    for stratum, mine in sure.items():
+        mine.sort(key=lambda x: x[:2])
+        last = max((i for i, x in enumerate(mine, 1) if x[0] <= FALSE_FAMILIES * i / sizes[stratum]), default=0)
+        out += [x[2] for x in mine[:last]]
+    return sorted(out, key=lambda r: (r["kind"], r["term"]))
+
+
+def _chosen(sample: DataFrame, marks: list, rate: float, sure: float) -> ToxicityModel:
     """Of the terms that mark toxic texts those that explain texts which no better term explains.
 
-    Else every rare word of a toxic text that has copies would be a term. Copies of one text count once."""
+    Else every rare word of a toxic text that has copies would be a term. Copies of one text count once. Families come
+    first; the words that begin with a family's stem say little one by one and are no terms of their own."""
     terms = [(r["kind"], r["term"]) for r in marks]
     by_term = {t: i for i, t in enumerate(terms)}
-    lengths = sorted({len(t) for k, t in terms if k == "s"})
 
     def hits(batches):
         for batch in batches:
-            out = []
-            for text in batch["text"]:
-                words = set(_WORD.findall(text.lower()))
-                got = {by_term[("w", w)] for w in words if ("w", w) in by_term}
-                got |= {by_term[("s", w[:n])] for w in words for n in lengths if len(w) > n and ("s", w[:n]) in by_term}
-                out.append(sorted(got))
+            out = [sorted(by_term[g] for g in _grams(set(_WORD.findall(text.lower()))) if g in by_term) for text in batch["text"]]
             yield pd.DataFrame({"sketch": [_sketch(t).astype(">u4").tobytes() for t in batch["text"]], "hits": out})
 
     # at most FIT_ROWS sketches of SKETCH hashes; a family has the terms of all its texts
     toxic = sorted((bytes(r["sketch"]), r["hits"]) for r in sample.where(F.col("toxic") != 0).select("text").mapInPandas(hits, "sketch binary, hits array<int>").collect())
-    families = _families([np.frombuffer(s, ">u4").astype(np.uint32) for s, _ in toxic])
+    same = _families([np.frombuffer(s, ">u4").astype(np.uint32) for s, _ in toxic])
     covers: dict[int, set[int]] = {}
-    for family, (_, got) in zip(families, toxic):
+    for copy, (_, got) in zip(same, toxic):
         for i in got:
-            covers.setdefault(i, set()).add(family)
-    least = max(3, math.ceil(0.002 * len(set(families))))
-    words, stems, left = {}, {}, True
+            covers.setdefault(i, set()).add(copy)
+    share = lambda r: (r["toxic"] + rate * 0.5) / (r["toxic"] + r["clean"] + 0.5)
+    model = ToxicityModel()
     explained: set[int] = set()
-    while covers and left and len(words) + len(stems) < max_terms:
-        best = max(covers, key=lambda i: (len(covers[i] - explained), len(covers[i]), terms[i][0] == "w", -i))
-        gain = covers.pop(best)
-        left = len(gain - explained) >= least
-        if left:
+    for of_families, least in ((True, 2), (False, max(3, math.ceil(0.002 * len(set(same)))))):
+        some = {i: c for i, c in covers.items() if (terms[i][0] in FAMILIES) == of_families}
+        stems = {stem for stem, _ in model.families}
+        some = {i: c for i, c in some.items() if not any(terms[i][1].startswith(x) for x in stems)}
+        while some:
+            best = max(some, key=lambda i: (len(some[i] - explained), -marks[i]["clean"], len(some[i]), len(terms[i][1]) if of_families else terms[i][0] == "w", -i))
+            gain = some.pop(best)
+            if len(gain - explained) < least:
+                break
             explained |= gain
-            r = marks[best]
-            (words if r["kind"] == "w" else stems)[r["term"]] = (r["toxic"] + rate * 0.5) / (r["toxic"] + r["clean"] + 0.5)
-    for i, cover in covers.items():  # sure by distinct texts alone, though always beside others
-        r = marks[i]
-        if r["kind"] == "w" and len(words) < max_terms and _surprise(len(cover), r["clean"], rate) > sure:
-            words[r["term"]] = (r["toxic"] + rate * 0.5) / (r["toxic"] + r["clean"] + 0.5)
-    return ToxicityModel(dict(sorted(words.items())), dict(sorted(stems.items())))
+            kind, term = terms[best]
+            if kind in FAMILIES:
+                model.families[term, FAMILIES[kind]] = share(marks[best])
+            else:
+                (model.words if kind == "w" else model.stems)[term] = share(marks[best])
+        for i, cover in () if of_families else some.items():  # sure by distinct texts alone, though always beside others
+            if terms[i][0] == "w" and _surprise(len(cover), marks[i]["clean"], rate) > sure:
+                model.words[terms[i][1]] = share(marks[i])
+    model.words, model.stems, model.families = (dict(sorted(x.items())) for x in (model.words, model.stems, model.families))
+    return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_terms: int = MAX_TERMS) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicityModel:
     """Learn from docs (doc_id, text) and labels (doc_id, toxic), at most `rows` labelled documents, those with the least hash of their id."""
     sample = labelled_sample(docs, labels, "toxic", rows, "toxicity-sample")
     n = sample.agg(F.sum(F.when(F.col("toxic") != 0, 1).otherwise(0)).alias("t"), F.count(F.lit(1)).alias("n")).first()
@@ -358,17 +403,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_terms: int
     parts = max(2, sample.sparkSession.sparkContext.defaultParallelism)
     found = sample.select("text", "toxic").repartition(parts).mapInPandas(_features, "kind string, term string, toxic long, clean long")
     found = materialize(found.groupBy("kind", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-terms")
-    found_all = found
     rate = n_toxic / n_all
-    n_features = max(2, found_all.where(F.col("toxic") + F.col("clean") >= 3).count())  # terms that could pass at all
-    marks = found_all.where((F.col("toxic") >= 3) & (F.col("toxic") > WORD_PRECISION * (F.col("toxic") + F.col("clean"))))
-    marks = marks.orderBy(F.desc("toxic"), "kind", "term").limit(4 * max_terms).collect()
-    marks = [r for r in marks if _surprise(r["toxic"], r["clean"], rate) > math.log(n_features) + SURPRISE]
-    marks = [r for r in marks if r["kind"] == "w" or r["toxic"] >= STEM_PRECISION * (r["toxic"] + r["clean"])]
-    model = _chosen(sample, marks, rate, math.log(n_features) + SURPRISE, max_terms)
+    single = found.where(F.col("kind").isin("w", "s"))
+    n_features = max(2, single.where(F.col("toxic") + F.col("clean") >= 3).count())  # terms that could pass at all
+    sure = math.log(n_features) + SURPRISE
+    # what passes is certain beyond chance, so its number stays far below that of the sample's words
+    n, p = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    clean_part = F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - rate))).otherwise(0.0)
+    marks = single.where((F.col("toxic") >= 3) & (p > F.when(F.col("kind") == "w", WORD_PRECISION).otherwise(STEM_PRECISION)) & (n * (p * F.log(p / rate) + clean_part) > sure))
+    marks = sorted(marks.collect(), key=lambda r: (-r["toxic"], r["kind"], r["term"])) + _real_families(found, rate)
+    model = _chosen(sample, marks, rate, sure)
     if model.stems:  # the words of a stem stand beside it, for their misspellings
         begins = F.coalesce(*[F.when(F.substring("term", 1, n).isin([s for s in model.stems if len(s) == n]), F.substring("term", 1, n)) for n in STEM_LENGTHS])
-        of_stem = found_all.where((F.col("kind") == "w") & (F.col("toxic") > WORD_PRECISION * (F.col("toxic") + F.col("clean")))).select("term", begins.alias("stem")).where("stem is not null")
+        of_stem = found.where((F.col("kind") == "w") & (p > WORD_PRECISION)).select("term", begins.alias("stem")).where("stem is not null")
         for r in of_stem.collect():
             model.words[r["term"]] = max(model.words.get(r["term"], 0.0), model.stems[r["stem"]])
         model.words = dict(sorted(model.words.items()))
@@ -382,14 +429,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_terms: int
             batch = batch.assign(edits=[h[1] for h in hits], hit=[automaton.terms[h[0]] for h in hits])
             yield batch[batch["edits"] > 0]
 
-    nearby = found_all.where((F.col("kind") == "w") & (F.length("term") >= 4)).mapInPandas(near, "kind string, term string, toxic long, clean long, edits long, hit string")
+    nearby = found.where((F.col("kind") == "w") & (F.length("term") >= 4)).mapInPandas(near, "kind string, term string, toxic long, clean long, edits long, hit string")
     nearby = materialize(nearby, "toxicity-near")
-    harmless = nearby.where(F.col("clean") > F.col("toxic")).orderBy(F.desc("clean"), "term").limit(MAX_HARMLESS).select("term").collect()
-    model.harmless = frozenset(r["term"] for r in harmless)
+    model.harmless = frozenset(r["term"] for r in nearby.where(F.col("clean") > F.col("toxic")).select("term").collect())
     # words met once stand for words never met
     once = nearby.where(F.col("toxic") + F.col("clean") == 1).groupBy("hit", "edits").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     for r in once.collect():  # terms times two
         model.near[(r["hit"], r["edits"])] = (r["toxic"] + PRIOR_ROWS * NEAR[r["edits"]]) / (r["toxic"] + r["clean"] + PRIOR_ROWS)
+    discard(sample, found, nearby)
     return model
 
 
