@@ -13,8 +13,10 @@ as few shards as the law allows. How many groups can be that heavy is bounded by
 
 Slots come from counts per (shard, bucket of rows) and ranks within a bucket; no shard is gathered in one task.
 
-Defined results: null text has size `overhead`; null metadata are the least value; ids that repeat are separate rows;
-an empty table gives no rows; other columns are ignored.
+Results do not depend on how the input is partitioned, unless ids repeat. Defined results: null text has size
+`overhead`; null metadata are the least value; a text of any length is one row of its size; text metadata are ordered by
+their first six characters, and further by the hash of the document's text; ids that repeat are separate rows (told apart
+by numbers that follow the partitioning); an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrafold.llm.common import materialize, need
+from terrafold.llm.common import materialize, need, with_row
 
 SHARDS = 40
 OVERHEAD = 16
@@ -134,6 +136,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims:
     """One row for each row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard (null)."""
     need(docs, id_col, text_col)
     dims = tuple(c for c in dims if c in docs.columns)
+    docs, row, _ = with_row(docs.select(*dict.fromkeys([id_col, text_col, *dims])), id_col, "shard-numbered")
     data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -141,7 +144,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims:
         F.crc32(data).alias("text_crc32"),
         F.xxhash64(data).alias("group"),
         *[m.alias(f"m{d}") for d, m in enumerate([*metadata(docs, dims), F.coalesce(F.xxhash64(F.col(id_col).cast("string")), F.lit(0))][: max(1, len(dims))])],
-        F.xxhash64(F.col(id_col).cast("string"), F.monotonically_increasing_id()).alias("salt"),
+        F.xxhash64(F.col(row).cast("string")).alias("salt"),
     )
     n_dims = max(1, len(dims))
     rows = materialize(rows, "shard-rows")
