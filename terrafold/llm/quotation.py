@@ -15,7 +15,8 @@ a common line does not multiply; a passage's other lines meet every message with
 one row per hash; positions come from a range partitioning and per-partition offsets, so a conversation that holds a third of
 all messages is ordered in many tasks. Threads are followed by pointer doubling (rounds: logarithm of the depth).
 
-Defined results: null text has a null body and no quotes; a body of quotes alone is empty; messages that repeat a
+Defined results: lines of any length link, empty ones do not; null text has a null body and no quotes; very long texts
+are parsed whole, in one row each; a body of quotes alone is empty; messages that repeat a
 (conversation, turn) are separate rows and share their place's links, taken from the least text; null ids are not
 linked and stand alone; an empty table gives no rows; other columns are kept aside (ignored).
 """
@@ -31,7 +32,6 @@ from terrafold.llm.common import materialize, need
 MARKS = r"^(?:[ \t]*>)+[ \t]?"
 # How lines end that say who is quoted, in the languages at hand.
 ATTRIBUTION = r"(?i)(?:wrote|said|schrieb|sagte|a écrit|escribió|dijo)\s*:\s*$"
-LEAST_LINE = 12
 SPAN = 1_000
 
 
@@ -107,7 +107,7 @@ def _by_lines(rest: DataFrame, units: DataFrame) -> DataFrame:
     A passage's most common line proposes only the latest message with it: of those that hold no other line, that is the
     best. All with another line are proposed, and all that are proposed are credited with the common line if they have it."""
     place = ["conv_id", "turn", "passage"]
-    by_line = F.array_distinct(F.transform(F.filter("lines", lambda x: F.length(x) >= LEAST_LINE), lambda x: F.struct(F.xxhash64(x).alias("hash"), F.length(x).cast("long").alias("chars"))))
+    by_line = F.array_distinct(F.transform(F.filter("lines", lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("hash"), F.length(x).cast("long").alias("chars"))))
     keys = rest.select(*place, F.explode(by_line).alias("key")).select(*place, "key.hash", "key.chars")
     keys = keys.join(units.groupBy("conv_id", "hash").agg(F.count(F.lit(1)).alias("n")), ["conv_id", "hash"])
     common = keys.groupBy(*place).agg(F.max(F.struct("n", "hash", "chars")).alias("common")).select(*place, F.col("common.hash").alias("common"), F.col("common.chars").alias("common_chars"))
