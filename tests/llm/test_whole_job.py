@@ -1,12 +1,15 @@
 """Cases that text operators once lost, each against a plain version of the same decision."""
 
 import random
+import re
+import zlib
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from terrafold.llm import jaccard_join, language_id, quality_rules, quotation, toxicity
+from terrafold.llm import common, jaccard_join, kd_sharding, language_id, packing, quality_rules, quotation, toxicity
+from terrafold.llm.common import held_out
 from tests.llm.test_operators import table
 
 # 1 ------------------------------------------------------------------------------------------------------------------
@@ -20,6 +23,13 @@ def test_no_count_of_a_rare_language_is_left_out(spark):
     assert [r["lang_pred"] for r in got] == ["rare", "en", "de"]
 
 
+def test_what_is_no_letter_has_no_language(spark):
+    model = language_id.fit(table(spark, ["the quick brown fox " * 5], lang="en"))
+    odd = ["\U000f0000\U000f0001 \U0010fffd", "\U000e0041\U000e0042", "12 \U0001f600", "\ue000"]
+    got = language_id.identify(table(spark, [*odd, "\U00020000\U0002a6d6"]), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got] == ["und"] * 4 + ["en"]
+
+
 # 2 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -46,6 +56,25 @@ def test_misspelled_words_of_a_stem_are_caught(spark):
     assert all(scorer.score(f"well {w} then") > 0.3 for w in ("zukrewoi", "zugewon", "zzugrewou"))
 
 
+def test_toxicity_held_out_recall_where_labels_suffice(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.fit(docs, labels.where(~held_out("doc_id", 4, 2)))
+    got = toxicity.score(docs, model).join(labels.where(held_out("doc_id", 4, 2)), "doc_id").collect()
+    caught = sum(r["predicted"] and r["toxic"] for r in got)
+    assert caught >= 0.9 * sum(r["toxic"] for r in got) and caught >= 0.9 * sum(r["predicted"] for r in got)
+
+
+def test_families_need_several_words_of_a_stem(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    kin = lambda n: ["zugrew" + "".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(n)]
+    texts = [" ".join([*[word() for _ in range(30)], *(kin(4) if k % 10 == 0 else kin(1) if k % 3 == 0 else [])]) for k in range(300)]
+    model = toxicity.fit(table(spark, texts), spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(300)], "doc_id long, toxic int"))
+    assert any("zugrew".startswith(stem) or stem.startswith("zugrew") for stem, _ in model.families)
+    scorer = model.scorer()
+    assert scorer.score("so zugrewabc and zugrewhhh and zugrewfgf") > 0.5 and scorer.score("so zugrewabc and nothing else") < 0.3
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -62,6 +91,97 @@ def test_quotes_link_to_the_latest_message_that_holds_most(spark, monkeypatch):
     assert (got[1, 10], got[2, 8], got[3, 1]) == ((1, 9), (2, 5), (4, 2))
 
 
+def test_two_short_lines_and_the_fuller_message(spark):
+    rows = [
+        (1, 0, "no"), (1, 1, "yes\nno\nnot sure"), (1, 2, "no"), (1, 3, "> yes\n> no\nok"),
+        (2, 0, "line A here"), (2, 1, "zzz"), (2, 2, "line A here\nline B here\nline C here"), (2, 3, "> line A here\n> line B here\nfine"),
+        (3, 0, "> said elsewhere\nhm"), (3, 4, "said elsewhere"), (4, 1, "said elsewhere"),
+    ]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["reply_to_conv"], r["reply_to_turn"]) for r in quotation.format_conversations(df).collect()}
+    assert (got[1, 3], got[2, 3], got[3, 0]) == ((1, 1), (2, 2), (4, 1))
+
+
+def plain_links(messages):
+    """messages: (conv, turn) to text. (passages, linked ones, target) of each message, by looking at every other one."""
+    fold = lambda t: re.sub(r"\s+", " ", t.lower()).strip(" ")
+    bodies, quotes = {}, {}
+    for place, text in messages.items():
+        own, runs, last = [], [], -1
+        for at, line in enumerate(text.split("\n")):
+            marks = re.match(quotation.MARKS, line)
+            level, content = (marks.group().count(">"), line[marks.end() :]) if marks else (0, line)
+            if level == 0:
+                own.append(content)
+            elif level == last:
+                runs[-1][2].append(content)
+            else:
+                runs.append((level, at, [content]))
+            last = level
+        bodies[place] = "\n".join(own).strip()
+        quotes[place] = [r for r in runs if fold("\n".join(r[2]))]
+    units = {p: {fold(x) for x in [b, *re.split(r"\n\s*\n", b), *b.split("\n")]} - {""} for p, b in bodies.items()}
+    out = {}
+    for (conv, turn), runs in quotes.items():
+        found = []
+        for level, _, lines in runs:
+            text, parts = fold("\n".join(lines)), {fold(x) for x in lines} - {""}
+            earlier = [t for c, t in messages if c == conv and t < turn]
+            whole = [t for t in earlier if text in units[conv, t]]
+            held = {t: sum(len(x) for x in parts & units[conv, t]) for t in earlier}
+            best = max(whole, default=None)
+            if best is None and any(held.values()):
+                best = max(earlier, key=lambda t: (held[t], t))
+            if best is not None:
+                found.append((level, False, -best, conv, best))
+                continue
+            far = min(((c, t) for c, t in messages if c != conv and bodies[c, t] and fold(bodies[c, t]) == text), default=None)
+            if far:
+                found.append((level, True, -far[1], *far))
+        out[conv, turn] = (len(runs), len(found), min(found)[3:] if found else (None, None))
+    return out
+
+
+def test_links_equal_a_plain_search(spark):
+    rng = random.Random(17)
+    lines = ["ok", "yes", "no", "thanks a lot", "the cat sat on the mat", "and then it rained", "a much longer line that is said now and then", *[f"remark {k}" for k in range(30)]]
+    messages = {}
+    for conv in range(12):
+        for turn in range(14):
+            said = [rng.choice(lines) for _ in range(rng.randrange(1, 5))]
+            text = "\n".join(said if rng.random() < 0.8 else [said[0], "", *said[1:]])
+            if turn and rng.random() < 0.7:
+                old = messages[conv if rng.random() < 0.85 else rng.randrange(conv + 1), rng.randrange(turn)].split("\n")
+                a = rng.randrange(len(old))
+                part = old[a : a + rng.randrange(1, 4)]
+                text = "\n".join([*[(">" if x.startswith(">") else "> ") + x for x in part], text])
+            messages[conv, turn] = text
+    df = spark.createDataFrame([(c, t, "user", x) for (c, t), x in messages.items()], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["n_quotes"], r["n_linked"], (r["reply_to_conv"], r["reply_to_turn"])) for r in quotation.format_conversations(df).collect()}
+    want = plain_links(messages)
+    assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
+    assert sum(w[1] for w in want.values()) > 60
+
+
+# 4 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_shards_and_slots_do_not_follow_the_partitions(spark):
+    rng = random.Random(3)
+    df = table(spark, [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 90))) for _ in range(400)] + ["copy " * 20] * 60, lang="en")
+    one, other = (sorted((r["doc_id"], r["shard"], r["slot"]) for r in kd_sharding.shard(x, shards=7).collect()) for x in (df.coalesce(1), df.repartition(9)))
+    assert one == other
+
+
+# 5 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_ids_and_their_checksums_are_placed_alike(spark):
+    texts = ["word " * k for k in (1, 3, 400, 2000, 7)] + [None, "", "word " * 3]
+    whole, sums = (sorted(packing.pack(table(spark, texts), with_ids=x).collect(), key=lambda r: (r["doc_id"], r["piece"])) for x in (True, False))
+    assert [(r["doc_id"], r["piece"], r["length"], zlib.crc32(r["ids"])) for r in whole] == [(r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in sums]
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -107,3 +227,35 @@ def test_repeats_alone_are_rejected(spark):
     assert all(got[i]["kept"] for i in range(300))
     assert [i - 300 for i in range(300, len(got)) if got[i]["kept"]] == []
     assert sum(not got[i]["base_failed"] for i in range(300, len(got))) >= 11
+
+
+# the rest -----------------------------------------------------------------------------------------------------------
+
+
+def test_intermediate_tables_need_a_shared_folder(spark):
+    class Conf(dict):
+        pass
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(Session)
+    Session.sparkContext.master = "local[2]"
+    assert common.shared_folder(Session).startswith("file://") and not Session.conf
+    Session.conf["spark.checkpoint.dir"] = "viewfs://store/shared/"
+    assert common.shared_folder(Session) == "viewfs://store/shared"
+
+
+def test_written_tables_and_settings_do_not_stay(spark):
+    before = {k: spark.conf.get(k, None) for k in (common._CLEAN_UP, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.checkpoint.dir")}
+    t = common.materialize(spark.range(5).repartition(2), "some")
+    assert t.count() == 5
+    common.discard(t)
+    with pytest.raises(Exception, match="not exist|FILE_NOT_EXIST|PATH_NOT_FOUND"):
+        spark.read.schema("id long").parquet(t._written).count()
+    assert before == {k: spark.conf.get(k, None) for k in before}
+    assert common.free_name(spark.range(1).selectExpr("id AS _Row"), "_row") == "_row_"
