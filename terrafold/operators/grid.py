@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.checks import none_where, option, unique_key
@@ -33,6 +33,12 @@ def nearest_nodes(points: DataFrame, grid: Grid) -> DataFrame:
     return points.withColumns({"row": row, "col": col}).withColumn("gid", F.col("row").cast("long") * grid.cols + F.col("col"))
 
 
+def nodes(spark: SparkSession, grid: Grid) -> DataFrame:
+    """All nodes of a grid as points (id, lon, lat), to resample a coarser cube to it with bilinear()."""
+    row, col = F.floor(F.col("id") / grid.cols), F.col("id") % grid.cols
+    return spark.range(grid.rows * grid.cols).select("id", (F.lit(grid.lon0) + col * grid.step).alias("lon"), (F.lit(grid.lat0) - row * grid.step).alias("lat"))
+
+
 def map_points(points: DataFrame, grid: Grid, tolerance: float = 1e-5) -> DataFrame:
     """nearest_nodes of points that must lie on nodes of the grid (within `tolerance` cells), inside it, one a node."""
     out = nearest_nodes(points, grid)

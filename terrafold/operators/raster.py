@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrafold.checks import none_where
+from terrafold.checks import DataError, none_where
 
 NODATA = -9999
 
@@ -58,6 +58,15 @@ def merge_regions(parts: DataFrame) -> DataFrame:
     return merged.drop("_n")
 
 
+def same_geometry(geometries: dict[str, Geometry]) -> Geometry:
+    """The one geometry that all regions have; rasters of different grids are not merged."""
+    first = next(iter(geometries.values()))
+    other = [region for region, g in geometries.items() if g != first]
+    if other:
+        raise DataError(f"not on the grid of the others: {', '.join(other)}")
+    return first
+
+
 def region_pixels(parts: DataFrame) -> DataFrame:
     """Number of valid pixels of each region."""
     return parts.where(F.col("value").isNotNull() & (F.col("value") != NODATA)).groupBy("region").agg(F.count(F.lit(1)).alias("n_pixels"))

@@ -2,32 +2,57 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.operators import catalog, climate, climate_index, grid, raster, scan, season, trend
-from terrafold.sinks import tables
+from terrafold.sinks import tables, tiff
+from terrafold.sources import cube
 
 STEPS = ("prepare", "scores", "rasters", "merge", "points", "trend", "index")
 
 
-def prepare(cube: DataFrame, points: DataFrame, variable: str, g: grid.Grid, out: str, amounts: bool = False) -> None:
-    """A cube (date, row, col, value) at the points, in the monthly layout; months already there are left alone."""
+def prepare(cells: DataFrame, points: DataFrame, variable: str, g: grid.Grid, out: str, amounts: bool = False) -> None:
+    """Cells (date, row, col, value) at the points, in the monthly layout; months already there are left alone."""
     mapping = grid.map_points(points, g)
-    values = grid.extract_nodes(cube.withColumn("value", grid.clean(F.col("value"), not_negative=amounts)), mapping)
+    values = grid.extract_nodes(cells.withColumn("value", grid.clean(F.col("value"), not_negative=amounts)), mapping)
     long = values.select(F.lit(variable).alias("variable"), F.year("date").alias("year"), F.month("date").alias("month"), "id", "date", "value")
     tables.write_months(_new_months(long, out), out)
 
 
-def prepare_bilinear(cube: DataFrame, points: DataFrame, variable: str, axes: dict, out: str, missing: str = "renormalize") -> None:
-    """The same between the nodes of a coarser cube; axes: lon0, lat0, dx, dy, cols, rows."""
-    values = grid.bilinear(cube, grid.bilinear_corners(points, **axes), missing)
+def prepare_bilinear(cells: DataFrame, points: DataFrame, variable: str, axes: dict, out: str, missing: str = "renormalize") -> None:
+    """The same between the nodes of coarser cells; axes: lon0, lat0, dx, dy, cols, rows."""
+    values = grid.bilinear(cells, grid.bilinear_corners(points, **axes), missing)
     long = values.select(F.lit(variable).alias("variable"), F.year("date").alias("year"), F.month("date").alias("month"), "id", "date", "value")
     tables.write_months(_new_months(long, out), out)
 
 
+def open_cube(spark: SparkSession, path: str, g: grid.Grid, name: str | None = None, start: dt.date | None = None) -> DataFrame:
+    """(date, row, col, value) of a cube file whose size, origin, order of dimensions and days are checked first."""
+    cube.check_grid(path, g.lat0, g.lon0, g.rows, g.cols, name)
+    days = cube.days_of(path, start, name)
+    cube.check_days(days)
+    spark.dataSource.register(cube.Netcdf3)
+    read = spark.read.format("netcdf3").option("path", path)
+    steps = spark.createDataFrame(list(enumerate(days)), "time int, date date")  # a row a day of the file
+    return (read.option("variable", name) if name else read).load().join(F.broadcast(steps), "time").select("date", "row", "col", "value")
+
+
+def prepare_file(spark: SparkSession, path: str, points: DataFrame, variable: str, g: grid.Grid, out: str, start: dt.date | None = None, name: str | None = None, amounts: bool = False) -> dict:
+    """A cube file to the monthly layout, with a record of sources and layout beside it, which is returned."""
+    cells = open_cube(spark, path, g, name, start)
+    prepare(cells, points, variable, g, out, amounts)
+    present = spark.read.parquet(out).select("variable", "year", "month").distinct()
+    asked = cells.select(F.year("date").alias("year"), F.month("date").alias("month")).distinct()
+    record = tables.provenance(sources={variable: path}, layout=catalog.layout_report(present, asked, [variable]))
+    tables.write_summary(spark, record, f"{out}/_provenance/{variable}")
+    return record
+
+
 def _new_months(long: DataFrame, out: str) -> DataFrame:
     spark = long.sparkSession
     try:
@@ -47,13 +72,14 @@ def daily_results(window: DataFrame, points: DataFrame, kind: str = "r", thresho
     return scan.by_batches(scan.scored(climate.humid_days(rows, keys, threshold), kind, keys), kind, keys, dealt=True)
 
 
-def run_scores(long: DataFrame, points: DataFrame, out: str, start: str, end: str, kind: str = "r") -> DataFrame:
-    """Reads the four variables, scores all seasons, writes results and coverage; returns the coverage."""
+def run_scores(long: DataFrame, points: DataFrame, out: str, start: str, end: str, kind: str = "r", asked: DataFrame | None = None) -> DataFrame:
+    """Reads the four variables, scores all seasons, writes results and coverage; returns the coverage. Without a result
+    there is only the coverage: of the seasons asked for (year, region, start, end), if they are named."""
     parts = {v: climate.read_window(long, v, start, end) for v in ("tmin", "tmax", "tdew", "rain")}
     results = season.strict_lookup(daily_results(climate.join_variables(parts), points, kind), points, "lon", "lat", "altitude")
     tables.write_seasons(results, f"{out}/daily")
-    written = long.sparkSession.read.parquet(f"{out}/daily")
-    report = season.coverage(written)
+    written = long.sparkSession.read.schema(results.schema).parquet(f"{out}/daily")
+    report = season.coverage(written, asked)
     tables.write_coverage(report, f"{out}/coverage")
     return report
 
@@ -81,6 +107,27 @@ def run_rasters(results: DataFrame, points: DataFrame, out: str) -> None:
         raster.sum_regions(written.withColumnRenamed(v, "value")).write.mode("overwrite").partitionBy("year").parquet(f"{out}/merged_{v}")
 
 
+def merge_year(parts: DataFrame, geometries: dict[str, raster.Geometry], path: str, variable: str, year: int, description: str = "", units: str = "", kind: str = "int16") -> dict[str, int]:
+    """parts (region, y_idx, x_idx, value) of one year as one GeoTIFF whose tags say what it holds; valid pixels by region.
+    Regions on different grids, or with a value at the same pixel, are errors, and leave an older file as it is."""
+    g = raster.same_geometry(geometries)
+    merged = raster.merge_regions(parts)
+    valid = {r["region"]: r["n_pixels"] for r in raster.region_pixels(parts).orderBy("region").collect()}
+    tags = {"variable": variable, "description": description, "units": units, "year": str(year), "regions_merged": "; ".join(f"{r} ({n} px)" for r, n in valid.items()), "n_valid_pixels": str(sum(valid.values()))}
+    tiff.write(merged, g, f"{path}.part", kind, f"{variable} - {description}", tags)
+    os.replace(f"{path}.part", path)
+    return valid
+
+
+def rerun_sample(results: DataFrame, long: DataFrame, points: DataFrame, n: int, start: str, end: str, kind: str = "r", seed: int = 0) -> DataFrame:
+    """Scores n sampled points again and compares them with the results there are: one row, as compare_runs() gives it."""
+    ids = catalog.sample_ids(points, n, seed)
+    some = points.join(F.broadcast(ids), "id", "left_semi")
+    parts = {v: climate.read_window(long, v, start, end).join(F.broadcast(ids), "id", "left_semi") for v in ("tmin", "tmax", "tdew", "rain")}
+    again = daily_results(climate.join_variables(parts), some, kind)
+    return catalog.compare_runs(results.join(F.broadcast(ids), "id", "left_semi"), again, ["applications", "bu", "fu"])
+
+
 def run_index(yearly: DataFrame, points: DataFrame, monthly: DataFrame, out: str, years: tuple[int, int], permutations: int = 5000) -> dict:
     """Season means of the index, permutation significance of every metric per point and field, and the unit table."""
     spark = yearly.sparkSession
@@ -97,7 +144,9 @@ def run_index(yearly: DataFrame, points: DataFrame, monthly: DataFrame, out: str
         found = spark.read.parquet(f"{out}/permuted_{metric}")
         field = climate_index.field_significance(climate_index.point_significance(found), climate_index.hits_of(found)).first()
         summary["field"][metric] = field.asDict() if field else {}
-        tables.write_report(climate_index.unit_table(yearly.where(F.col("year").isin(span)), points, means, metric), f"{out}/units_{metric}")
+        units = climate_index.unit_table(yearly.where(F.col("year").isin(span)), points, means, metric)
+        tables.write_report(units, f"{out}/units_{metric}")
+        tables.write_report(climate_index.unit_significance(units, by_region, span, perms), f"{out}/regressions_{metric}")
     tables.write_summary(spark, tables.provenance(**summary), f"{out}/summary")
     return summary
 

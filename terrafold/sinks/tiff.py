@@ -6,6 +6,7 @@ one at a time, and only one row is held."""
 from __future__ import annotations
 
 import struct
+from xml.etree import ElementTree
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,11 +22,21 @@ def _tag(code: int, values, fmt: str, kind: int) -> tuple[int, int, int, bytes]:
     return code, kind, len(values), struct.pack("<" + fmt * len(values), *values)
 
 
-def write(pixels: DataFrame, g: Geometry, path: str, kind: str = "int16", description: str = "") -> None:
-    """pixels: y_idx, x_idx, value; missing pixels get NODATA. Pixels outside the geometry are an error."""
+def _metadata(description: str, tags: dict[str, str] | None) -> str:
+    root = ElementTree.Element("GDALMetadata")
+    for name, value in (tags or {}).items():
+        ElementTree.SubElement(root, "Item", name=name).text = str(value)
+    if description:
+        ElementTree.SubElement(root, "Item", name="DESCRIPTION", sample="0", role="description").text = description
+    return ElementTree.tostring(root, encoding="unicode")
+
+
+def write(pixels: DataFrame, g: Geometry, path: str, kind: str = "int16", description: str = "", tags: dict[str, str] | None = None) -> None:
+    """pixels: y_idx, x_idx, value; missing pixels get NODATA. Pixels outside the geometry are an error. The description of
+    the band and the tags go into the file as metadata items."""
     dtype, sample = _KINDS[kind]
     row_bytes = g.cols * dtype.itemsize
-    ascii_ = lambda code, text: (code, 2, len(text) + 1, text.encode() + b"\0")
+    ascii_ = lambda code, text: (code, 2, len(text.encode()) + 1, text.encode() + b"\0")
     entries = [
         _tag(256, g.cols, "I", 4), _tag(257, g.rows, "I", 4), _tag(258, dtype.itemsize * 8, "H", 3), _tag(259, 1, "H", 3), _tag(262, 1, "H", 3),
         *([ascii_(270, description)] if description else []),
@@ -33,6 +44,7 @@ def write(pixels: DataFrame, g: Geometry, path: str, kind: str = "int16", descri
         _tag(33550, [g.dx, g.dy, 0.0], "d", 12), _tag(33922, [0.0, 0.0, 0.0, g.west, g.north, 0.0], "d", 12),
         # a geographic model, pixels are areas, EPSG 4326
         _tag(34735, [1, 1, 0, 3, 1024, 0, 1, 2, 1025, 0, 1, 1, 2048, 0, 1, 4326], "H", 3),
+        *([ascii_(42112, _metadata(description, tags))] if description or tags else []),
         ascii_(42113, str(NODATA)),
     ]
     head = 8 + 2 + 12 * len(entries) + 4
@@ -62,9 +74,7 @@ def write(pixels: DataFrame, g: Geometry, path: str, kind: str = "int16", descri
         f.write(empty.tobytes() * (g.rows - at))
 
 
-def read(path: str) -> tuple[np.ndarray, Geometry]:
-    """A file that `write` made."""
-    data = open(path, "rb").read()
+def _fields(data: bytes) -> dict[int, tuple]:
     n = struct.unpack_from("<H", data, 8)[0]
     tags = {}
     for k in range(n):
@@ -73,6 +83,21 @@ def read(path: str) -> tuple[np.ndarray, Geometry]:
         size = count * struct.calcsize(fmt)
         at = 10 + 12 * k + 8 if size <= 4 else struct.unpack_from("<I", data, 10 + 12 * k + 8)[0]
         tags[code] = struct.unpack_from(f"<{count}{fmt}", data, at)
+    return tags
+
+
+def read_tags(path: str) -> dict[str, str]:
+    """The metadata items of a file, the band's description among them."""
+    with open(path, "rb") as f:
+        found = _fields(f.read()).get(42112)
+    return {e.get("name"): e.text or "" for e in ElementTree.fromstring(found[0].rstrip(b"\0"))} if found else {}
+
+
+def read(path: str) -> tuple[np.ndarray, Geometry]:
+    """A file that `write` made."""
+    with open(path, "rb") as f:
+        data = f.read()
+    tags = _fields(data)
     kind = np.dtype("<i2" if tags[339][0] == 2 else "<f4")
     cols, rows = tags[256][0], tags[257][0]
     image = np.frombuffer(data, kind, rows * cols, tags[273][0]).reshape(rows, cols)

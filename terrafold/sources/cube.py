@@ -6,14 +6,23 @@ layout are read with numpy, without a library. HDF5-based files are refused with
 
 from __future__ import annotations
 
+import datetime as dt
 import struct
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from terrafold.checks import DataError
+
 _TYPES = {1: "b", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: "u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
 
+# Names that files use for their axes.
+TIME_NAMES = ("time", "T", "z")
+LAT_NAMES = ("latitude", "lat")
+LON_NAMES = ("longitude", "lon")
+_SECONDS = {"day": 86400, "hour": 3600, "minute": 60, "second": 1}
+
 
 @dataclass
 class Variable:
@@ -93,7 +102,7 @@ class CubeReader(DataSourceReader):
         self.steps = int(options.get("steps", "31"))
 
     def _open(self):
-        header = Header(open(self.path, "rb").read(1 << 20))
+        header = _header(self.path)
         names = [n for n, v in header.vars.items() if len(v.dims) == 3]
         name = self.variable or (names[0] if names else "")
         if name not in header.vars or len(header.vars[name].dims) != 3:
@@ -137,21 +146,86 @@ class Netcdf3(DataSource):
         return CubeReader(dict(self.options))
 
 
+def _header(path: str) -> Header:
+    with open(path, "rb") as f:
+        return Header(f.read(1 << 20))
+
+
 def axes(path: str, names: tuple[str, ...]) -> dict[str, np.ndarray]:
-    """Coordinate variables of a file, on the driver."""
-    data = open(path, "rb").read()
-    header = Header(data)
+    """Coordinate variables of a file, on the driver; nothing else of it is read."""
+    header = _header(path)
     out = {}
-    for n in names:
-        v = header.vars[n]
-        count = int(np.prod(header.shape(v)))
-        if header.dims[v.dims[0]][1] == 0 and header.record_size:
-            out[n] = np.array([np.frombuffer(data, v.kind, 1, v.begin + k * header.record_size)[0] for k in range(count)]).astype(np.float64)
-        else:
-            out[n] = np.frombuffer(data, v.kind, count, v.begin).astype(np.float64)
+    with open(path, "rb") as f:
+        for n in names:
+            v = header.vars[n]
+            count = int(np.prod(header.shape(v)))
+            records = header.dims[v.dims[0]][1] == 0
+            step, each = (header.record_size, 1) if records else (0, count)
+            got = []
+            for k in range(count if records else 1):
+                f.seek(v.begin + k * step)
+                got.append(np.frombuffer(f.read(each * v.kind.itemsize), v.kind))
+            out[n] = np.concatenate(got).astype(np.float64) if got else np.zeros(0)
     return out
 
 
+def _cube_variable(header: Header, name: str | None) -> Variable:
+    found = [v for v in header.vars.values() if len(v.dims) == 3 and name in (None, v.name)]
+    if not found:
+        raise DataError(f"no variable of three dimensions{f' named {name!r}' if name else ''}")
+    return found[0]
+
+
+def check_grid(path: str, lat0: float, lon0: float, rows: int, cols: int, variable: str | None = None, tolerance: float = 1e-6) -> None:
+    """Fails unless the variable's dimensions are (time, latitude, longitude), as many rows and columns as said, from this origin."""
+    header = _header(path)
+    v = _cube_variable(header, variable)
+    order = [header.dims[k][0] for k in v.dims]
+    if order[1] not in LAT_NAMES or order[2] not in LON_NAMES:
+        raise DataError(f"dimensions are {', '.join(order)}, not time, latitude, longitude")
+    shape = header.shape(v)[1:]
+    if shape != [rows, cols]:
+        raise DataError(f"the cube has {shape[0]} x {shape[1]} nodes, not {rows} x {cols}")
+    known = [n for n in order[1:] if n in header.vars]
+    for n, first in zip(order[1:], (lat0, lon0)):
+        if n not in known:
+            raise DataError(f"no coordinates named {n}")
+        at = axes(path, (n,))[n][0]
+        if abs(at - first) > tolerance:
+            raise DataError(f"{n} begins at {at}, not at {first}")
+
+
+def days_of(path: str, start: dt.date | None = None, variable: str | None = None, names: tuple[str, ...] = TIME_NAMES) -> list[dt.date]:
+    """The day of each step. The time axis is the first of `names` that the file has; with units `... since ...` it tells
+    the day, else, or where there is no axis, steps are days from `start` on."""
+    header = _header(path)
+    steps = header.shape(_cube_variable(header, variable))[0]
+    name = next((n for n in names if n in header.vars and len(header.vars[n].dims) == 1), None)
+    attrs = header.vars[name].attrs if name else {}
+    unit, _, since = str(attrs.get("units", "")).partition(" since ")
+    if not since:
+        if start is None:
+            raise DataError("the time axis names no first day: give one")
+        return [start + dt.timedelta(days=k) for k in range(steps)]
+    if attrs.get("calendar", "standard") not in ("standard", "gregorian", "proleptic_gregorian"):
+        raise DataError(f"days of the calendar {attrs['calendar']!r} are not read")
+    seconds = _SECONDS.get(unit.strip().lower().rstrip("s"))
+    if seconds is None:
+        raise DataError(f"steps in {unit!r} are not read")
+    day, *clock = since.strip().replace("T", " ").split()
+    origin = dt.datetime(*(int(x) for x in day.split("-")))
+    for x, width in zip((clock or ["0"])[0].rstrip("Z").split(":"), (3600, 60, 1)):
+        origin += dt.timedelta(seconds=float(x) * width)
+    return [(origin + dt.timedelta(seconds=float(t) * seconds)).date() for t in axes(path, (name,))[name]]
+
+
+def check_days(days: list[dt.date]) -> None:
+    """Fails if a month's steps are torn: each step has to be the day after the one before it, once a month has begun."""
+    for a, b in zip(days, days[1:]):
+        if b <= a or (a.year, a.month) == (b.year, b.month) and b != a + dt.timedelta(days=1):
+            raise DataError(f"the steps of a month are not contiguous: {b} after {a}")
+
+
 def start_date(units: str) -> str | None:
     """The first day of `days since ...` units; None where the units name none, and steps count from a given day."""
     return units.split(" since ", 1)[1].strip()[:10] if " since " in units else None

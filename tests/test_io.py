@@ -6,11 +6,12 @@ import sqlite3
 import struct
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from terrafold.checks import DataError
-from terrafold.operators import climate, raster, scan
+from terrafold.operators import climate, grid, raster, scan
 from terrafold.plans import jobs
 from terrafold.sinks import tables, tiff
 from terrafold.sources import cube, index_text, points, season_tree
@@ -109,6 +110,104 @@ def test_tiff_round_trip(spark, tmp_path):
         tiff.write(spark.createDataFrame([(9, 0, 1)], px.schema), g, str(tmp_path / "b.tif"))
 
 
+def test_year_is_merged_with_tags(spark, tmp_path):
+    g = raster.Geometry(-81.0, 1.0, 0.5, 0.5, 3, 4)
+    parts = spark.createDataFrame([("a", 0, 1, 5), ("a", 0, 2, None), ("b", 2, 3, 7), ("b", 2, 2, 8)], "region string, y_idx int, x_idx int, value int")
+    out = str(tmp_path / "BU_2001.tif")
+    assert jobs.merge_year(parts, {"a": g, "b": g}, out, "BU", 2001, "blight <units> ñ", "1") == {"a": 1, "b": 2}
+    image, back = tiff.read(out)
+    tags = tiff.read_tags(out)
+    assert back == g and image[2, 2] == 8 and (image == raster.NODATA).sum() == 9
+    assert tags["regions_merged"] == "a (1 px); b (2 px)" and tags["n_valid_pixels"] == "3" and tags["DESCRIPTION"] == "BU - blight <units> ñ" and tags["year"] == "2001"
+    with pytest.raises(DataError, match="b"):
+        jobs.merge_year(parts, {"a": g, "b": raster.Geometry(-81.0, 1.0, 0.5, 0.5, 3, 5)}, out, "BU", 2001)
+    with pytest.raises(DataError):
+        jobs.merge_year(parts.union(parts.where("region = 'b'").withColumn("region", F.lit("a"))), {"a": g, "b": g}, out, "BU", 2001)
+    assert tiff.read_tags(out) == tags
+
+
+def test_raster_paths(spark, tmp_path):
+    folders = {"p1": "north", "p2": "south"}
+    for at in ("2001/p1/north/BU.tif", "2001/p2/south/BU.tif", "2002/p1/north/BU.tif", "2003/p1/north/BU.tif", "2003/p1/north/BU_b.tif", "2003/p2/south/BU.tif", "2001/p1/south/BU.tif"):
+        (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / at).write_bytes(b"")
+    found, skipped = season_tree.raster_paths(spark, str(tmp_path), 2001, 2004, folders)
+    assert list(found) == [2001] and found[2001]["p1"].endswith("2001/p1/north/BU.tif") and sorted(skipped) == [2002, 2003, 2004] and "more than one" in skipped[2003]
+    found, skipped = season_tree.raster_paths(spark, str(tmp_path), 2001, 2004, folders, strict=False)
+    assert list(found) == [2001, 2002] and found[2002]["p2"] is None and sorted(skipped) == [2003, 2004]
+    with pytest.raises(DataError):
+        season_tree.raster_paths(spark, str(tmp_path), 2004, 2005, folders)
+
+
+def cube_file(path, values, time=None, units="", lats=(1.0, 0.5), lons=(-81.0, -80.5), names=("time", "lat", "lon")):
+    """A classic file without records: value(time, lat, lon), both axes, and a time axis if it is given."""
+    name = lambda s: struct.pack(">i", len(s.encode())) + s.encode() + b"\0" * (-len(s.encode()) % 4)
+    text = lambda k, v: name(k) + struct.pack(">ii", 2, len(v)) + v.encode() + b"\0" * (-len(v) % 4)
+    sizes = dict(zip(names, values.shape))
+    dims = struct.pack(">ii", 10, 3) + b"".join(name(n) + struct.pack(">i", k) for n, k in sizes.items())
+    order = list(sizes)
+    parts = [(n, [order.index(n)], np.array(v), "") for n, v in (("lat", lats), ("lon", lons))]
+    if time is not None:
+        parts.append((names[0], [0], np.array(time), units))
+    parts.append(("rain", [0, 1, 2], values, ""))
+
+    def header(begins):
+        out = b"CDF\x01" + struct.pack(">i", 0) + dims + struct.pack(">ii", 0, 0) + struct.pack(">ii", 11, len(parts))
+        for (n, d, v, u), at in zip(parts, begins):
+            out += name(n) + struct.pack(f">i{len(d)}i", len(d), *d) + (struct.pack(">ii", 12, 1) + text("units", u) if u else struct.pack(">ii", 0, 0)) + struct.pack(">iii", 6, v.size * 8, at)
+        return out
+
+    begins = len(header([0] * len(parts))) + np.concatenate([[0], np.cumsum([p[2].size * 8 for p in parts])[:-1]])
+    path.write_bytes(header(begins.tolist()) + b"".join(p[2].astype(">f8").tobytes() for p in parts))
+    return str(path)
+
+
+def test_cube_file_to_months(spark, tmp_path):
+    g = grid.Grid(1.0, -81.0, 0.5, 2, 2)
+    values = np.arange(40 * 4, dtype=float).reshape(40, 2, 2)
+    path = cube_file(tmp_path / "a.nc", values, np.arange(40) * 24 + 12, "hours since 2001-01-10 00:00:00")
+    pts = spark.createDataFrame([(1, -80.5, 1.0), (2, -81.0, 0.5)], "id long, lon double, lat double")
+    record = jobs.prepare_file(spark, path, pts, "rain", g, str(tmp_path / "m"))
+    assert record["layout"] == [{"variable": "rain", "n_present": 2, "first": 200101, "last": 200102, "n_missing": 0}] and record["sources"] == {"rain": path}
+    rows = {(r["id"], r["date"]): r["value"] for r in spark.read.parquet(str(tmp_path / "m")).collect()}
+    assert len(rows) == 80 and rows[(1, dt.date(2001, 1, 10))] == 1.0 and rows[(2, dt.date(2001, 2, 18))] == 158.0
+    assert jobs.prepare_file(spark, path, pts, "rain", g, str(tmp_path / "m")) == record and spark.read.parquet(str(tmp_path / "m")).count() == 80
+    for bad, match in ((grid.Grid(1.0, -81.0, 0.5, 2, 3), "nodes"), (grid.Grid(1.5, -81.0, 0.5, 2, 2), "begins"), (grid.Grid(1.0, -80.0, 0.5, 2, 2), "begins")):
+        with pytest.raises(DataError, match=match):
+            jobs.open_cube(spark, path, bad)
+    with pytest.raises(DataError, match="dimensions"):
+        jobs.open_cube(spark, cube_file(tmp_path / "o.nc", values, names=("time", "lon", "lat")), g)
+    with pytest.raises(DataError, match="contiguous"):
+        jobs.open_cube(spark, cube_file(tmp_path / "t.nc", values, np.where(np.arange(40) < 3, np.arange(40), np.arange(40) + 1), "days since 2001-01-01"), g)
+
+
+def test_days_of_older_cubes(tmp_path):
+    values = np.zeros((3, 2, 2))
+    first = dt.date(1999, 12, 31)
+    want = [first, dt.date(2000, 1, 1), dt.date(2000, 1, 2)]
+    for k, names in enumerate((("T", "lat", "lon"), ("z", "lat", "lon"))):
+        assert cube.days_of(cube_file(tmp_path / f"{k}.nc", values, [0, 1, 2], "days since 1999-12-31", names=names)) == want
+    assert cube.days_of(cube_file(tmp_path / "s.nc", values, [7, 8, 9], "step"), first) == want
+    assert cube.days_of(cube_file(tmp_path / "n.nc", values), first) == want
+    with pytest.raises(DataError):
+        cube.days_of(str(tmp_path / "n.nc"))
+
+
+def test_rows_of_a_group(spark, tmp_path):
+    long = world(spark)[1].where("variable = 'rain' and year = 2001 and month = 3")
+    tables.write_months(long, str(tmp_path / "m"), files=1, group_rows=20)
+    file = next((tmp_path / "m").rglob("*.parquet"))
+    groups = pq.ParquetFile(file).metadata
+    assert groups.num_rows == 62 and [groups.row_group(k).num_rows for k in range(groups.num_row_groups)] == [20, 20, 20, 2]
+
+
+def test_nodes_of_a_finer_grid(spark):
+    fine = grid.nodes(spark, grid.Grid(1.0, -81.0, 0.25, 5, 5))
+    cells = spark.range(9).select(F.lit(dt.date(2001, 1, 1)).alias("date"), (F.col("id") / 3).cast("int").alias("row"), (F.col("id") % 3).cast("int").alias("col"), F.col("id").cast("double").alias("value"))
+    got = grid.bilinear(cells, grid.bilinear_corners(fine, lon0=-81.0, lat0=1.0, dx=0.5, dy=-0.5, cols=3, rows=3), "propagate")
+    assert {r["id"]: r["value"] for r in got.collect()}[6] == 2.0
+
+
 def world(spark):
     pts = spark.createDataFrame([(1, -75.0, -12.0, 3500.0, "Sierra Alta [>3,000]"), (2, -76.0, -8.0, 100.0, "Costa [0-500 msnm]")], "id long, lon double, lat double, altitude double, type string")
     days = spark.range(2 * 800).select((F.col("id") % 2 + 1).cast("int").alias("id"), F.date_add(F.lit("2000-07-01").cast("date"), (F.col("id") / 2).cast("int")).alias("date"), F.col("id").alias("k"))
@@ -130,6 +229,12 @@ def test_jobs_from_months_to_trends(spark, tmp_path):
     jobs.run_rasters(results, pts, str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "r/merged_app")).count() > 0
     path = tables.backfill(spark, str(tmp_path / "out/daily"), pts, ("type",))
+    assert path == str(tmp_path / "out/daily") and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["coverage", "daily"]
+    again = jobs.rerun_sample(spark.read.parquet(path), spark.read.parquet(str(tmp_path / "climate")), pts, 1, "2000-07-01", "2002-12-31", "s").first()
+    assert again["n_common"] > 0 and again["n_only_old"] == again["n_only_new"] == again["n_ids_changed"] == 0 and again["max_diff_bu"] == 0
+    asked = spark.createDataFrame([(1990, "lowland", dt.date(1990, 7, 1), dt.date(1990, 12, 31))], "year int, region string, start date, end date")
+    empty = jobs.run_scores(spark.read.parquet(str(tmp_path / "climate")), pts, str(tmp_path / "none"), "1990-07-01", "1990-12-31", "s", asked)
+    assert [(r["year"], r["n_days"], r["truncated"]) for r in empty.collect()] == [(1990, 0, True)]
     assert "type" in spark.read.parquet(path).columns and tables.backfill(spark, path, pts, ("type",)) == path
     order = []
     assert jobs.run(["trend", "scores"], {s: (lambda s=s: order.append(s)) for s in jobs.STEPS}) == ["scores", "trend"] == order
@@ -142,6 +247,8 @@ def test_index_job(spark, tmp_path):
     pts = spark.range(6).select("id", (-F.col("id").cast("double") * 3).alias("lat"), F.lit(-75.0).alias("lon"))
     monthly = spark.range(14 * 12).select((F.col("id") / 12 + 2000).cast("int").alias("year"), (F.col("id") % 12 + 1).cast("int").alias("month"), (F.col("id") % 5 - 2.0).alias("value"))
     summary = jobs.run_index(yearly, pts, monthly, str(tmp_path), (2000, 2009), 50)
+    units = spark.read.option("header", "true").csv(str(tmp_path / "regressions_app"))
+    assert {"region", "zone", "slope", "p"} <= set(units.columns) and units.count() > 0
     assert set(summary["field"]) == {"app", "sum_bu", "sum_fu"} and 0 <= summary["field"]["app"]["field_p"] <= 1
     with pytest.raises(DataError):
         jobs.run_index(yearly.where("not (id = 1 and year = 2003)"), pts, monthly, str(tmp_path / "x"), (2000, 2009), 5)
