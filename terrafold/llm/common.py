@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Characters that count as white space wherever a contract speaks of words.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -90,6 +91,17 @@ def with_row(docs: DataFrame, id_col: str, name: str) -> tuple[DataFrame, str, b
     return materialize(docs.withColumn(row, F.monotonically_increasing_id()), name), row, False
 
 
+def numbered(df: DataFrame, keys: list[Column], name: str, table: str) -> DataFrame:
+    """df with the place of each row (a long from 0) in the order of keys, from a range partitioning and per-partition offsets."""
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    placed = materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id()), table)
+    part, inside = F.shiftrightunsigned(name, 33), F.col(name).bitwiseAND(F.lit((1 << 33) - 1))
+    # one row per partition: bounded by the number of partitions
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + inside).cast("long")).drop("_part", "_start")
+
+
 def held_out(doc_id: str | Column, modulus: int, remainder: int) -> Column:
     """True where crc32 of the id as text leaves that remainder."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
