@@ -1,7 +1,5 @@
-"""One query for each operator, over tables of the star schema read as climate data, each with SQL for another engine.
-
-A supplier is a point; its line items of a day give that day's values (whole numbers over powers of two, so that every
-sum is exact); its type, place and region follow from its key."""
+"""One query for each operator, over tables of the star schema read as climate data (sources/star.py), each with SQL for
+another engine."""
 
 from __future__ import annotations
 
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import classes, diurnal, ranks, scores, solar
 from terrafold.operators import catalog, climate, climate_index, grid, raster, scan, season, trend
+from terrafold.sources import star
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,10 +35,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id"), F.to_date("l_shipdate").alias("date"))
-    sums = rows.agg(F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("c"), F.sum("l_linenumber").alias("n"))
-    tmin = (F.col("q") % 64) / 8.0
-    return sums.select("id", "date", tmin.alias("tmin"), (tmin + 6 + F.col("c") % 8).alias("tmax"), (tmin + (F.col("n") % 16) / 4.0 - 1).alias("tdew"), (((F.col("q") + 3 * F.col("c")) % 48) / 4.0).alias("rain"), "q", "c", "n")
+    return star.daily_of(table(spark, d, "lineitem"))
 
 
 DAILY = """daily AS (SELECT id, date, (q % 64) / 8.0 AS tmin, (q % 64) / 8.0 + 6 + c % 8 AS tmax, (q % 64) / 8.0 + (n % 16) / 4.0 - 1 AS tdew,
@@ -48,10 +44,7 @@ DAILY = """daily AS (SELECT id, date, (q % 64) / 8.0 AS tmin, (q % 64) / 8.0 + 6
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    altitude = (k * 37) % 4500
-    kind = F.when(altitude >= 3000, "Sierra Alta [>3,000]").when(altitude >= 2000, "Sierra Media [2000-3000 masl]").when(altitude >= 500, "Interandino [500 - 2,000]").otherwise("Costa [0-500 msnm]")
-    return table(spark, d, "supplier").select(k.alias("id"), (-81.0 + (k % 40) * 0.25).alias("lon"), (-0.5 - (k % 64) * 0.25).alias("lat"), altitude.cast("double").alias("altitude"), kind.alias("type"))
+    return star.points_of(table(spark, d, "supplier"))
 
 
 POINTS = """points AS (SELECT id, lon, lat, altitude, type, CASE WHEN altitude >= 3000 THEN 'highland' WHEN altitude >= 2000 THEN 'midland' ELSE 'lowland' END AS region FROM (
@@ -345,9 +338,13 @@ def flagship(spark, d, kind: str = "s"):
     return season.reduce_seasons(treated)
 
 
-ORACLE_SQL["flagship"] = f"""{_BASE}, {_HUMID}, scored AS (SELECT id, season, date, row_number() OVER (PARTITION BY id, season ORDER BY date) AS day, CAST({scores.blight_sql('humid_hours', 'humid_tmean', 's')} AS INTEGER) AS bu, rain, region FROM humid),
-    ready AS (SELECT id, season, date, day, bu, CAST({scores.washoff_sql('rain', 'day')} AS INTEGER) AS fu FROM scored), {_scan_sql('ready', 's')}
+_SCORED = f"""{_BASE}, {_HUMID}, scored AS (SELECT id, season, date, row_number() OVER (PARTITION BY id, season ORDER BY date) AS day, CAST({scores.blight_sql('humid_hours', 'humid_tmean', 's')} AS INTEGER) AS bu, rain, region FROM humid),
+    ready AS (SELECT id, season, date, day, bu, CAST({scores.washoff_sql('rain', 'day')} AS INTEGER) AS fu FROM scored), {_scan_sql('ready', 's')}"""
+ORACLE_SQL["flagship"] = f"""{_SCORED}
     SELECT s.id, s.season AS year, p.region, max(n) AS app, CAST(sum(bu) AS BIGINT) AS sum_bu, CAST(sum(fu) AS BIGINT) AS sum_fu, count(*) AS n_days FROM scan s JOIN points p USING (id) WHERE day > 0 GROUP BY ALL"""
+#: The same with whether the season is truncated: what a job that keeps seasons up to date has in the end.
+SEASON_UPDATE_SQL = f"""{_SCORED}, {_COVERAGE}, sums AS (SELECT s.id, s.season AS year, p.region, max(n) AS app, CAST(sum(bu) AS BIGINT) AS sum_bu, CAST(sum(fu) AS BIGINT) AS sum_fu, count(*) AS n_days FROM scan s JOIN points p USING (id) WHERE day > 0 GROUP BY ALL)
+    SELECT s.*, truncated FROM sums s JOIN coverage c USING (year, region)"""
 QUERIES["flagship"] = flagship
 
 
