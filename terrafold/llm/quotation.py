@@ -11,7 +11,8 @@ ordered by thread, then by turn, so that each message comes after what it answer
 line before them, are left out of the body.
 
 Skew: whole passages, and the most common line of each other passage, meet the latest message with that hash alone, so
-a common line does not multiply; a passage's other lines meet every message with them. Far links join by hash against
+a common line does not multiply; of a passage's other lines, those by which a message could still win meet every message
+with them, once for all passages of the conversation that have the same lines. Far links join by hash against
 one row per hash; positions come from a range partitioning and per-partition offsets, so a conversation that holds a third of
 all messages is ordered in many tasks. Threads are followed by pointer doubling (rounds: logarithm of the depth).
 
@@ -84,42 +85,81 @@ def _units(parsed: DataFrame) -> DataFrame:
     return units.where(F.length("unit") > 0).select("conv_id", "turn", F.xxhash64("unit").alias("hash"))
 
 
-def _latest(units: DataFrame, asks: DataFrame) -> DataFrame:
-    """For each (conv_id, hash, turn) of asks the latest earlier turn with that hash, as source_turn, where there is one.
+def _before(facts: DataFrame, asks: DataFrame) -> DataFrame:
+    """facts: conv_id, hash, turn, value; for each (conv_id, hash, turn) of asks the greatest value with that hash at an
+    earlier turn, where there is one.
 
     Turns go by spans of SPAN: one window inside a span, one over the spans, so that no task holds all of a common line."""
     asks = asks.select("conv_id", "hash", "turn").distinct()
-    both = units.select("conv_id", "hash", "turn", F.col("turn").alias("has"), F.lit(False).alias("asks"))
-    both = both.unionByName(asks.withColumn("has", F.lit(None).cast(units.schema["turn"].dataType)).withColumn("asks", F.lit(True)))
+    both = facts.select("conv_id", "hash", "turn", "value", F.lit(False).alias("asks"))
+    both = both.unionByName(asks.withColumn("value", F.lit(None).cast(facts.schema["value"].dataType)).withColumn("asks", F.lit(True)))
     both = both.withColumn("span", F.floor(F.col("turn") / SPAN))
     earlier = Window.partitionBy("conv_id", "hash", "span").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    inside = both.withColumn("near", F.max("has").over(earlier)).where("asks").select("conv_id", "hash", "turn", "span", "near")
-    spans = both.groupBy("conv_id", "hash", "span").agg(F.max("has").alias("has"))
+    inside = both.withColumn("near", F.max("value").over(earlier)).where("asks").select("conv_id", "hash", "turn", "span", "near")
+    spans = both.groupBy("conv_id", "hash", "span").agg(F.max("value").alias("value"))
     before = Window.partitionBy("conv_id", "hash").orderBy("span").rangeBetween(Window.unboundedPreceding, -1)
-    far = spans.withColumn("far", F.max("has").over(before)).select("conv_id", "hash", "span", "far")
-    found = inside.join(far, ["conv_id", "hash", "span"]).select("conv_id", "hash", "turn", F.coalesce("near", "far").alias("source_turn"))
-    return found.where(F.col("source_turn").isNotNull())
+    far = spans.withColumn("far", F.max("value").over(before)).select("conv_id", "hash", "span", "far")
+    found = inside.join(far, ["conv_id", "hash", "span"])
+    value = F.greatest("near", "far")  # NULL counts for nothing
+    return found.select("conv_id", "hash", "turn", value.alias("value")).where(F.col("value").isNotNull())
 
 
-def _by_lines(rest: DataFrame, units: DataFrame) -> DataFrame:
-    """conv_id, turn, passage, source_turn: the earlier message that holds most characters of a passage's lines.
+def _latest(units: DataFrame, asks: DataFrame) -> DataFrame:
+    """For each (conv_id, hash, turn) of asks the latest earlier turn with that hash, as source_turn, where there is one."""
+    return _before(units.select("conv_id", "hash", "turn", F.col("turn").alias("value")), asks).withColumnRenamed("value", "source_turn")
 
-    A passage's most common line proposes only the latest message with it: of those that hold no other line, that is the
-    best. All with another line are proposed, and all that are proposed are credited with the common line if they have it."""
-    place = ["conv_id", "turn", "passage"]
-    by_line = F.array_distinct(F.transform(F.filter("lines", lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("hash"), F.length(x).cast("long").alias("chars"))))
-    keys = rest.select(*place, F.explode(by_line).alias("key")).select(*place, "key.hash", "key.chars")
-    keys = keys.join(units.groupBy("conv_id", "hash").agg(F.count(F.lit(1)).alias("n")), ["conv_id", "hash"])
-    common = keys.groupBy(*place).agg(F.max(F.struct("n", "hash", "chars")).alias("common")).select(*place, F.col("common.hash").alias("common"), F.col("common.chars").alias("common_chars"))
-    common = materialize(common, "quote-common")
+
+def _by_lines(rest: DataFrame, units: DataFrame) -> DataFrame:
+    """conv_id, turn, passage, source_turn: the earlier message that holds most characters of a passage's lines, the latest
+    of equals.
+
+    Passages of a conversation with the same lines ask together, as one set, so a set of lines meets each message once
+    however often it is quoted; a passage then takes the greatest score before it, and the latest message with that
+    score. Of a set's lines, from the rarest on, only those meet all messages with them that a message without any rarer
+    line could still win by; the most common one only proposes the latest message with it, which is the best of those
+    that hold no other line."""
+    place, group = ["conv_id", "turn", "passage"], ["conv_id", "set"]
+    by_line = F.array_sort(F.array_distinct(F.transform(F.filter("lines", lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("hash"), F.length(x).cast("long").alias("chars")))))
+    asked = rest.select(*place, by_line.alias("keys")).withColumn("set", F.xxhash64(F.transform("keys", lambda x: x["hash"])))
+    sets = asked.groupBy(*group).agg(F.min("turn").alias("first"), F.max("turn").alias("last"), F.first("keys").alias("keys"))
+    lines = sets.select(*group, "first", "last", F.explode("keys").alias("key")).select(*group, "first", "last", "key.hash", "key.chars")
+    lines = lines.join(units.groupBy("conv_id", "hash").agg(F.count(F.lit(1)).alias("n")), ["conv_id", "hash"])
+    rarest = Window.partitionBy(*group).orderBy("n", "hash")
+    lines = lines.select(
+        "*", F.row_number().over(rarest).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy(*group)).alias("of"),
+        F.sum("chars").over(rarest.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("from_here"),
+    )
+    lines = materialize(lines.withColumn("common", F.col("rank") == F.col("of")), "quote-lines")
     has = units.select("conv_id", "hash", F.col("turn").alias("source_turn"))
-    others = keys.join(common, place).where(F.col("hash") != F.col("common")).join(has, ["conv_id", "hash"]).where(F.col("source_turn") < F.col("turn"))
-    asks = common.select(*place, F.col("common").alias("hash"))
-    last = asks.join(_latest(units, asks), ["conv_id", "hash", "turn"]).select(*place, "source_turn", F.lit(0).cast("long").alias("chars"))
-    scored = others.select(*place, "source_turn", "chars").unionByName(last).groupBy(*place, "source_turn").agg(F.sum("chars").alias("chars")).join(common, place)
-    held = has.select("conv_id", F.col("hash").alias("common"), "source_turn", F.lit(True).alias("held"))
-    scored = scored.join(held, ["conv_id", "common", "source_turn"], "left").withColumn("chars", F.col("chars") + F.when(F.col("held"), F.col("common_chars")).otherwise(0))
-    return scored.groupBy(*place).agg(F.max(F.struct("chars", "source_turn")).alias("best")).select(*place, F.col("best.source_turn").alias("source_turn"))
+
+    def credit(candidates: DataFrame, some: DataFrame) -> DataFrame:
+        """The characters of those lines that each candidate (conv_id, set, source_turn) holds, a row a line."""
+        held = candidates.join(some.select(*group, "hash", "chars"), group).join(has, ["conv_id", "hash", "source_turn"])
+        return held.select(*group, "source_turn", "chars")
+
+    # what every passage of a set reaches at least: the latest message with its rarest or its most common line before all of them
+    asks = lines.where("rank = 1 OR common").select(*group, "hash", F.col("first").alias("turn"))
+    sure = asks.join(_latest(units, asks), ["conv_id", "hash", "turn"]).select(*group, "source_turn").distinct()
+    reached = credit(sure, lines).groupBy(*group, "source_turn").agg(F.sum("chars").alias("chars")).groupBy(*group).agg(F.max("chars").alias("reached"))
+    lines = lines.join(reached, group, "left").withColumn("asks", ~F.col("common") & ((F.col("rank") == 1) | (F.col("from_here") >= F.coalesce("reached", F.lit(0)))))
+    lines = materialize(lines, "quote-sets")
+    met = lines.where("asks").join(has, ["conv_id", "hash"]).where(F.col("source_turn") < F.col("last")).select(*group, "source_turn", "chars")
+    met = materialize(met, "quote-met")
+    scored = met.unionByName(credit(met.select(*group, "source_turn").distinct(), lines.where("NOT asks")))
+    scored = scored.groupBy(*group, "source_turn").agg(F.sum("chars").alias("chars"))
+    scored = materialize(scored.select("conv_id", F.col("set").alias("hash"), F.col("source_turn").alias("turn"), F.col("chars").alias("value")), "quote-scores")
+    ours = asked.select(*place, "set").join(lines.where("common").select(*group, F.col("hash").alias("common"), F.col("chars").alias("common_chars")), group)
+    ours = materialize(ours, "quote-asked")
+    last = _latest(units, ours.select("conv_id", F.col("common").alias("hash"), "turn")).select("conv_id", F.col("hash").alias("common"), "turn", F.col("source_turn").alias("of_common"))
+    best = _before(scored, ours.select("conv_id", F.col("set").alias("hash"), "turn")).select("conv_id", F.col("hash").alias("set"), "turn", F.col("value").alias("score"))
+    best = materialize(best, "quote-best")
+    with_score = scored.select("conv_id", F.xxhash64("hash", "value").alias("hash"), "turn")
+    at_best = _latest(with_score, best.select("conv_id", F.xxhash64("set", "score").alias("hash"), "turn")).select("conv_id", F.col("hash").alias("key"), "turn", F.col("source_turn").alias("of_best"))
+    best = best.withColumn("key", F.xxhash64("set", "score")).join(at_best, ["conv_id", "key", "turn"]).drop("key")
+    found = ours.join(last, ["conv_id", "common", "turn"], "left").join(best, ["conv_id", "set", "turn"], "left")
+    score, common = F.coalesce("score", F.lit(0)), F.when(F.col("of_common").isNotNull(), F.col("common_chars")).otherwise(0)
+    source = F.when(score > common, F.col("of_best")).when(score < common, F.col("of_common")).otherwise(F.greatest("of_best", "of_common"))
+    return found.select(*place, source.alias("source_turn")).where(F.col("source_turn").isNotNull())
 
 
 def link(parsed: DataFrame, found: DataFrame) -> DataFrame:
