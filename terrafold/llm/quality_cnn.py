@@ -115,6 +115,13 @@ def _winners(table: np.ndarray, bias: np.ndarray, data: np.ndarray) -> tuple[np.
     return np.maximum(best + bias, 0), at + (np.arange(len(cube)) * _HALF)[:, None]
 
 
+def _winners_of(table: np.ndarray, bias: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a text of any length, slice by slice, so that what is held at once stays bounded."""
+    step = _SLICE // _HALF * _HALF
+    parts = [(_winners(table, bias, data[a : a + step + WIDTH - 1]), a) for a in range(0, len(data) - WIDTH + 1, step)]
+    return np.concatenate([best for (best, _), _ in parts]), np.concatenate([at + a for (_, at), a in parts])
+
+
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 7, batch: int = 16) -> QualityModel:
     """Fit on whole texts; without labels of both kinds the model answers the share of label 1."""
     share = float(np.mean(labels)) if len(labels) else EMPTY_SCORE
@@ -144,7 +151,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
 def _add_gradient(v: dict, grads: dict, data: np.ndarray, y: float, scale: float) -> None:
     if len(data) < CHUNK:
         data = np.concatenate([data, np.zeros(CHUNK - len(data), np.uint8)])
-    halves, at = _winners(v["table"], v["bias"], data)
+    halves, at = _winners_of(v["table"], v["bias"], data)
     if len(halves) > 1:
         first = halves[:-1] >= halves[1:]
         chunks = np.where(first, halves[:-1], halves[1:])

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from terrafold.llm import common, jaccard_join, kd_sharding, language_id, packing, quality_rules, quotation, toxicity
+from terrafold.llm import common, jaccard_join, kd_sharding, language_id, packing, quality_cnn, quality_rules, quotation, toxicity
 from terrafold.llm.common import held_out
 from tests.llm.test_operators import table
 
@@ -259,3 +259,58 @@ def test_written_tables_and_settings_do_not_stay(spark):
         spark.read.schema("id long").parquet(t._written).count()
     assert before == {k: spark.conf.get(k, None) for k in before}
     assert common.free_name(spark.range(1).selectExpr("id AS _Row"), "_row") == "_row_"
+
+
+# 3, 6 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_common_lines_do_not_multiply(spark, tmp_path):
+    """Every message says and quotes the same two common lines, and one of its own: rows stay in proportion."""
+    n = 3000
+    rows = [(1, t, "user", f"> first common line\n> second common line\n> own {t - 1}\nsay {t}\n\nown {t}\nfirst common line\nsecond common line") for t in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parsed = quotation.parse(df)
+    found = common.materialize(quotation.passages(parsed.where("quoted").select("conv_id", "turn", "lines", "quoted")), "test-passages")
+    written = {}
+    keep = common.materialize
+
+    def watched(table, name, *more):
+        out = keep(table, name, *more)
+        written[name] = out.count()
+        return out
+
+    quotation.materialize = watched
+    try:
+        got = {r["turn"]: r["source_turn"] for r in quotation.link(parsed, found).collect()}
+    finally:
+        quotation.materialize = keep
+    assert got == {t: t - 1 if t else None for t in range(n)}
+    assert max(written.values()) <= 8 * n
+
+
+def test_slices_of_a_text_win_alike(monkeypatch):
+    """Training in slices finds the same greatest answers and places as at once."""
+    rng = np.random.default_rng(1)
+    table, bias = rng.normal(0, 1, (quality_cnn.WIDTH, 256, quality_cnn.FILTERS)).astype(np.float32), np.zeros(quality_cnn.FILTERS, np.float32)
+    for size in (128, 129, 700, 4096, 5000):
+        data = rng.integers(0, 256, size).astype(np.uint8)
+        whole = quality_cnn._winners(table, bias, data)
+        monkeypatch.setattr(quality_cnn, "_SLICE", 256)
+        for a, b in zip(quality_cnn._winners_of(table, bias, data), whole):
+            assert np.array_equal(a, b)
+
+
+def test_convolution_by_its_definition():
+    """The forward pass against loops over filters, places and chunks."""
+    rng = np.random.default_rng(2)
+    table, bias = rng.normal(0, 1, (quality_cnn.WIDTH, 256, quality_cnn.FILTERS)).astype(np.float32), rng.normal(0, 1, quality_cnn.FILTERS).astype(np.float32)
+    weight = rng.normal(0, 0.1, 3 * quality_cnn.FILTERS)
+    model = quality_cnn.QualityModel(table, bias, weight, 0.2, 0.5)
+    text = "".join(rng.choice(list("abcdef é.\n"), 400))
+    data = text.encode()
+    answers = np.array([[sum(table[k, data[i + k], f] for k in range(quality_cnn.WIDTH)) for f in range(quality_cnn.FILTERS)] for i in range(len(data) - quality_cnn.WIDTH + 1)])
+    half = quality_cnn.CHUNK // 2
+    halves = [np.maximum(answers[a : a + half].max(axis=0) + bias, 0) for a in range(0, len(answers), half)]
+    chunks = np.array([np.maximum(a, b) for a, b in zip(halves, halves[1:])])
+    x = np.concatenate([chunks.mean(axis=0), chunks.min(axis=0), chunks.max(axis=0)])
+    assert model.scores([text])[0] == pytest.approx(1 / (1 + np.exp(-(x @ weight + 0.2))), abs=1e-5)
