@@ -16,7 +16,7 @@ log = logging.getLogger("jobs")
 
 def config(spark: SparkSession, path: str) -> dict:
     """A JSON file, from any file system that Spark reads."""
-    return json.loads(spark.read.option("wholetext", "true").text(path).first()[0])
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def written(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame | None:
