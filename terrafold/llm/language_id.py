@@ -1,12 +1,13 @@
 """Language identification by interpolated Kneser-Ney character models (operator 1).
 
-Per language one model of character n-grams is learned from labelled texts. Counts of the highest order are
-gathered over every labelled row in one distributed pass; the lower orders follow from them as continuation
-counts, as Kneser and Ney define them. For each order the n-grams of all languages lie in one sorted array of
+Per language one model of character n-grams is learned from labelled texts: all of a language with few, about
+`FIT_ROWS` of one with more, those whose id has a small hash. Their n-grams of the highest order are counted in one
+distributed pass, none left out; the lower orders follow as continuation counts, as Kneser and Ney define them. For each order the n-grams of all languages lie in one sorted array of
 64-bit hashes beside a matrix of interpolated log probabilities, one column a language, so that a text is scored
 with one binary search per character and order that it needs. The language with the lowest cross-entropy per
 character is chosen. A text is rejected when that cross-entropy lies further above what the language's own texts
-have than `reject_sd` standard deviations, with the deviation widened for short texts.
+have than `REJECT_SD` standard deviations, with the deviation widened for short texts. Mean, deviation and widening
+are learned for each language from rows that were not counted, if there are enough.
 
 Defined results:
 - null text, empty text and text without a letter: `und`, score 0, rejected (there is no language in it);
@@ -15,8 +16,8 @@ Defined results:
 - other columns of the input are ignored (or kept by keep_languages), whatever their names; repeated rows give repeated
   results, and an empty table none; very long texts are scored whole, in pieces that keep their context.
 
-Size of the model: the distinct n-grams of each order over all languages, none left out, with 8 bytes and 4 more a
-language each. A language whose rows have no letter has no model; such rows are not used.
+Size of the model, which is gathered and broadcast: the distinct n-grams of each order in the rows to learn from, with
+8 bytes and 4 more a language each; so it is bounded by FIT_ROWS and the number of languages, not by the corpus. A language whose rows have no letter has no model; such rows are not used.
 """
 
 from __future__ import annotations
@@ -33,7 +34,10 @@ from terrafold.llm.common import bounded_sample, free_name, materialize, need
 
 UNKNOWN = "und"
 ORDER = 4
-CALIBRATION_ROWS = 2_000
+FIT_ROWS = 20_000
+CALIBRATION_ROWS, CALIBRATION_LEAST = 2_000, 20
+PIECE = 40
+LEAST_CHAR_VAR = 6.0
 REJECT_SD = 8.0
 
 _STEP = 500_000
@@ -341,16 +345,23 @@ def _hashed(rows: DataFrame, columns: int, width: int) -> tuple[HashIndex, np.nd
     return HashIndex(h[order]), table
 
 
-def fit(labelled: DataFrame, order: int = ORDER, calibration_rows: int = CALIBRATION_ROWS) -> LanguageModel:
+def fit(labelled: DataFrame, order: int = ORDER, calibration_rows: int = CALIBRATION_ROWS, fit_rows: int = FIT_ROWS) -> LanguageModel:
     """Learn from the columns doc_id, text and lang of `labelled`; rows without text or lang are left out.
 
-    Counts come from every row. Only the calibration of rejection and score uses at most `calibration_rows` rows."""
+    Counts come from about `fit_rows` rows of each language (every row of one with fewer), those with the smallest hashes of
+    their id. Rejection and score are calibrated on at most `calibration_rows` rows, that are not counted: every tenth by
+    another hash; of a language with fewer than CALIBRATION_LEAST such rows all rows are counted, and calibrate too."""
     rows = need(labelled, "doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    found = rows.select("text", "lang").mapInPandas(lambda it: _counts(it, order), "lang string, gram binary, n long")
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))  # a row a language
+    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")), F.lit(1 << 30))
+    aside = (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("calibrate")), F.lit(10)) == 0) & (F.col("_rows") >= 10 * CALIBRATION_LEAST)
+    rows = rows.join(F.broadcast(sizes), "lang").where(part < F.lit(float(1 << 30) * fit_rows) / F.col("_rows"))
+    rows = rows.withColumn("_aside", F.coalesce(aside, F.lit(False)))
+    found = rows.where("NOT _aside").select("text", "lang").mapInPandas(lambda it: _counts(it, order), "lang string, gram binary, n long")
     found = materialize(found.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-counts")
     model = build(found, order)
     if model.langs:
-        sample = bounded_sample(rows, "doc_id", calibration_rows).toPandas()
+        sample = bounded_sample(rows.where(F.col("_aside") | (F.col("_rows") < 10 * CALIBRATION_LEAST)), "doc_id", calibration_rows).select("text", "lang").toPandas()
         _calibrate(model, sample)
     return model
 
@@ -371,6 +382,13 @@ def _calibrate(model: LanguageModel, sample: pd.DataFrame) -> None:
             centre = float(np.median(own[mine]))
             model.mean[j] = centre
             model.text_var[j] = max(float(np.median((own[mine] - centre) ** 2)) / 0.455, 0.01)
+            # pieces of PIECE letters say how much wider short texts spread
+            texts = [t[len(t) // 2 :][:PIECE] for t in sample["text"][mine].tolist()[:200]]
+            short, symbols_, some = model.entropies(texts)
+            fit = some >= PIECE // 2
+            if fit.sum() >= 5:
+                spread = float(np.median((short[fit, j] - centre) ** 2)) / 0.455 - model.text_var[j]
+                model.char_var[j] = max(spread * float(np.median(symbols_[fit])), LEAST_CHAR_VAR)
     best_loss = np.inf
     for sharp in (2.0, 5.0, 10.0, 20.0, 50.0):
         z = -(ce - ce.min(axis=1, keepdims=True)) * np.minimum(count, sharp)[:, None]

@@ -314,3 +314,34 @@ def test_convolution_by_its_definition():
     chunks = np.array([np.maximum(a, b) for a, b in zip(halves, halves[1:])])
     x = np.concatenate([chunks.mean(axis=0), chunks.min(axis=0), chunks.max(axis=0)])
     assert model.scores([text])[0] == pytest.approx(1 / (1 + np.exp(-(x @ weight + 0.2))), abs=1e-5)
+
+
+# 1 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_large_languages_are_learned_from_a_bounded_part(spark):
+    """A language with many rows gives about fit_rows of them, a rare one all; calibration rows are not counted."""
+    rng = random.Random(1)
+    words = {"big": "abcde", "rare": "vwxyz"}
+    text = lambda lang: " ".join("".join(rng.choice(words[lang]) for _ in range(4)) for _ in range(30))
+    langs = ["big"] * 1500 + ["rare"] * 15
+    df = table(spark, [text(x) for x in langs], lang=langs)
+    seen = {}
+    keep = language_id.materialize
+
+    def watched(rows, name, *more):
+        out = keep(rows, name, *more)
+        if name == "language-counts":
+            seen.update({r["lang"]: r["n"] for r in out.groupBy("lang").sum("n").withColumnRenamed("sum(n)", "n").collect()})
+        return out
+
+    language_id.materialize = watched
+    try:
+        model = language_id.fit(df, fit_rows=300)
+    finally:
+        language_id.materialize = keep
+    per_text = 30 * 5  # four letters and the end of each word
+    assert seen["rare"] == 15 * per_text
+    assert 150 * per_text < seen["big"] < 400 * per_text
+    got = language_id.identify(df, model, ("lang",)).collect()
+    assert all(r["lang"] == r["lang_pred"] and not r["rejected"] for r in got)
