@@ -340,7 +340,7 @@ def test_large_languages_are_learned_from_a_bounded_part(spark):
         model = language_id.fit(df, fit_rows=300)
     finally:
         language_id.materialize = keep
-    per_text = 30 * 5  # four letters and the end of each word
+    per_text = 30 * 5 - 1  # four letters and an end of each word, but for the last end
     assert seen["rare"] == 15 * per_text
     assert 150 * per_text < seen["big"] < 400 * per_text
     got = language_id.identify(df, model, ("lang",)).collect()
