@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrafold.checks import option
 from terrafold.operators import catalog, climate, climate_index, grid, raster, scan, season, trend
-from terrafold.sinks import tables, tiff
-from terrafold.sources import cube
+from terrafold.sinks import cog, tables, tiff
+from terrafold.sources import bounds, cube, files
 
 STEPS = ("prepare", "scores", "rasters", "merge", "points", "trend", "index")
 
@@ -31,15 +31,16 @@ def prepare_bilinear(cells: DataFrame, points: DataFrame, variable: str, axes: d
     tables.write_months(_new_months(long, out), out)
 
 
-def open_cube(spark: SparkSession, path: str, g: grid.Grid, name: str | None = None, start: dt.date | None = None) -> DataFrame:
-    """(date, row, col, value) of a cube file whose size, origin, order of dimensions and days are checked first."""
+def open_cube(spark: SparkSession, path: str, g: grid.Grid, name: str | None = None, start: dt.date | None = None, first: dt.date | None = None, last: dt.date | None = None) -> DataFrame:
+    """(date, row, col, value) of a cube file whose size, origin, order of dimensions and days are checked first.
+    first, last: only these days; they become bounds on the steps, which reach the scan."""
     cube.check_grid(path, g.lat0, g.lon0, g.rows, g.cols, name)
     days = cube.days_of(path, start, name)
     cube.check_days(days)
-    spark.dataSource.register(cube.Netcdf3)
-    read = spark.read.format("netcdf3").option("path", path)
     steps = spark.createDataFrame(list(enumerate(days)), "time int, date date")  # a row a day of the file
-    return (read.option("variable", name) if name else read).load().join(F.broadcast(steps), "time").select("date", "row", "col", "value")
+    asked = [k for k, day in enumerate(days) if (first is None or day >= first) and (last is None or day <= last)]
+    cells = bounds.load(spark, cube.Netcdf3, path, {"time": (min(asked, default=0), max(asked, default=-1) + 1)}, variable=name)
+    return cells.join(F.broadcast(steps), "time").select("date", "row", "col", "value")
 
 
 def prepare_file(spark: SparkSession, path: str, points: DataFrame, variable: str, g: grid.Grid, out: str, start: dt.date | None = None, name: str | None = None, amounts: bool = False) -> dict:
@@ -107,15 +108,20 @@ def run_rasters(results: DataFrame, points: DataFrame, out: str) -> None:
         raster.sum_regions(written.withColumnRenamed(v, "value")).write.mode("overwrite").partitionBy("year").parquet(f"{out}/merged_{v}")
 
 
-def merge_year(parts: DataFrame, geometries: dict[str, raster.Geometry], path: str, variable: str, year: int, description: str = "", units: str = "", kind: str = "int16") -> dict[str, int]:
-    """parts (region, y_idx, x_idx, value) of one year as one GeoTIFF whose tags say what it holds; valid pixels by region.
+def merge_year(parts: DataFrame, geometries: dict[str, raster.Geometry], path: str, variable: str, year: int, description: str = "", units: str = "", kind: str = "int16", layout: str = "plain") -> dict[str, int]:
+    """parts (region, y_idx, x_idx, value) of one year as one GeoTIFF, plain or ("cog") tiled with overviews, whose tags say what
+    it holds; valid pixels by region.
     Regions on different grids, or with a value at the same pixel, are errors, and leave an older file as it is."""
+    option(layout, ("plain", "cog"), "layout")
     g = raster.same_geometry(geometries)
     merged = raster.merge_regions(parts)
     valid = {r["region"]: r["n_pixels"] for r in raster.region_pixels(parts).orderBy("region").collect()}
     tags = {"variable": variable, "description": description, "units": units, "year": str(year), "regions_merged": "; ".join(f"{r} ({n} px)" for r, n in valid.items()), "n_valid_pixels": str(sum(valid.values()))}
-    tiff.write(merged, g, f"{path}.part", kind, f"{variable} - {description}", tags)
-    os.replace(f"{path}.part", path)
+    if layout == "cog":
+        cog.write(merged, g, path, kind, f"{variable} - {description}", tags)
+    else:
+        tiff.write(merged, g, f"{path}.part", kind, f"{variable} - {description}", tags)
+        files.rename(f"{path}.part", path)
     return valid
 
 

@@ -13,13 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.operators.raster import NODATA, Geometry
+from terrafold.sources import geotiff
+from terrafold.sources.files import open_new
 
-_KINDS = {"int16": (np.dtype("<i2"), 2), "float32": (np.dtype("<f4"), 3)}
-
-
-def _tag(code: int, values, fmt: str, kind: int) -> tuple[int, int, int, bytes]:
-    values = values if isinstance(values, (list, tuple)) else [values]
-    return code, kind, len(values), struct.pack("<" + fmt * len(values), *values)
+#: Sample types by name, with the number that the format has for them.
+KINDS = {"int16": (np.dtype("<i2"), 2), "float32": (np.dtype("<f4"), 3)}
+_FORMATS = {2: "s", 3: "H", 4: "I", 12: "d"}
 
 
 def _metadata(description: str, tags: dict[str, str] | None) -> str:
@@ -31,36 +30,47 @@ def _metadata(description: str, tags: dict[str, str] | None) -> str:
     return ElementTree.tostring(root, encoding="unicode")
 
 
-def write(pixels: DataFrame, g: Geometry, path: str, kind: str = "int16", description: str = "", tags: dict[str, str] | None = None) -> None:
-    """pixels: y_idx, x_idx, value; missing pixels get NODATA. Pixels outside the geometry are an error. The description of
-    the band and the tags go into the file as metadata items."""
-    dtype, sample = _KINDS[kind]
-    row_bytes = g.cols * dtype.itemsize
-    ascii_ = lambda code, text: (code, 2, len(text.encode()) + 1, text.encode() + b"\0")
-    entries = [
-        _tag(256, g.cols, "I", 4), _tag(257, g.rows, "I", 4), _tag(258, dtype.itemsize * 8, "H", 3), _tag(259, 1, "H", 3), _tag(262, 1, "H", 3),
-        *([ascii_(270, description)] if description else []),
-        _tag(273, [0] * g.rows, "I", 4), _tag(277, 1, "H", 3), _tag(278, 1, "I", 4), _tag(279, [row_bytes] * g.rows, "I", 4), _tag(339, sample, "H", 3),
-        _tag(33550, [g.dx, g.dy, 0.0], "d", 12), _tag(33922, [0.0, 0.0, 0.0, g.west, g.north, 0.0], "d", 12),
-        # a geographic model, pixels are areas, EPSG 4326
-        _tag(34735, [1, 1, 0, 3, 1024, 0, 1, 2, 1025, 0, 1, 1, 2048, 0, 1, 4326], "H", 3),
-        *([ascii_(42112, _metadata(description, tags))] if description or tags else []),
-        ascii_(42113, str(NODATA)),
-    ]
-    head = 8 + 2 + 12 * len(entries) + 4
-    extra = sum(len(e[3]) + len(e[3]) % 2 for e in entries if len(e[3]) > 4)
-    start = head + extra
-    entries = [_tag(273, [start + k * row_bytes for k in range(g.rows)], "I", 4) if e[0] == 273 else e for e in entries]
+def facts(g: Geometry, kind: str, compression: int, rows: int, cols: int, description: str = "", tags: dict[str, str] | None = None) -> list[tuple[int, int, list | bytes]]:
+    """(tag, type, values) that any layout has: size, samples, place, description, items and the missing value."""
+    dtype, sample = KINDS[kind]
+    text = lambda x: x.encode() + b"\0"
+    out = [(256, 4, [cols]), (257, 4, [rows]), (258, 3, [dtype.itemsize * 8]), (259, 3, [compression]), (262, 3, [1]), (277, 3, [1]), (339, 3, [sample])]
+    out += [(270, 2, text(description))] if description else []
+    # a geographic model, pixels are areas, EPSG 4326
+    out += [(33550, 12, [g.dx, g.dy, 0.0]), (33922, 12, [0.0, 0.0, 0.0, g.west, g.north, 0.0]), (34735, 3, [1, 1, 0, 3, 1024, 0, 1, 2, 1025, 0, 1, 1, 2048, 0, 1, 4326])]
+    out += [(42112, 2, text(_metadata(description, tags)))] if description or tags else []
+    return [*out, (42113, 2, text(str(NODATA)))]
+
+
+def directory(common: list, own: list, at: int, last: bool = True) -> bytes:
+    """A directory of tags that stands at an offset of the file, and behind it the values that do not fit into it."""
+    entries = sorted([*common, *own], key=lambda e: e[0])
+    head = at + 2 + 12 * len(entries) + 4
     table, pool = b"", b""
-    for code, typ, count, data in entries:
+    for code, kind, values in entries:
+        data = values if kind == 2 else struct.pack("<" + _FORMATS[kind] * len(values), *values)
         if len(data) <= 4:
-            table += struct.pack("<HHI", code, typ, count) + data.ljust(4, b"\0")
+            table += struct.pack("<HHI", code, kind, len(values)) + data.ljust(4, b"\0")
         else:
-            table += struct.pack("<HHII", code, typ, count, head + len(pool))
+            table += struct.pack("<HHII", code, kind, len(values), head + len(pool))
             pool += data + b"\0" * (len(data) % 2)
+    return struct.pack("<H", len(entries)) + table + struct.pack("<I", 0 if last else head + len(pool)) + pool
+
+
+def write(pixels: DataFrame, g: Geometry, path: str, kind: str = "int16", description: str = "", tags: dict[str, str] | None = None) -> None:
+    """pixels: y_idx, x_idx, value; missing pixels get NODATA. Pixels outside the geometry are an error. The description of
+    the band and the tags go into the file as metadata items."""
+    dtype = KINDS[kind][0]
+    row_bytes = g.cols * dtype.itemsize
+    common = facts(g, kind, 1, g.rows, g.cols, description, tags)
+
+    def head(start: int) -> bytes:
+        strips = [(273, 4, [start + k * row_bytes for k in range(g.rows)]), (278, 4, [1]), (279, 4, [row_bytes] * g.rows)]
+        return struct.pack("<2sHI", b"II", 42, 8) + directory(common, strips, 8)
+
     by_row = pixels.groupBy("y_idx").agg(F.sort_array(F.collect_list(F.struct("x_idx", F.col("value").cast("double").alias("v")))).alias("cells")).orderBy("y_idx")
-    with open(path, "wb") as f:
-        f.write(struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", len(entries)) + table + struct.pack("<I", 0) + pool)
+    with open_new(path) as f:
+        f.write(head(len(head(0))))
         at = 0
         empty = np.full(g.cols, NODATA, dtype)
         for r in by_row.toLocalIterator():
@@ -74,31 +84,15 @@ def write(pixels: DataFrame, g: Geometry, path: str, kind: str = "int16", descri
         f.write(empty.tobytes() * (g.rows - at))
 
 
-def _fields(data: bytes) -> dict[int, tuple]:
-    n = struct.unpack_from("<H", data, 8)[0]
-    tags = {}
-    for k in range(n):
-        code, typ, count = struct.unpack_from("<HHI", data, 10 + 12 * k)
-        fmt = {2: "s", 3: "H", 4: "I", 12: "d"}[typ]
-        size = count * struct.calcsize(fmt)
-        at = 10 + 12 * k + 8 if size <= 4 else struct.unpack_from("<I", data, 10 + 12 * k + 8)[0]
-        tags[code] = struct.unpack_from(f"<{count}{fmt}", data, at)
-    return tags
-
-
 def read_tags(path: str) -> dict[str, str]:
     """The metadata items of a file, the band's description among them."""
-    with open(path, "rb") as f:
-        found = _fields(f.read()).get(42112)
-    return {e.get("name"): e.text or "" for e in ElementTree.fromstring(found[0].rstrip(b"\0"))} if found else {}
+    return geotiff.items(path)
 
 
 def read(path: str) -> tuple[np.ndarray, Geometry]:
-    """A file that `write` made."""
-    with open(path, "rb") as f:
-        data = f.read()
-    tags = _fields(data)
-    kind = np.dtype("<i2" if tags[339][0] == 2 else "<f4")
-    cols, rows = tags[256][0], tags[257][0]
-    image = np.frombuffer(data, kind, rows * cols, tags[273][0]).reshape(rows, cols)
-    return image, Geometry(tags[33922][3], tags[33922][4], tags[33550][0], tags[33550][1], rows, cols)
+    """A small raster as one array, on the driver; sources.geotiff reads large ones in tasks."""
+    image, g = geotiff.images(path)[0], geotiff.geometry(path)
+    out = np.full(image.shape, NODATA, image.kind)
+    for batch in geotiff.RasterReader({"path": path}).read(geotiff.Windows(path, 0, image.windows())):
+        out[batch["y_idx"].to_numpy(), batch["x_idx"].to_numpy()] = batch["value"].to_numpy()
+    return out, g

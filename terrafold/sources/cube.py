@@ -1,8 +1,12 @@
 """Gridded daily cubes in classic NetCDF, as a Spark data source.
 
-`spark.read.format("netcdf3").load(path)` gives (time, row, col, value) of one variable with dimensions (time, lat,
-lon). Each block of time steps is one input partition, read by offset from the file; formats 1, 2 and 5 of the classic
-layout are read with numpy, without a library. HDF5-based files are refused with an error that says so."""
+`bounds.load(spark, Netcdf3, path)` gives (time, row, col, value) of one variable with dimensions (time, lat,
+lon). Each block of time steps is one input partition, read by offset from the file, which may lie on any file system
+that Arrow knows; formats 1, 2 and 5 of the classic layout are read with numpy, without a library. HDF5-based files are
+refused with an error that says so.
+
+Bounds on time, row and col, given to bounds.load(), reach the file: time bounds leave out partitions, row bounds bytes of
+each step, col bounds cells."""
 
 from __future__ import annotations
 
@@ -14,6 +18,8 @@ import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from terrafold.checks import DataError
+from terrafold.sources.bounds import Box
+from terrafold.sources.files import open_at
 
 _TYPES = {1: "b", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: "u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
 
@@ -96,8 +102,11 @@ class Block(InputPartition):
     last: int
 
 
-class CubeReader(DataSourceReader):
+class CubeReader(Box, DataSourceReader):
+    axes = ("time", "row", "col")
+
     def __init__(self, options: dict):
+        super().__init__(options)
         self.path, self.variable = options["path"], options.get("variable")
         self.steps = int(options.get("steps", "31"))
 
@@ -111,8 +120,11 @@ class CubeReader(DataSourceReader):
 
     def partitions(self):
         header, v = self._open()
-        n = header.shape(v)[0]
-        return [Block(self.path, a, min(a + self.steps, n)) for a in range(0, n, self.steps)]
+        first, last = self.box["time"][0], min(self.box["time"][1], header.shape(v)[0])
+        # blocks begin at the same steps whatever the filter
+        begin = first - first % self.steps
+        blocks = [Block(self.path, max(a, first), min(a + self.steps, last)) for a in range(begin, last, self.steps)]
+        return blocks or [Block(self.path, 0, 0)]
 
     def read(self, block: Block):
         import pyarrow as pa
@@ -122,11 +134,14 @@ class CubeReader(DataSourceReader):
         step = header.record_size if header.dims[v.dims[0]][1] == 0 else rows * cols * v.kind.itemsize
         fill = v.attrs.get("_FillValue", v.attrs.get("missing_value", [None]))[0]
         scale, offset = v.attrs.get("scale_factor", [1.0])[0], v.attrs.get("add_offset", [0.0])[0]
-        row, col = (a.ravel().astype(np.int32) for a in np.meshgrid(np.arange(rows), np.arange(cols), indexing="ij"))
-        with open(block.path, "rb") as f:
+        (r0, r1), (c0, c1) = ((lo, min(hi, n)) for (lo, hi), n in ((self.box["row"], rows), (self.box["col"], cols)))
+        if r0 >= r1 or c0 >= c1 or block.first >= block.last:
+            return
+        row, col = (a.ravel().astype(np.int32) for a in np.meshgrid(np.arange(r0, r1), np.arange(c0, c1), indexing="ij"))
+        line = cols * v.kind.itemsize
+        with open_at(block.path) as f:
             for t in range(block.first, block.last):
-                f.seek(v.begin + t * step)
-                raw = np.frombuffer(f.read(rows * cols * v.kind.itemsize), v.kind)
+                raw = np.frombuffer(f.read_at((r1 - r0) * line, v.begin + t * step + r0 * line), v.kind).reshape(r1 - r0, cols)[:, c0:c1].ravel()
                 value = raw.astype(np.float64) * scale + offset
                 gone = np.isnan(value) | (np.abs(value) > 1e30)
                 if fill is not None:
@@ -147,15 +162,23 @@ class Netcdf3(DataSource):
 
 
 def _header(path: str) -> Header:
-    with open(path, "rb") as f:
-        return Header(f.read(1 << 20))
+    """The header, however long: more of the file is read until all of it is there."""
+    with open_at(path) as f:
+        length, size = f.size(), 1 << 16
+        while True:
+            try:
+                return Header(f.read_at(min(size, length), 0))
+            except (struct.error, ValueError):
+                if size >= length or f.read_at(3, 0) != b"CDF":
+                    raise
+                size *= 4
 
 
 def axes(path: str, names: tuple[str, ...]) -> dict[str, np.ndarray]:
     """Coordinate variables of a file, on the driver; nothing else of it is read."""
     header = _header(path)
     out = {}
-    with open(path, "rb") as f:
+    with open_at(path) as f:
         for n in names:
             v = header.vars[n]
             count = int(np.prod(header.shape(v)))
@@ -163,8 +186,7 @@ def axes(path: str, names: tuple[str, ...]) -> dict[str, np.ndarray]:
             step, each = (header.record_size, 1) if records else (0, count)
             got = []
             for k in range(count if records else 1):
-                f.seek(v.begin + k * step)
-                got.append(np.frombuffer(f.read(each * v.kind.itemsize), v.kind))
+                got.append(np.frombuffer(f.read_at(each * v.kind.itemsize, v.begin + k * step), v.kind))
             out[n] = np.concatenate(got).astype(np.float64) if got else np.zeros(0)
     return out
 

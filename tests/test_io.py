@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import sqlite3
 import struct
+import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from terrafold.checks import DataError
 from terrafold.operators import climate, grid, raster, scan
 from terrafold.plans import jobs
-from terrafold.sinks import tables, tiff
-from terrafold.sources import cube, index_text, points, season_tree
+from terrafold.sinks import cog, tables, tiff
+from terrafold.sources import bounds, cube, geotiff, index_text, points, season_tree
 from terrafold.streaming import live_scan
 
 
@@ -177,6 +178,9 @@ def test_cube_file_to_months(spark, tmp_path):
             jobs.open_cube(spark, path, bad)
     with pytest.raises(DataError, match="dimensions"):
         jobs.open_cube(spark, cube_file(tmp_path / "o.nc", values, names=("time", "lon", "lat")), g)
+    some = jobs.open_cube(spark, path, g, first=dt.date(2001, 1, 12), last=dt.date(2001, 1, 13))
+    assert sorted({r["date"] for r in some.collect()}) == [dt.date(2001, 1, 12), dt.date(2001, 1, 13)] and some.count() == 8
+    assert jobs.open_cube(spark, path, g, first=dt.date(2005, 1, 1)).count() == 0
     with pytest.raises(DataError, match="contiguous"):
         jobs.open_cube(spark, cube_file(tmp_path / "t.nc", values, np.where(np.arange(40) < 3, np.arange(40), np.arange(40) + 1), "days since 2001-01-01"), g)
 
@@ -269,3 +273,197 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted(map(tuple, spark.table("decided").select("id", "day", "fu", "acc_bu", "applications").collect()))
     df = spark.createDataFrame([(i, s, d, (d - dt.date(2000, 1, 1)).days + 1, b, f) for i, s, d, b, f in rows], "id long, season int, date date, day int, bu int, fu int")
     assert got == sorted(map(tuple, scan.by_batches(df, "ms", parts=2).select("id", "day", "fu", "acc_bu", "applications").collect()))
+
+
+# ---- pushed filters, rasters by windows ----------------------------------------------------------------------------
+
+
+def test_bounds_reach_the_cube(spark, tmp_path):
+    """Bounds leave out partitions and bytes; the rows are those of a filter over all cells, in any mix of tables."""
+    values = np.arange(40 * 6 * 5, dtype=float).reshape(40, 6, 5)
+    path = cube_file(tmp_path / "a.nc", values, lats=range(6), lons=range(5))
+    open_ = lambda **within: bounds.load(spark, cube.Netcdf3, f"file://{path}", within, steps=4)
+    some = open_(time=(9, 13), row=(2, 4), col=(3, None))
+    assert {(r["time"], r["row"], r["col"]) for r in some.collect()} == {(t, r, c) for t in range(9, 13) for r in (2, 3) for c in (3, 4)}
+    assert open_().rdd.getNumPartitions() == 10 and some.rdd.getNumPartitions() == 2
+    assert open_(time=(99, None)).count() == 0 and open_(time=(3, 4), row=(5, 6)).count() == 5
+    both = open_(time=(3, 4)).alias("a").join(open_(time=(5, 6)).alias("b"), ["row", "col"])
+    assert {(r["t"], r["u"]) for r in both.selectExpr("a.time AS t", "b.time AS u").collect()} == {(3, 5)}
+    read = {"bytes": 0}
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+        def size(self):
+            return self.f.size()
+
+        def read_at(self, n, at):
+            read["bytes"] += n
+            return self.f.read_at(n, at)
+
+    keep = cube.open_at
+    cube.open_at = lambda p: Counted(keep(p))
+    try:
+        reader = cube.CubeReader({"path": path, "row_from": "5"})
+        reader._open()
+        head, read["bytes"] = read["bytes"], 0
+        got = [r for batch in reader.read(cube.Block(path, 0, 2)) for r in batch.to_pylist()]
+    finally:
+        cube.open_at = keep
+    assert len(got) == 10 and read["bytes"] - head == 2 * 5 * 8
+
+
+def test_a_header_of_any_length(tmp_path):
+    values = np.arange(8.0).reshape(2, 2, 2)
+    path = cube_file(tmp_path / "a.nc", values, [0, 1], "days since 2000-01-01" + " " * 300_000)
+    assert cube.days_of(path)[1] == dt.date(2000, 1, 2)
+    cut = tmp_path / "cut.nc"
+    cut.write_bytes(open(path, "rb").read()[:200])
+    with pytest.raises((struct.error, ValueError)):
+        cube.days_of(str(cut))
+
+
+@pytest.mark.parametrize("kind", ["int16", "float32"])
+def test_tiled_raster_with_overviews(spark, tmp_path, kind):
+    g = raster.Geometry(-81.0, 1.0, 0.5, 0.5, 700, 530)
+    rng = np.random.default_rng(5)
+    image = np.full((g.rows, g.cols), raster.NODATA, "i2" if kind == "int16" else "f4")
+    for y, x in zip(rng.integers(0, 300, 4000), rng.integers(0, g.cols, 4000)):
+        image[y, x] = rng.integers(-500, 500) if kind == "int16" else rng.normal()
+    image[650, 3] = 7
+    y, x = np.nonzero(image != raster.NODATA)
+    px = spark.createDataFrame([(int(a), int(b), float(image[a, b])) for a, b in zip(y, x)], "y_idx int, x_idx int, value double")
+    path = f"file://{tmp_path}/a.tif"
+    cog.write(px, g, path, kind, "a test", {"year": "2001"})
+    assert [p.name for p in tmp_path.iterdir()] == ["a.tif"]
+    found = geotiff.images(path)
+    assert [i.shape for i in found] == [(700, 530), (350, 265), (175, 133), (88, 67)] and found[0].block == (256, 256)
+    assert geotiff.geometry(path) == g and tiff.read_tags(path) == {"year": "2001", "DESCRIPTION": "a test"}
+    assert min(s for s in found[0].tags[geotiff.TILE_BYTES]) == 0  # tiles without pixels are left out
+    # overviews come first, the smallest first, and the raster's own tiles last
+    starts = [min(a for a in i.tags[geotiff.TILE_AT] if a) for i in found]
+    assert starts == sorted(starts, reverse=True)
+    read = lambda level, **within: bounds.load(spark, geotiff.GeoTiff, path, within, level=level, windows=1)
+    for level, step in enumerate((1, 2, 4, 8)):
+        part = image[::step, ::step]
+        want = {(int(a), int(b)): float(part[a, b]) for a, b in zip(*np.nonzero(part != raster.NODATA))}
+        assert {(r["y_idx"], r["x_idx"]): r["value"] for r in read(level).collect()} == want
+    corner = read(0, y_idx=(0, 20), x_idx=(0, 20))
+    assert corner.rdd.getNumPartitions() == 1 < read(0).rdd.getNumPartitions()
+    assert {(r["y_idx"], r["x_idx"]) for r in corner.collect()} == {(a, b) for a, b in zip(y.tolist(), x.tolist()) if a < 20 and b < 20}
+    whole, back = tiff.read(path)
+    assert back == g and np.array_equal(whole, image)
+    with pytest.raises(DataError, match="outside"):
+        cog.write(spark.createDataFrame([(700, 0, 1.0)], px.schema), g, path, kind)
+    assert tiff.read_tags(path)["year"] == "2001"
+
+
+def lzw(data):
+    """The compressor's side of the format, for short data: a clear code often enough that codes keep nine bits."""
+    codes = []
+    for k, byte in enumerate(data):
+        codes += [256] * (k % 200 == 0) + [byte]
+    bits = "".join(f"{c:09b}" for c in [*codes, 257])
+    bits += "0" * (-len(bits) % 8)
+    return bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8))
+
+
+def foreign(path, order, big, image, compression, predictor, tile=None, band_values=None):
+    """A file as other writers make it, with strips of two rows or with tiles."""
+    rows, cols = image.shape
+    samples = 1 if band_values is None else 2
+    full = image[:, :, None] if band_values is None else np.stack([image, band_values], axis=2)
+    high, wide = tile or (2, cols)
+    blocks = []
+    for y in range(0, rows, high):
+        for x in range(0, cols, wide):
+            part = full[y : y + high, x : x + wide]
+            if tile:
+                part = np.pad(part, ((0, high - part.shape[0]), (0, wide - part.shape[1]), (0, 0)))
+            if predictor == 2:
+                part = np.diff(part, axis=1, prepend=np.zeros_like(part[:, :1]))
+            raw = part.astype(image.dtype.newbyteorder(order)).tobytes()
+            if predictor == 3:
+                planes = part.astype(">f4").view(np.uint8).reshape(len(part), -1, 4).transpose(0, 2, 1).reshape(len(part), -1)
+                raw = np.diff(planes, axis=1, prepend=np.zeros((len(part), 1), np.uint8)).astype(np.uint8).tobytes()
+            blocks.append({1: bytes, 5: lzw, 8: zlib.compress, 32773: lambda d: b"".join(bytes([len(d[k : k + 100]) - 1]) + d[k : k + 100] for k in range(0, len(d), 100))}[compression](raw))
+    word, size = ("Q", 16) if big else ("I", 8)
+    at = size + np.cumsum([0, *[len(b) for b in blocks]])
+    kind = {"i": 2, "u": 1, "f": 3}[image.dtype.kind]
+    tags = [(256, "I", [cols]), (257, "I", [rows]), (258, "H", [image.dtype.itemsize * 8] * samples), (259, "H", [compression]), (277, "H", [samples]), (317, "H", [predictor]), (339, "H", [kind] * samples), (33550, "d", [0.5, 0.5, 0.0]), (33922, "d", [0.0, 0.0, 0.0, -81.0, 1.0, 0.0]), (42113, "s", b"-1\0")]
+    tags += [(322, "I", [wide]), (323, "I", [high]), (324, word, at[:-1].tolist()), (325, word, [len(b) for b in blocks])] if tile else [(273, word, at[:-1].tolist()), (278, "I", [2]), (279, word, [len(b) for b in blocks])]
+    tags.sort()
+    codes = {"H": 3, "I": 4, "d": 12, "s": 2, "Q": 16}
+    first, entry, inline = int(at[-1]), 20 if big else 12, 8 if big else 4
+    pool_at = first + (8 if big else 2) + entry * len(tags) + inline
+    table, pool = b"", b""
+    for code, fmt, values in tags:
+        data = values if fmt == "s" else struct.pack(f"{order}{len(values)}{fmt}", *values)
+        table += struct.pack(f"{order}HH{word}", code, codes[fmt], len(values))
+        table += data.ljust(inline, b"\0") if len(data) <= inline else struct.pack(order + word, pool_at + len(pool))
+        pool += data if len(data) > inline else b""
+    head = (b"II" if order == "<" else b"MM") + (struct.pack(order + "HHHQ", 43, 8, 0, first) if big else struct.pack(order + "HI", 42, first))
+    path.write_bytes(head + b"".join(blocks) + struct.pack(order + ("Q" if big else "H"), len(tags)) + table + struct.pack(order + word, 0) + pool)
+    return str(path)
+
+
+@pytest.mark.parametrize(
+    "order,big,dtype,compression,predictor,tile",
+    [("<", False, "i2", 1, 1, None), (">", False, "i2", 5, 2, None), ("<", True, "f4", 8, 3, (16, 16)), (">", True, "f8", 32773, 1, None), ("<", False, "u1", 5, 1, (16, 16)), (">", False, "i4", 8, 2, (16, 16)), ("<", False, "f4", 5, 3, (16, 32))],
+)
+def test_rasters_of_other_writers(spark, tmp_path, order, big, dtype, compression, predictor, tile):
+    rng = np.random.default_rng(7)
+    image = rng.integers(0, 200, (37, 21)).astype(dtype)
+    image[5, 6] = 0 if dtype == "u1" else -1
+    other = (image // 2 + 1).astype(dtype) if predictor != 3 else None
+    path = foreign(tmp_path / "f.tif", order, big, image, compression, predictor, tile, other)
+    for band, want in (("1", image), ("2", other)):
+        if want is None:
+            continue
+        got = {(r["y_idx"], r["x_idx"]): r["value"] for r in bounds.load(spark, geotiff.GeoTiff, path, band=band, windows=3).collect()}
+        assert got == {(y, x): float(want[y, x]) for y in range(37) for x in range(21) if want[y, x] != -1}
+    assert geotiff.geometry(path) == raster.Geometry(-81.0, 1.0, 0.5, 0.5, 37, 21)
+
+
+def test_lzw_codes_grow():
+    """Codes of ten bits and more, and the code that is not known yet; by a compressor that keeps its table."""
+    data = bytes(np.random.default_rng(3).integers(0, 4, 6000).astype(np.uint8)) + b"a" * 500
+    table, width, bits, held = {bytes([k]): k for k in range(256)}, 9, "", b""
+    free, bits = 258, f"{256:09b}"
+    for byte in data:
+        piece = held + bytes([byte])
+        if piece in table:
+            held = piece
+            continue
+        bits += f"{table[held]:0{width}b}"
+        table[piece] = free
+        free += 1
+        if free == (1 << width):
+            width += 1
+        held = bytes([byte])
+    bits += f"{table[held]:0{width}b}"
+    free += 1
+    if free == (1 << width):
+        width += 1
+    bits += f"{257:0{width}b}"
+    bits += "0" * (-len(bits) % 8)
+    packed = bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8))
+    assert free < 4094 and geotiff._lzw(packed) == data
+
+
+def test_year_is_merged_into_tiles(spark, tmp_path):
+    g = raster.Geometry(-81.0, 1.0, 0.5, 0.5, 3, 4)
+    parts = spark.createDataFrame([("a", 0, 1, 5), ("b", 2, 3, 7)], "region string, y_idx int, x_idx int, value int")
+    out = f"file://{tmp_path}/BU_2001.tif"
+    assert jobs.merge_year(parts, {"a": g, "b": g}, out, "BU", 2001, layout="cog") == {"a": 1, "b": 1}
+    image, back = tiff.read(out)
+    assert back == g and image[0, 1] == 5 and image[2, 3] == 7 and tiff.read_tags(out)["n_valid_pixels"] == "2"
+    with pytest.raises(ValueError, match="layout"):
+        jobs.merge_year(parts, {"a": g, "b": g}, out, "BU", 2001, layout="other")
