@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from terrafold.checks import DataError
 
 
-def write_months(long: DataFrame, path: str, mode: str = "append", files: int | None = None, group_rows: int | None = None) -> None:
+def write_months(long: DataFrame, path: str, mode: str = "overwrite", files: int | None = None, group_rows: int | None = None) -> None:
     """variable, year, month, id, date, value as Parquet by variable and month, sorted by id and date inside files, so
-    that filters on ids skip row groups; group_rows bounds the rows of a group, such as ids times days. Only the months at
-    hand are replaced."""
+    that filters on ids skip row groups; group_rows bounds the rows of a group, such as ids times days.
+
+    With "overwrite" the months at hand are replaced, whole, and others stay: a rerun leaves the same rows. A month is staged
+    beside the table and takes its place when all tasks are done, so a run that fails before leaves it as it was. With
+    "append" rows are added to the months, by every run again."""
     rows = long.select("variable", "year", "month", F.col("id").cast("int").alias("id"), "date", F.col("value").cast("float").alias("value"))
     keys = ["variable", "year", "month", "id"]
     dealt = rows.repartitionByRange(files, *keys) if files else rows.repartitionByRange(*keys)

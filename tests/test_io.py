@@ -58,23 +58,137 @@ def test_index_text(spark, tmp_path):
     assert [tuple(r) for r in index_text.read(spark, str(tmp_path / "i.txt")).orderBy("month").collect()] == [(1950, 1, -0.5), (1950, 2, 1.25)]
 
 
+def wkb(kind, *parts, order="<"):
+    """Well-known binary: a point, a line, a polygon of rings, or several geometries."""
+    head = (b"\x01" if order == "<" else b"\x00") + struct.pack(order + "I", kind)
+    vertices = lambda p: b"".join(struct.pack(order + "d" * len(v), *v) for v in p)
+    if kind % 1000 == 1:
+        return head + vertices(parts)
+    if kind % 1000 == 2:
+        return head + struct.pack(order + "I", len(parts)) + vertices(parts)
+    if kind % 1000 == 3:
+        return head + struct.pack(order + "I", len(parts)) + b"".join(struct.pack(order + "I", len(p)) + vertices(p) for p in parts)
+    return head + struct.pack(order + "I", len(parts)) + b"".join(parts)
+
+
+def closed(*p):
+    return [*p, p[0]]
+
+
+SQUARE = closed((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0))
+HOLE = closed((2.0, 1.0), (3.0, 1.0), (3.0, 3.0), (2.0, 3.0))
+FAR = closed((10.0, 0.0), (12.0, 0.0), (12.0, 2.0), (10.0, 2.0))
+L_SHAPE = closed((0.0, 0.0), (3.0, 0.0), (3.0, 1.0), (1.0, 1.0), (1.0, 3.0), (0.0, 3.0))
+
+
+def plain_centroid(rings, n=400):
+    """Of an area by counting cells inside: outer rings less holes."""
+
+    def inside(ring, x, y):
+        hit = np.zeros(x.shape, bool)
+        for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+            if ay != by:
+                hit ^= ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
+        return hit
+
+    xs = [v[0] for r, _ in rings for v in r]
+    ys = [v[1] for r, _ in rings for v in r]
+    x, y = np.meshgrid(min(xs) + (np.arange(n) + 0.5) / n * (max(xs) - min(xs)), min(ys) + (np.arange(n) + 0.5) / n * (max(ys) - min(ys)))
+    weight = sum(sign * inside(ring, x, y).astype(int) for ring, sign in rings)
+    return (x * weight).sum() / weight.sum(), (y * weight).sum() / weight.sum()
+
+
 def test_geopackage(spark, tmp_path):
+    shapes = {
+        1: (wkb(1, (-75.5, -12.25)), (-75.5, -12.25)),
+        2: (wkb(3, SQUARE, HOLE), plain_centroid([(SQUARE, 1), (HOLE, -1)])),
+        3: (wkb(3, SQUARE[::-1], HOLE[::-1], order=">"), plain_centroid([(SQUARE, 1), (HOLE, -1)])),
+        4: (wkb(6, wkb(3, SQUARE), wkb(3, FAR)), plain_centroid([(SQUARE, 1), (FAR, 1)])),
+        5: (wkb(2, (0.0, 0.0), (4.0, 0.0), (4.0, 2.0)), ((4 * 2 + 2 * 4) / 6, (4 * 0 + 2 * 1) / 6)),
+        6: (wkb(4, wkb(1, (1.0, 1.0)), wkb(1, (3.0, 5.0))), (2.0, 3.0)),
+        7: (wkb(1003, [(x, y, 9.0) for x, y in L_SHAPE]), plain_centroid([(L_SHAPE, 1)])),
+        8: (wkb(3, closed((1.0, 1.0), (3.0, 1.0))), (2.0, 1.0)),
+        9: (None, None),
+        10: (wkb(1, (float("nan"), float("nan"))), None),
+    }
     with sqlite3.connect(tmp_path / "p.gpkg") as con:
         con.execute("CREATE TABLE gpkg_geometry_columns (table_name, column_name)")
         con.execute("INSERT INTO gpkg_geometry_columns VALUES ('p', 'geom')")
-        con.execute("CREATE TABLE p (id INTEGER, geom BLOB, kind TEXT)")
-        con.execute("INSERT INTO p VALUES (7, ?, 'x')", (b"GP\x00\x01" + struct.pack("<i", 4326) + b"\x01" + struct.pack("<Idd", 1, -75.5, -12.25),))
-    r = points.read_geopackage(spark, str(tmp_path / "p.gpkg")).first()
-    assert (r["lon"], r["lat"], r["id"], r["kind"]) == (-75.5, -12.25, 7, "x")
+        con.execute("CREATE TABLE p (id INTEGER PRIMARY KEY, geom BLOB, kind TEXT, height REAL)")
+        for i, (shape, _) in shapes.items():
+            con.execute("INSERT INTO p VALUES (?, ?, 'x', 1.5)", (i * 7, shape and b"GP\x00\x01" + struct.pack("<i", 4326) + shape))
+    table = points.read_geopackage(spark, str(tmp_path / "p.gpkg"), each=20)
+    assert table.dtypes == [("lon", "double"), ("lat", "double"), ("id", "bigint"), ("kind", "string"), ("height", "double")]
+    assert table.rdd.getNumPartitions() == 4
+    got = {r["id"] // 7: (r["lon"], r["lat"]) for r in table.collect()}
+    assert set(got) == {i for i, (_, at) in shapes.items() if at}
+    for i, at in got.items():
+        assert at == pytest.approx(shapes[i][1], abs=0.01)
+    assert got[2] == pytest.approx(((16 * 2 - 2 * 2.5) / 14, 2.0), abs=1e-12)
+    with pytest.raises(Exception, match="no layer"):
+        points.read_geopackage(spark, str(tmp_path / "p.gpkg"), "other").collect()
+
+
+def shapefile(folder, shapes, names):
+    """A .shp of record contents with its .shx, and a .dbf of one number and one text."""
+    body, index = b"", b""
+    for k, content in enumerate(shapes):
+        index += struct.pack(">ii", (100 + len(body)) // 2, len(content) // 2)
+        body += struct.pack(">ii", k + 1, len(content) // 2) + content
+    (folder / "p.shp").write_bytes(b"\0" * 100 + body)
+    (folder / "p.shx").write_bytes(b"\0" * 100 + index)
+    field = lambda name, kind, width, decimals: name.ljust(11, b"\0") + kind + b"\0" * 4 + bytes([width, decimals]) + b"\0" * 14
+    head = field(b"id", b"N", 4, 0) + field(b"name", b"C", 6, 0) + field(b"h", b"N", 6, 2) + b"\r"
+    rows = b"".join(b" " + f"{k:4d}".encode() + n.encode().ljust(6) + (f"{k / 4:6.2f}".encode() if k % 2 else b"******") for k, n in enumerate(names))
+    (folder / "p.dbf").write_bytes(struct.pack("<4BIHH", 3, 0, 0, 0, len(names), 32 + len(head), 17) + b"\0" * 20 + head + rows)
+    return str(folder / "p.shp")
+
+
+def parted(kind, parts):
+    """A line or polygon record of parts."""
+    starts = np.cumsum([0, *[len(p) for p in parts]])
+    return struct.pack("<i4d", kind, 0, 0, 0, 0) + struct.pack("<ii", len(parts), starts[-1]) + struct.pack(f"<{len(parts)}i", *starts[:-1]) + b"".join(struct.pack("<dd", *v) for p in parts for v in p)
 
 
 def test_shapefile(spark, tmp_path):
-    record = struct.pack("<idd", 1, -75.5, -12.25)
-    (tmp_path / "p.shp").write_bytes(b"\0" * 100 + struct.pack(">ii", 1, len(record) // 2) + record)
-    field = b"id".ljust(11, b"\0") + b"N" + b"\0" * 4 + bytes([4, 0]) + b"\0" * 14
-    (tmp_path / "p.dbf").write_bytes(struct.pack("<4BIHH", 3, 0, 0, 0, 1, 32 + 32 + 1, 5) + b"\0" * 20 + field + b"\r" + b"    7")
-    r = points.read_shapefile(spark, str(tmp_path / "p.shp")).first()
-    assert (r["lon"], r["lat"], r["id"]) == (-75.5, -12.25, 7)
+    shapes = [
+        struct.pack("<idd", 1, -75.5, -12.25),
+        parted(5, [SQUARE[::-1], HOLE]),  # outer rings go clockwise, holes the other way
+        parted(5, [SQUARE[::-1], FAR[::-1]]),
+        parted(3, [[(0.0, 0.0), (2.0, 0.0)], [(0.0, 4.0), (0.0, 8.0)]]),
+        struct.pack("<i4di", 8, 0, 0, 0, 0, 2) + struct.pack("<4d", 1.0, 1.0, 3.0, 5.0),
+        struct.pack("<i", 0),
+        struct.pack("<iddd", 11, 5.0, 6.0, 7.0),
+    ]
+    want = [(-75.5, -12.25), ((16 * 2 - 2 * 2.5) / 14, 2.0), ((16 * 2 + 4 * 11) / 20, (16 * 2 + 4 * 1) / 20), ((2 * 1 + 4 * 0) / 6, (2 * 0 + 4 * 6) / 6), (2.0, 3.0), (None, None), (5.0, 6.0)]
+    path = shapefile(tmp_path, shapes, ["a", "b", "ñ", "d", "e", "", "g"])
+    table = points.read_shapefile(spark, f"file://{path}", each=3)
+    assert table.dtypes == [("lon", "double"), ("lat", "double"), ("id", "bigint"), ("name", "string"), ("h", "double")]
+    assert table.rdd.getNumPartitions() == 3
+    rows = sorted(table.collect(), key=lambda r: r["id"])
+    assert [r["name"] for r in rows] == ["a", "b", "ñ", "d", "e", "", "g"] and [r["h"] for r in rows] == [None, 0.25, None, 0.75, None, 1.25, None]
+    for r, at in zip(rows, want):
+        assert (r["lon"], r["lat"]) == (at if at[0] is None else pytest.approx(at, abs=1e-12))
+
+
+def test_months_are_replaced_and_a_failed_run_leaves_them(spark, tmp_path):
+    path = str(tmp_path / "m")
+    rows = [("rain", 2001, m, i, dt.date(2001, m, 1), float(i)) for m in (1, 2) for i in range(5)]
+    long = spark.createDataFrame(rows, "variable string, year int, month int, id int, date date, value float")
+    state = lambda: sorted(map(tuple, spark.read.parquet(path).select(*long.columns).collect()))
+    tables.write_months(long, path)
+    before = state()
+    tables.write_months(long, path)
+    assert state() == before and len(before) == 10
+    # a task that fails in the middle of a month: all months are as they were
+    bad = long.withColumn("value", F.when(F.col("id") == 3, F.raise_error(F.lit("lost"))).otherwise(F.col("value") + 1))
+    with pytest.raises(Exception, match="lost"):
+        tables.write_months(bad, path)
+    assert state() == before
+    tables.write_months(long.where("month = 2").withColumn("value", F.col("value") + 1), path)
+    assert [r for r in state() if r[2] == 1] == [r for r in before if r[2] == 1] and sum(r[5] for r in state()) == sum(r[5] for r in before) + 5
+    tables.write_months(long, path, mode="append")
+    assert len(state()) == 20
 
 
 def test_months_round_trip_prunes_and_pushes_down(spark, tmp_path):
