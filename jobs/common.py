@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import json
 import logging
-import tempfile
-import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -33,14 +31,3 @@ def written(spark: SparkSession, path: str, schema: StructType | str) -> DataFra
 def start_logging() -> None:
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s")
     logging.getLogger("py4j").setLevel(logging.WARNING)
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own for one call, under the folder that driver and executors share. Where none is set, a folder of
-    this machine in local mode; an error on a cluster."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        shared = f"file://{tempfile.gettempdir()}"
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

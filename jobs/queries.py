@@ -7,19 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from jobs import delivery_audit, season_update
-from jobs.common import new_folder
 from terrafold import queries
+from terrafold.sources.files import scratch
 
 
 def job1_season_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = new_folder(spark, "season-update")
+    out = scratch(spark, "season-update")
     for _ in range(2):
         season_update.update(spark, f"{sf_dir}/lineitem.parquet", f"{sf_dir}/supplier.parquet", out)
     return season_update.result(spark, out)
 
 
 def job2_delivery_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = new_folder(spark, "delivery-audit")
+    out = scratch(spark, "delivery-audit")
     for _ in range(2):
         delivery_audit.audit(spark, sf_dir, out)
     return delivery_audit.result(spark, out)

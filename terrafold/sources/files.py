@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from urllib.parse import unquote
 
 from pyarrow import NativeFile
 from pyarrow.fs import FileSystem, LocalFileSystem
+from pyspark.sql import SparkSession
 
 
 def locate(path: str) -> tuple[FileSystem, str]:
@@ -32,3 +35,17 @@ def open_new(path: str) -> NativeFile:
 def rename(path: str, to: str) -> None:
     fs, at = locate(path)
     fs.move(at, locate(to)[1])
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own for one call, under spark.checkpoint.dir, which driver and executors share. Where that is unset,
+    a folder of this machine in local mode; an error on a cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        shared = f"file://{tempfile.gettempdir()}"
+    out = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(out)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(at)
+    return out

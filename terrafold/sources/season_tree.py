@@ -19,9 +19,9 @@ def read(spark: SparkSession, root: str, file: str = "*.parquet") -> DataFrame:
     return rows.select("*", part(4).cast("int").alias("season"), part(3).alias("period"), part(2).alias("region"))
 
 
-def read_coverage(spark: SparkSession, root: str) -> DataFrame:
-    """The coverage records beside the files: season, period, region, truncated (NULL where it is not said)."""
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "coverage.json").text(root, wholetext=True)
+def read_coverage(spark: SparkSession, root: str, file: str = "coverage.json") -> DataFrame:
+    """The coverage records beside the files, a JSON document each: season, period, region, truncated (NULL where it is not said)."""
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file).text(root, wholetext=True)
     part = lambda k: F.element_at(F.split(F.url_decode(F.col("_metadata.file_path")), "/"), -k)
     record = F.from_json("value", "truncated boolean, n_days int, n_ids int, first string, last string")
     return text.select(part(4).cast("int").alias("season"), part(3).alias("period"), part(2).alias("region"), record.alias("r")).select("season", "period", "region", "r.*")
