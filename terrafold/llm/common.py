@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -17,7 +19,10 @@ from pyspark.sql.window import Window
 
 #: Characters that count as white space wherever a contract speaks of words.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: its shuffle files go when it ends, and batches to Python are of bounded bytes, so that
+#: rows with whole texts or sets do not fill a worker.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+_LOCK, _WRITERS = threading.Lock(), {"n": 0}
 _OWN: list[str] = []
 
 
@@ -39,18 +44,33 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def _while_writing(spark: SparkSession) -> Iterator[None]:
+    """_WHILE_WRITING holds from the first of several writers at once to the last; then what was set before holds again."""
+    with _LOCK:
+        if not _WRITERS["n"]:
+            _WRITERS["before"] = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+        _WRITERS["n"] += 1
+        for k, v in _WHILE_WRITING.items():
+            spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITERS["n"] -= 1
+            if not _WRITERS["n"]:
+                for k, v in _WRITERS["before"].items():
+                    spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage is cut, columns stay prunable.
 
     The write's own shuffle files go when it ends. The table goes with discard(), else when the driver ends."""
     spark = df.sparkSession
     path = table_path(spark, name)
-    before = spark.conf.get(_CLEAN_UP, None)
-    spark.conf.set(_CLEAN_UP, "true")
-    try:
+    with _while_writing(spark):
         df.write.option("compression", compression).parquet(path)
-    finally:
-        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
