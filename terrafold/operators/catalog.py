@@ -54,15 +54,21 @@ def two_roots(first: DataFrame, second: DataFrame, variables_of_second: list[str
 
 
 def compare_runs(old: DataFrame, new: DataFrame, columns: list[str], keys: tuple[str, ...] = ("id", "date"), count: str = "applications") -> DataFrame:
-    """One row: rows in common, rows on one side only, largest difference of each column, and ids whose greatest count differs."""
-    a, b = old.select(*keys, *columns), new.select(*keys, *columns)
-    both = a.alias("a").join(b.alias("b"), list(keys), "full")
-    diff = [F.max(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}"))).cast("double").alias(f"max_diff_{c}") for c in columns]
-    left, right = F.col(f"a.{columns[0]}").isNotNull(), F.col(f"b.{columns[0]}").isNotNull()
-    facts = both.agg(F.count_if(left & right).alias("n_common"), F.count_if(left & ~right).alias("n_only_old"), F.count_if(~left & right).alias("n_only_new"), *diff)
-    top = both.groupBy(keys[0]).agg(F.max(f"a.{count}").alias("x"), F.max(f"b.{count}").alias("y"))
-    changed = top.agg(F.count_if(F.col("x") != F.col("y")).alias("n_ids_changed"))
-    return facts.join(F.broadcast(changed), how="cross")  # one row each
+    """One row: rows in common, rows on one side only, largest difference of each column, and ids whose greatest count differs.
+
+    The keys are unique on each side. Both sides are grouped in one pass instead of joined."""
+    sides = [df.select(*keys, *[F.col(c).alias(f"_{side}_{c}") for c in columns], F.lit(side).alias("_side")) for side, df in (("a", old), ("b", new))]
+    both = sides[0].unionByName(sides[1], allowMissingColumns=True).groupBy(*keys).agg(
+        F.bool_or(F.col("_side") == "a").alias("_old"), F.bool_or(F.col("_side") == "b").alias("_new"), *[F.max(f"_{side}_{c}").alias(f"_{side}_{c}") for side in "ab" for c in columns]
+    )
+    # sums by id first: the second shuffle moves a row an id and task
+    by_id = both.groupBy(keys[0]).agg(
+        F.count_if(F.col("_old") & F.col("_new")).alias("n_common"), F.count_if(~F.col("_new")).alias("n_only_old"), F.count_if(~F.col("_old")).alias("n_only_new"),
+        *[F.max(F.abs(F.col(f"_a_{c}") - F.col(f"_b_{c}"))).cast("double").alias(f"max_diff_{c}") for c in columns],
+        F.coalesce(F.max(f"_a_{count}") != F.max(f"_b_{count}"), F.lit(False)).alias("_changed"),
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return by_id.agg(*[total(c) for c in ("n_common", "n_only_old", "n_only_new")], *[F.max(f"max_diff_{c}").alias(f"max_diff_{c}") for c in columns], F.count_if("_changed").alias("n_ids_changed"))
 
 
 def sample_ids(points: DataFrame, n: int, seed: int = 0) -> DataFrame:

@@ -49,9 +49,18 @@ def map_points(points: DataFrame, grid: Grid, tolerance: float = 1e-5) -> DataFr
     return out
 
 
+#: A table of points or corners of at most so many rows (about 50 MB) goes to every task, so that no cell of a cube moves.
+SMALL = 2_000_000
+
+
+def _near(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it is small enough; else both sides are dealt by their key."""
+    return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table
+
+
 def extract_nodes(cube: DataFrame, mapping: DataFrame) -> DataFrame:
     """cube: date, row, col, value. The values at the mapped points."""
-    return cube.join(mapping.select("id", "row", "col"), ["row", "col"]).select("id", "date", "value")
+    return cube.join(_near(mapping.select("id", "row", "col")), ["row", "col"]).select("id", "date", "value")
 
 
 def clean(value: Column, fill: float | None = None, largest: float = 1e30, not_negative: bool = False) -> Column:
@@ -82,7 +91,7 @@ def bilinear(cube: DataFrame, corners: DataFrame, missing: str = "renormalize")
     """(id, date, value) from cube (date, row, col, value; NULL is missing). Corners of weight 0 do not count. A missing
     corner is left out and the others weigh more, or ("propagate") makes the value missing."""
     option(missing, ("renormalize", "propagate"), "missing")
-    rows = cube.join(corners.where("weight > 0"), ["row", "col"])
+    rows = cube.join(_near(corners.where("weight > 0")), ["row", "col"])
     there = F.col("value").isNotNull()
     value = F.try_divide(F.sum(F.when(there, F.col("weight") * F.col("value"))), F.sum(F.when(there, F.col("weight"))))
     if missing == "propagate":

@@ -90,13 +90,17 @@ def by_batches(days: DataFrame, kind: str = "r", keys: tuple[str, ...] = ("id",
     return days.mapInPandas(run, schema)
 
 
-def by_arrays(days: DataFrame, kind: str = "r", keys: tuple[str, ...] = ("id", "season"), min_days: int = MIN_DAYS, forced_day: int = FORCED_DAY) -> DataFrame:
-    """The same as by_batches for the columns keys, date, day, bu, fu, acc_bu, acc_fu, applications."""
+def by_arrays(days: DataFrame, kind: str = "r", keys: tuple[str, ...] = ("id", "season"), min_days: int = MIN_DAYS, forced_day: int = FORCED_DAY, run: int = 64) -> DataFrame:
+    """The same as by_batches for the columns keys, date, day, bu, fu, acc_bu, acc_fu, applications.
+
+    A fold that appends copies what it has so far; so a series is cut into runs of days, each folded into an array of its
+    own that starts from the sums of the run before, and what is copied stays within a run."""
     due_b, due_f = scores.BLIGHT_DUE[kind], scores.WASHOFF_DUE[kind]
     series = days.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("day", "date", "bu", "fu"))).alias("rows"))
     zero = F.lit(0)
     out_type = "array<struct<day:int,date:date,bu:int,fu:int,acc_bu:int,acc_fu:int,applications:int>>"
-    start = F.struct(zero.alias("sb"), zero.alias("sf"), zero.alias("since"), zero.alias("count"), F.array().cast(out_type).alias("out"))
+    nothing = F.array().cast(out_type)
+    sums = ("sb", "sf", "since", "count")
 
     def step(a, x):
         sb, sf, since = a["sb"] + x["bu"], a["sf"] + x["fu"], a["since"] + 1
@@ -110,5 +114,13 @@ def by_arrays(days: DataFrame, kind: str = "r", keys: tuple[str, ...] = ("id", "
             (a["count"] + hit.cast("int")).alias("count"), F.concat(a["out"], F.array(row)).alias("out"),
         )
 
-    folded = series.select(*keys, F.explode(F.aggregate("rows", start, step)["out"]).alias("r"))
+    def fold(state, part):
+        start = F.struct(*[state[s].alias(s) for s in sums], nothing.alias("out"))
+        done = F.aggregate(part, start, step)
+        # bound to a variable, so that a run is folded once
+        return F.transform(F.array(done), lambda d: F.struct(*[d[s].alias(s) for s in sums], F.concat(state["runs"], F.array(d["out"])).alias("runs")))[0]
+
+    parts = F.transform(F.sequence(zero, F.floor((F.size("rows") - 1) / run).cast("int")), lambda i: F.slice("rows", i * run + 1, run))
+    begin = F.struct(*[zero.alias(s) for s in sums], F.array().cast(f"array<{out_type}>").alias("runs"))
+    folded = series.select(*keys, F.explode(F.flatten(F.aggregate(parts, begin, fold)["runs"])).alias("r"))
     return folded.select(*keys, "r.*")
