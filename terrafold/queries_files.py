@@ -305,13 +305,23 @@ def rerun_compared(spark, d):
     return jobs.rerun_sample(old, long, p, 1 << 30, "1990-01-01", "2010-12-31", "s")
 
 
-@query(f"WITH RECURSIVE {DAILY}, {core._LONG}, {core._scan_sql('longdays', 'ms')} {core._SCAN_OUT}")
-def application_stream(spark, d):
-    """The treatment scan on a file stream that ends when all files are read."""
+def _streamed(spark, d, decide) -> DataFrame:
+    """The scan's days as a file stream that ends when all files are read, decided and written."""
     root = scratch(spark, "stream")
     rows = core._long_days(spark, d).drop("day")
     rows.write.parquet(f"{root}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
-    run = live_scan.decide(stream, "ms").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
+    run = decide(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(live_scan.OUT).parquet(f"{root}/out")
+
+
+@query(f"WITH RECURSIVE {DAILY}, {core._LONG}, {core._scan_sql('longdays', 'ms')} {core._SCAN_OUT}")
+def application_stream(spark, d):
+    return _streamed(spark, d, lambda days: live_scan.decide(days, "ms"))
+
+
+@query(f"WITH RECURSIVE {DAILY}, {core._LONG}, {core._scan_sql('longdays', 'ms')} {core._SCAN_OUT} AND date <= (SELECT max(date) - 10 FROM daily)")
+def application_stream_late(spark, d):
+    """Days in any order: those that the watermark, ten days behind the last, has passed."""
+    return _streamed(spark, d, lambda days: live_scan.decide_late(days, "ms", delay_days=10))

@@ -581,3 +581,27 @@ def test_year_is_merged_into_tiles(spark, tmp_path):
     assert back == g and image[0, 1] == 5 and image[2, 3] == 7 and tiff.read_tags(out)["n_valid_pixels"] == "2"
     with pytest.raises(ValueError, match="layout"):
         jobs.merge_year(parts, {"a": g, "b": g}, out, "BU", 2001, layout="other")
+
+
+def test_stream_of_late_days_equals_batch(spark, tmp_path):
+    """Days come up to nine days late and out of order, in many small batches; what the watermark has passed is as in the scan."""
+    rng = np.random.default_rng(9)
+    first = dt.date(2000, 1, 1)
+    rows = [(i, 2000, first + dt.timedelta(days=k), int(rng.integers(0, 8)), int(rng.integers(0, 6))) for i in range(3) for k in range(60)]
+    schema = "id long, season int, date date, bu int, fu int"
+    comes = sorted(rows, key=lambda r: (r[2] - first).days + rng.uniform(0, 9))
+    comes += [(9, 2000, first + dt.timedelta(days=400), 0, 0)]  # much later, so that the watermark passes all
+    for k in range(0, len(comes), 30):
+        spark.createDataFrame(comes[k : k + 30], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(f"{tmp_path}/in")
+    run = live_scan.decide_late(stream, "ms").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    run.awaitTermination()
+    columns = ("id", "date", "day", "fu", "acc_bu", "acc_fu", "applications")
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select(*columns).collect()))
+    df = spark.createDataFrame([(*r[:3], (r[2] - first).days + 1, *r[3:]) for r in rows], "id long, season int, date date, day int, bu int, fu int")
+    assert got == sorted(map(tuple, scan.by_batches(df, "ms", parts=2).select(*columns).collect()))
+    # a day behind the watermark is dropped, and a second run goes on where the first ended
+    spark.createDataFrame([(1, 2000, first + dt.timedelta(days=70), 5, 5)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    again = live_scan.decide_late(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "ms").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    again.awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == len(got)
