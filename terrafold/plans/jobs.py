@@ -39,7 +39,7 @@ def open_cube(spark: SparkSession, path: str, g: grid.Grid, name: str | None = N
     cube.check_days(days)
     steps = spark.createDataFrame(list(enumerate(days)), "time int, date date")  # a row a day of the file
     asked = [k for k, day in enumerate(days) if (first is None or day >= first) and (last is None or day <= last)]
-    cells = bounds.load(spark, cube.Netcdf3, path, {"time": (min(asked, default=0), max(asked, default=-1) + 1)}, variable=name)
+    cells = bounds.load(spark, cube.Netcdf, path, {"time": (min(asked, default=0), max(asked, default=-1) + 1)}, variable=name)
     return cells.join(F.broadcast(steps), "time").select("date", "row", "col", "value")
 
 

@@ -1,12 +1,12 @@
-"""Gridded daily cubes in classic NetCDF, as a Spark data source.
+"""Gridded daily cubes in NetCDF, as a Spark data source.
 
-`bounds.load(spark, Netcdf3, path)` gives (time, row, col, value) of one variable with dimensions (time, lat,
-lon). Each block of time steps is one input partition, read by offset from the file, which may lie on any file system
-that Arrow knows; formats 1, 2 and 5 of the classic layout are read with numpy, without a library. HDF5-based files are
-refused with an error that says so.
+`bounds.load(spark, Netcdf, path)` gives (time, row, col, value) of one variable with dimensions (time, lat, lon). Files of
+the classic layout (formats 1, 2 and 5) are read by blocks of time steps, those based on HDF5 (NetCDF-4) by runs of chunks:
+each block or run is one input partition, read by offset from the file, which may lie on any file system that Arrow knows,
+with numpy and without a library.
 
 Bounds on time, row and col, given to bounds.load(), reach the file: time bounds leave out partitions, row bounds bytes of
-each step, col bounds cells."""
+each step, col bounds cells; of chunks those are read that the bounds meet."""
 
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from terrafold.checks import DataError
+from terrafold.sources import hdf5
 from terrafold.sources.bounds import Box
 from terrafold.sources.files import open_at
 
@@ -44,8 +45,6 @@ class Header:
     """Dimensions, attributes and variables of a file, from its first bytes."""
 
     def __init__(self, data: bytes):
-        if data[:4] == b"\x89HDF":
-            raise ValueError("HDF5-based NetCDF is not read; convert it to the classic layout or to Parquet")
         if data[:3] != b"CDF" or data[3] not in (1, 2, 5):
             raise ValueError("not a classic NetCDF file")
         self.data, self.at, self.version = data, 4, data[3]
@@ -102,13 +101,21 @@ class Block(InputPartition):
     last: int
 
 
+@dataclass
+class Run(InputPartition):
+    """Chunks of an HDF5-based file."""
+
+    path: str
+    chunks: list[hdf5.Chunk]
+
+
 class CubeReader(Box, DataSourceReader):
     axes = ("time", "row", "col")
 
     def __init__(self, options: dict):
         super().__init__(options)
         self.path, self.variable = options["path"], options.get("variable")
-        self.steps = int(options.get("steps", "31"))
+        self.steps, self.each = int(options.get("steps", "31")), int(options.get("chunks", "8"))
 
     def _open(self):
         header = _header(self.path)
@@ -120,39 +127,56 @@ class CubeReader(Box, DataSourceReader):
 
     def partitions(self):
         header, v = self._open()
+        if isinstance(header, hdf5.File) and v.tree is not None:
+            met = [c for c in header.chunks(v) if all(a < hi and a + n > lo for a, n, (lo, hi) in zip(c.start, v.chunk, self.box.values()))]
+            return [Run(self.path, met[k : k + self.each]) for k in range(0, len(met), self.each)] or [Run(self.path, [])]
         first, last = self.box["time"][0], min(self.box["time"][1], header.shape(v)[0])
         # blocks begin at the same steps whatever the filter
         begin = first - first % self.steps
         blocks = [Block(self.path, max(a, first), min(a + self.steps, last)) for a in range(begin, last, self.steps)]
         return blocks or [Block(self.path, 0, 0)]
 
-    def read(self, block: Block):
+    def read(self, part: Block | Run):
+        header, v = self._open()
+        size = header.shape(v)
+        box = [(lo, min(hi, n)) for (lo, hi), n in zip(self.box.values(), size)]
+        if any(lo >= hi for lo, hi in box):
+            return
+        with open_at(part.path) as f:
+            if isinstance(part, Run):
+                for c in part.chunks:
+                    block = hdf5.unpack(v, f.read_at(c.length, c.at), c.skipped)
+                    inside = [(max(a, lo), min(a + n, hi)) for a, n, (lo, hi) in zip(c.start, v.chunk, box)]
+                    yield self._cells(v, block[tuple(slice(lo - a, hi - a) for a, (lo, hi) in zip(c.start, inside))], [lo for lo, _ in inside])
+                return
+            _, rows, cols = size
+            line = cols * v.kind.itemsize
+            step = header.record_size if isinstance(header, Header) and header.dims[v.dims[0]][1] == 0 else rows * line
+            (r0, r1), (c0, c1) = box[1:]
+            for t in range(part.first, part.last):
+                raw = np.frombuffer(f.read_at((r1 - r0) * line, v.begin + t * step + r0 * line), v.kind).reshape(1, r1 - r0, cols)
+                yield self._cells(v, raw[:, :, c0:c1], [t, r0, c0])
+
+    @staticmethod
+    def _cells(v, raw: np.ndarray, first: list[int]):
+        """A block of the array as rows; what is missing is NULL."""
         import pyarrow as pa
 
-        header, v = self._open()
-        _, rows, cols = header.shape(v)
-        step = header.record_size if header.dims[v.dims[0]][1] == 0 else rows * cols * v.kind.itemsize
         fill = v.attrs.get("_FillValue", v.attrs.get("missing_value", [None]))[0]
         scale, offset = v.attrs.get("scale_factor", [1.0])[0], v.attrs.get("add_offset", [0.0])[0]
-        (r0, r1), (c0, c1) = ((lo, min(hi, n)) for (lo, hi), n in ((self.box["row"], rows), (self.box["col"], cols)))
-        if r0 >= r1 or c0 >= c1 or block.first >= block.last:
-            return
-        row, col = (a.ravel().astype(np.int32) for a in np.meshgrid(np.arange(r0, r1), np.arange(c0, c1), indexing="ij"))
-        line = cols * v.kind.itemsize
-        with open_at(block.path) as f:
-            for t in range(block.first, block.last):
-                raw = np.frombuffer(f.read_at((r1 - r0) * line, v.begin + t * step + r0 * line), v.kind).reshape(r1 - r0, cols)[:, c0:c1].ravel()
-                value = raw.astype(np.float64) * scale + offset
-                gone = np.isnan(value) | (np.abs(value) > 1e30)
-                if fill is not None:
-                    gone |= raw == fill
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, np.int32)), pa.array(row), pa.array(col), pa.array(value, mask=gone)], names=["time", "row", "col", "value"])
-
-
-class Netcdf3(DataSource):
+        axes_ = [pa.array((a + first[k]).ravel().astype(np.int32)) for k, a in enumerate(np.indices(raw.shape, dtype=np.int32))]
+        raw = raw.ravel()
+        value = raw.astype(np.float64) * scale + offset
+        gone = np.isnan(value) | (np.abs(value) > 1e30)
+        if fill is not None:
+            gone |= raw == np.asarray(fill, raw.dtype)
+        return pa.RecordBatch.from_arrays([*axes_, pa.array(value, mask=gone)], names=["time", "row", "col", "value"])
+
+
+class Netcdf(DataSource):
     @classmethod
     def name(cls) -> str:
-        return "netcdf3"
+        return "netcdf"
 
     def schema(self) -> str:
         return "time int, row int, col int, value double"
@@ -161,9 +185,11 @@ class Netcdf3(DataSource):
         return CubeReader(dict(self.options))
 
 
-def _header(path: str) -> Header:
+def _header(path: str) -> Header | hdf5.File:
     """The header, however long: more of the file is read until all of it is there."""
     with open_at(path) as f:
+        if f.read_at(8, 0) == hdf5.SIGNATURE:
+            return hdf5.File(path)
         length, size = f.size(), 1 << 16
         while True:
             try:
@@ -177,6 +203,8 @@ def _header(path: str) -> Header:
 def axes(path: str, names: tuple[str, ...]) -> dict[str, np.ndarray]:
     """Coordinate variables of a file, on the driver; nothing else of it is read."""
     header = _header(path)
+    if isinstance(header, hdf5.File):
+        return {n: hdf5.values(header, header.vars[n]).astype(np.float64) for n in names}
     out = {}
     with open_at(path) as f:
         for n in names:
@@ -191,7 +219,7 @@ def axes(path: str, names: tuple[str, ...]) -> dict[str, np.ndarray]:
     return out
 
 
-def _cube_variable(header: Header, name: str | None) -> Variable:
+def _cube_variable(header: Header | hdf5.File, name: str | None) -> Variable | hdf5.Variable:
     found = [v for v in header.vars.values() if len(v.dims) == 3 and name in (None, v.name)]
     if not found:
         raise DataError(f"no variable of three dimensions{f' named {name!r}' if name else ''}")

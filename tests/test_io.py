@@ -15,7 +15,7 @@ from terrafold.checks import DataError
 from terrafold.operators import climate, grid, raster, scan
 from terrafold.plans import jobs
 from terrafold.sinks import cog, tables, tiff
-from terrafold.sources import bounds, cube, geotiff, index_text, points, season_tree
+from terrafold.sources import bounds, cube, geotiff, hdf5, index_text, points, season_tree
 from terrafold.streaming import live_scan
 
 
@@ -43,14 +43,13 @@ def test_netcdf_cube(spark, tmp_path, records):
     values = np.arange(3 * 2 * 4, dtype=float).reshape(3, 2, 4)
     values[1, 0, 2], values[2, 1, 3] = -99.0, np.nan
     netcdf3(tmp_path / "a.nc", values, records)
-    spark.dataSource.register(cube.Netcdf3)
-    got = {(r["time"], r["row"], r["col"]): r["value"] for r in spark.read.format("netcdf3").option("path", str(tmp_path / "a.nc")).option("steps", "2").load().collect()}
+    spark.dataSource.register(cube.Netcdf)
+    got = {(r["time"], r["row"], r["col"]): r["value"] for r in spark.read.format("netcdf").option("path", str(tmp_path / "a.nc")).option("steps", "2").load().collect()}
     assert len(got) == 24 and got[(1, 0, 2)] is None and got[(2, 1, 3)] is None and got[(2, 1, 2)] == 22.0
     assert cube.axes(str(tmp_path / "a.nc"), ("lat",))["lat"].tolist() == [0.0, 1.0]
     assert cube.start_date("days since 1981-01-01 00:00") == "1981-01-01" and cube.start_date("unknown") is None
-    (tmp_path / "b.nc").write_bytes(b"\x89HDF\r\n")
-    with pytest.raises(ValueError, match="HDF5"):
-        cube.Header((tmp_path / "b.nc").read_bytes())
+    with pytest.raises(ValueError, match="classic"):
+        cube.Header(b"\x89HDF\r\n" + b"\0" * 90)
 
 
 def test_index_text(spark, tmp_path):
@@ -396,7 +395,7 @@ def test_bounds_reach_the_cube(spark, tmp_path):
     """Bounds leave out partitions and bytes; the rows are those of a filter over all cells, in any mix of tables."""
     values = np.arange(40 * 6 * 5, dtype=float).reshape(40, 6, 5)
     path = cube_file(tmp_path / "a.nc", values, lats=range(6), lons=range(5))
-    open_ = lambda **within: bounds.load(spark, cube.Netcdf3, f"file://{path}", within, steps=4)
+    open_ = lambda **within: bounds.load(spark, cube.Netcdf, f"file://{path}", within, steps=4)
     some = open_(time=(9, 13), row=(2, 4), col=(3, None))
     assert {(r["time"], r["row"], r["col"]) for r in some.collect()} == {(t, r, c) for t in range(9, 13) for r in (2, 3) for c in (3, 4)}
     assert open_().rdd.getNumPartitions() == 10 and some.rdd.getNumPartitions() == 2
@@ -605,3 +604,179 @@ def test_stream_of_late_days_equals_batch(spark, tmp_path):
     again = live_scan.decide_late(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "ms").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     again.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == len(got)
+
+
+# ---- HDF5-based cubes ----------------------------------------------------------------------------------------------
+
+
+class Hdf5Writer:
+    """Files by the format's description. old: superblock 0, headers of version 1, symbol tables; else superblock 2, headers
+    of version 2 and links in the group's header, as NetCDF-4 has them."""
+
+    def __init__(self, old):
+        self.old, self.body = old, bytearray(b"\0" * 96)
+
+    def put(self, data):
+        self.body += b"\0" * (-len(self.body) % 8)
+        self.body += data
+        return len(self.body) - len(data)
+
+    @staticmethod
+    def kind(dtype):
+        dtype = np.dtype(dtype)
+        big = dtype.byteorder == ">"
+        if dtype.kind == "S":
+            return struct.pack("<BBBBI", 0x13, 0, 0, 0, dtype.itemsize)
+        if dtype.kind == "f":
+            bits = (0, 32, 23, 8, 0, 23, 127) if dtype.itemsize == 4 else (0, 64, 52, 11, 0, 52, 1023)
+            return struct.pack("<BBBBIHHBBBBI", 0x11, 0x20 | big, 31 if dtype.itemsize == 4 else 63, 0, dtype.itemsize, bits[0], bits[1], bits[2], bits[3], bits[4], bits[5], bits[6])
+        return struct.pack("<BBBBIHH", 0x10, big | 8 * (dtype.kind == "i"), 0, 0, dtype.itemsize, 0, 8 * dtype.itemsize)
+
+    def space(self, shape):
+        head = struct.pack("<BBBBI", 1, len(shape), 0, 0, 0) if self.old else struct.pack("<BBBB", 2, len(shape), 0, 1 if shape else 0)
+        return head + struct.pack(f"<{len(shape)}Q", *shape)
+
+    def attribute(self, name, value):
+        if isinstance(value, list) and isinstance(value[0], bytes):  # lists of references
+            kind, shape, data = struct.pack("<BBBBI", 0x19, 0, 0, 0, 16) + struct.pack("<BBBBI", 0x17, 0, 0, 0, 8), (len(value),), b"".join(value)
+        elif isinstance(value, str):
+            kind, shape, data = self.kind(f"S{len(value) + 1}"), (), value.encode() + b"\0"
+        else:
+            kind, shape, data = self.kind(value.dtype), (1,), value.tobytes()
+        name, space = name.encode() + b"\0", self.space(shape)
+        if self.old:
+            pad = lambda b: b + b"\0" * (-len(b) % 8)
+            return struct.pack("<BBHHH", 1, 0, len(name), len(kind), len(space)) + pad(name) + pad(kind) + pad(space) + data
+        return struct.pack("<BBHHHB", 3, 0, len(name), len(kind), len(space), 0) + name + kind + space + data
+
+    def header(self, messages):
+        """An object's header; the last message lies in a continued block."""
+        if self.old:
+            pack = lambda kind, data: struct.pack("<HHB3x", kind, len(data) + -len(data) % 8, 0) + data + b"\0" * (-len(data) % 8)
+            last = pack(*messages[-1])
+            at = self.put(last)
+            first = b"".join(pack(*m) for m in messages[:-1]) + pack(0x10, struct.pack("<QQ", at, len(last)))
+            return self.put(struct.pack("<BBHII4x", 1, 0, len(messages) + 1, 1, len(first)) + first)
+        pack = lambda kind, data: struct.pack("<BHBH", kind, len(data), 0, 7) + data
+        last = b"OCHK" + pack(*messages[-1]) + b"\0" * 4
+        at = self.put(last)
+        first = b"".join(pack(*m) for m in messages[:-1]) + pack(0x10, struct.pack("<QQ", at, len(last)))
+        return self.put(b"OHDR" + struct.pack("<BB16xI", 2, 0x26, len(first)) + first + b"\0" * 4)
+
+    def chunks(self, values, chunk, filters):
+        """A B-tree of two levels with a chunk's bytes at each leaf; chunks of fill values alone are left out."""
+        rank, leaves = values.ndim, []
+        key = lambda start, size, mask: struct.pack("<II", size, mask) + struct.pack(f"<{rank + 1}Q", *start, 0)
+        for k, start in enumerate(np.ndindex(*[-(-n // c) for n, c in zip(values.shape, chunk)])):
+            start = [a * c for a, c in zip(start, chunk)]
+            part = values[tuple(slice(a, a + c) for a, c in zip(start, chunk))]
+            part = np.pad(part, [(0, c - n) for c, n in zip(chunk, part.shape)])
+            if (part == -99).all():
+                continue
+            data, mask = part.tobytes(), 0
+            for n, f in enumerate(filters):
+                if f == hdf5.DEFLATE and k % 3 == 2:  # this one was stored as it was
+                    mask |= 1 << n
+                elif f == hdf5.DEFLATE:
+                    data = zlib.compress(data)
+                elif f == hdf5.SHUFFLE:
+                    data = np.frombuffer(data, np.uint8).reshape(-1, values.itemsize).T.tobytes()
+                else:
+                    data += b"sum."
+            leaves.append((key(start, len(data), mask), self.put(data)))
+        end = key([n + c for n, c in zip(values.shape, chunk)], 0, 0)
+
+        def node(level, rows):
+            return self.put(struct.pack("<4sBBHQQ", b"TREE", 1, level, len(rows), hdf5.NOWHERE, hdf5.NOWHERE) + b"".join(k + struct.pack("<Q", a) for k, a in rows) + end)
+
+        return node(1, [(leaves[a][0], node(0, leaves[a : a + 5])) for a in range(0, len(leaves), 5)])
+
+    def dataset(self, values, chunk=None, filters=(), attrs=()):
+        messages = [(0x1, self.space(values.shape)), (0x3, self.kind(values.dtype))]
+        if chunk:
+            tree = self.chunks(values, chunk, filters)
+            messages.append((0x8, struct.pack("<BBBQ", 3, 2, len(chunk) + 1, tree) + struct.pack(f"<{len(chunk) + 1}I", *chunk, values.itemsize)))
+        else:
+            messages.append((0x8, struct.pack("<BBQQ", 3, 1, self.put(values.tobytes()), values.nbytes)))
+        if filters and self.old:
+            each = b"".join(struct.pack("<HHHH8sI", f, 8, 0, 1, b"name", 4) + b"\0" * 4 for f in filters)
+            messages.append((0xB, struct.pack("<BB6x", 1, len(filters)) + each))
+        elif filters:
+            messages.append((0xB, struct.pack("<BB", 2, len(filters)) + b"".join(struct.pack("<HHHI", f, 0, 1, 4) for f in filters)))
+        messages.append((0x5, struct.pack("<BBBBI", 2, 1, 0, 1, 0)))
+        return self.header(messages + [(0xC, self.attribute(n, a)) for n, a in attrs])
+
+    def references(self, addresses):
+        """Lists of one reference each, by way of a global heap."""
+        objects = b"".join(struct.pack("<HHIQQ", k + 1, 1, 0, 8, a) for k, a in enumerate(addresses))
+        at = self.put(struct.pack("<4sB3xQ", b"GCOL", 1, 16 + len(objects) + 16) + objects + b"\0" * 16)
+        return [struct.pack("<IQI", 1, at, k + 1) for k in range(len(addresses))]
+
+    def finish(self, path, members):
+        if self.old:
+            names, offsets = b"\0" * 8, {}
+            for n in sorted(members):
+                offsets[n] = len(names)
+                names += n.encode() + b"\0" * (8 - len(n) % 8)
+            heap = self.put(struct.pack("<4sB3xQQQ", b"HEAP", 0, len(names), hdf5.NOWHERE, self.put(names)))
+            nodes = []
+            for some in (sorted(members)[:2], sorted(members)[2:]):
+                nodes.append(self.put(struct.pack("<4sBBH", b"SNOD", 1, 0, len(some)) + b"".join(struct.pack("<QQII16x", offsets[n], members[n], 0, 0) for n in some)))
+            tree = self.put(struct.pack("<4sBBHQQ", b"TREE", 0, 0, 2, hdf5.NOWHERE, hdf5.NOWHERE) + b"".join(struct.pack("<QQ", 0, n) for n in nodes) + b"\0" * 8)
+            root = self.header([(0x11, struct.pack("<QQ", tree, heap)), (0xC, self.attribute("title", "x"))])
+            head = hdf5.SIGNATURE + struct.pack("<8B", 0, 0, 0, 0, 0, 8, 8, 0) + struct.pack("<HHI", 4, 16, 0) + struct.pack("<QQQQ", 0, hdf5.NOWHERE, len(self.body), hdf5.NOWHERE) + struct.pack("<QQII16x", 0, root, 0, 0)
+        else:
+            links = [(0x6, struct.pack("<BBQB", 1, 0x4, k, len(n)) + n.encode() + struct.pack("<Q", a)) for k, (n, a) in enumerate(members.items())]
+            root = self.header([(0x2, struct.pack("<BBQQQ", 0, 1, len(links), hdf5.NOWHERE, hdf5.NOWHERE)), *links])
+            head = hdf5.SIGNATURE + struct.pack("<BBBB", 2, 8, 8, 0) + struct.pack("<QQQQI", 0, hdf5.NOWHERE, len(self.body), root, 0)
+        self.body[: len(head)] = head
+        path.write_bytes(bytes(self.body))
+        return str(path)
+
+
+def hdf5_cube(path, values, old, chunk=(7, 2, 3), filters=(hdf5.SHUFFLE, hdf5.DEFLATE, hdf5.FLETCHER), named=True):
+    """rain(time, lat, lon) with its axes; rows and columns may be as many, then only names tell them apart."""
+    w = Hdf5Writer(old)
+    steps, rows, cols = values.shape
+    time = w.dataset(np.arange(steps, dtype="<i4"), (16,), (hdf5.DEFLATE,), [("units", "days since 2001-01-10"), ("calendar", "standard")])
+    lon = w.dataset((-81.0 + 0.5 * np.arange(cols)).astype("<f8"), attrs=[("units", "degrees_east")])
+    lat = w.dataset((1.0 - 0.5 * np.arange(rows)).astype(">f8"), attrs=[("units", "degrees_north")])
+    attrs = [("units", "mm"), ("_FillValue", np.array([-99], values.dtype))] + ([("DIMENSION_LIST", w.references([time, lat, lon]))] if named else [])
+    return w.finish(path, {"time": time, "lon": lon, "lat": lat, "rain": w.dataset(values, chunk, filters, attrs)})
+
+
+@pytest.mark.parametrize("old", [True, False])
+def test_hdf5_cube_equals_its_classic_twin(spark, tmp_path, old):
+    rng = np.random.default_rng(4)
+    values = (rng.integers(0, 500, (40, 5, 5)) / 4).astype("<f4")
+    values[3, 1, 2], values[9, 0, 0] = -99, np.nan
+    values[14:21, 2:4, 0:3] = -99  # a chunk that was never written
+    path = hdf5_cube(tmp_path / "a.nc", values, old)
+    twin = cube_file(tmp_path / "b.nc", np.where(values == -99, np.nan, values).astype(float), np.arange(40), "days since 2001-01-10", lats=1.0 - 0.5 * np.arange(5), lons=-81.0 + 0.5 * np.arange(5))
+    g = grid.Grid(1.0, -81.0, 0.5, 5, 5)
+    state = lambda df: sorted((r["date"], r["row"], r["col"], r["value"]) for r in df.where("value IS NOT NULL").collect())
+    whole = jobs.open_cube(spark, f"file://{path}", g)
+    assert state(whole) == state(jobs.open_cube(spark, twin, g)) and whole.rdd.getNumPartitions() > 3
+    file = hdf5.File(path)
+    assert len(file.chunks(file.vars["rain"])) == 6 * 3 * 2 - 1 and [file.dims[k][0] for k in file.vars["rain"].dims] == ["time", "lat", "lon"]
+    assert cube.days_of(path)[:2] == [dt.date(2001, 1, 10), dt.date(2001, 1, 11)]
+    some = bounds.load(spark, cube.Netcdf, path, {"time": (6, 9), "row": (1, 2), "col": (2, 4)}, chunks=1)
+    assert some.rdd.getNumPartitions() == 4  # of 35 chunks
+    assert {(r["time"], r["row"], r["col"]): r["value"] for r in some.collect()} == {(t, 1, c): float(values[t, 1, c]) for t in (6, 7, 8) for c in (2, 3)}
+    with pytest.raises(DataError, match="begins"):
+        jobs.open_cube(spark, path, grid.Grid(1.5, -81.0, 0.5, 5, 5))
+
+
+def test_hdf5_layouts(spark, tmp_path):
+    """Values in one piece, other types and orders, axes known by their sizes, and what is refused."""
+    values = np.arange(12 * 2 * 3, dtype=">i2").reshape(12, 2, 3)
+    for k, (chunk, filters) in enumerate(((None, ()), ((12, 2, 3), ()), ((5, 1, 2), (hdf5.SHUFFLE,)))):
+        path = hdf5_cube(tmp_path / f"{k}.nc", values, k % 2 == 0, chunk, filters, named=False)
+        got = {(r["time"], r["row"], r["col"]): r["value"] for r in bounds.load(spark, cube.Netcdf, path, steps=5).collect()}
+        assert got == {i: float(values[i]) for i in np.ndindex(*values.shape)}
+    w = Hdf5Writer(False)
+    with pytest.raises(ValueError, match="filters"):
+        cube.days_of(w.finish(tmp_path / "f.nc", {"rain": w.dataset(values, (12, 2, 3), (32015,))}))
+    (tmp_path / "n.nc").write_bytes(hdf5.SIGNATURE + b"\x09" + b"\0" * 200)
+    with pytest.raises(ValueError, match="superblock"):
+        cube.days_of(str(tmp_path / "n.nc"))
