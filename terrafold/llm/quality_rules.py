@@ -6,24 +6,27 @@ transformed to near-normal scales; per language and source a minimum-covariance-
 spread of the bulk (`SUPPORT` of the rows), and a text is rejected when its squared Mahalanobis distance exceeds `CUT`.
 
 The estimate: start from medians and median deviations, then concentration steps, each of which keeps the rows within
-the group's distance quantile and estimates centre and covariance from them; the determinant cannot grow. Each
+the group's distance quantile and estimates centre and covariance from them, until no group's determinant falls any more
+(STEPS at most); of all steps a group keeps the one with the least determinant. Statistics count in thousandths, their
+sums are exact, and quantiles are ranks among counted values, so verdicts do not depend on partitions or order. Each
 variance has a floor (`FLOORS`), as most texts have no symbol or repeated line at all; each statistic can pass `CUT` alone. Distances are divided by how
 much their median exceeds that of a chi-square with as many degrees of freedom. Groups with fewer than `LEAST_ROWS`
 rows use the estimate of all such rows of their language, languages with fewer that of all rows so left.
 
-Per step two aggregations by group with map-side combination (quantile sketch, moments); a source with a third of all
-rows sends one partial row per task. Centre and spread are joined back by broadcast while there are at most
+Per step two aggregations by group with map-side combination (counts of distances on a fine scale, sums); a source with a
+third of all rows sends a bounded number of partial rows per task. Centre and spread are joined back by broadcast while there are at most
 `BROADCAST_GROUPS` groups, by key beyond.
 
 Repeated windows are found by the 64-bit hashes of a text's windows, compared inside the text only.
 Defined results: null text has no words and fails; null language or source is a group of its own; repeated rows are
-judged alike; an empty table gives no rows; other columns are ignored.
+judged alike, and so are rows of equal statistics, at the cut too; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from terrafold.llm.common import SPACE_CHARS, materialize, need
 
@@ -31,7 +34,7 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 20
 WINDOW = 8
 SUPPORT = 0.75
-STEPS = 4
+STEPS = 12
 CUT = 30.0  # chi-square with 5 degrees of freedom: about 1 in 10^5
 # The last two let repeats alone pass CUT: 20 % of the words (log 21 = 3.04), or lines of up to 8 words that all repeat
 # (log 13.5 = 2.60), are more than sqrt(CUT) floors from a text without any.
@@ -39,6 +42,7 @@ FLOORS = (0.5, 0.12, 0.4, 0.45, 0.55)
 LEAST_ROWS = 50
 BROADCAST_GROUPS = 100_000
 _MEDIAN_CHI2 = 4.351
+_UNIT, _FINE = 1000, 2000
 _P = len(FLOORS)
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -85,20 +89,22 @@ def statistics(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
 
 def features() -> list[Column]:
-    """The transformed statistics, in the order of FLOORS."""
+    """The transformed statistics in thousandths, whole numbers, in the order of FLOORS."""
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     chars = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
-    return [
+    values = [
         F.log(n + 1),
         F.log(chars / n),
         F.log(1 + 100 * F.col("n_symbols") / chars),
         F.log(1 + 100 * F.col("n_dup_lines") / n),
         F.log(1 + 100 * F.col("n_repeat_words") / n),
     ]
+    return [F.round(v * _UNIT).cast("long") for v in values]
 
 
 def _whitening(moments: DataFrame) -> DataFrame:
-    """moments: key, m0.., c00.. (covariances). Adds w_ij, the inverse of the Cholesky factor: distance = |w (x - m)|."""
+    """moments: key, m0.., c00.. (covariances). Adds w_ij, the inverse of the Cholesky factor: distance = |w (x - m)|; and
+    size, the logarithm of the determinant's root."""
     df = moments
     for i in range(_P):
         for j in range(i + 1):
@@ -106,6 +112,10 @@ def _whitening(moments: DataFrame) -> DataFrame:
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
+    size = F.lit(0.0)
+    for i in range(_P):
+        size = size + F.log(f"l{i}{i}")
+    df = df.withColumn("size", size)
     for j in range(_P):
         for i in range(j, _P):
             if i == j:
@@ -115,7 +125,7 @@ def _whitening(moments: DataFrame) -> DataFrame:
                 for k in range(j, i):
                     total = total + F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
                 df = df.withColumn(f"w{i}{j}", -total / F.col(f"l{i}{i}"))
-    return df.select("key", *[f"m{i}" for i in range(_P)], *[f"w{i}{j}" for i in range(_P) for j in range(i + 1)])
+    return df.select("key", "size", *[f"m{i}" for i in range(_P)], *[f"w{i}{j}" for i in range(_P) for j in range(i + 1)])
 
 
 def _distance() -> Column:
@@ -123,15 +133,42 @@ def _distance() -> Column:
     for i in range(_P):
         part = F.lit(0.0)
         for j in range(i + 1):
-            part = part + F.col(f"w{i}{j}") * (F.col(f"x{j}") - F.col(f"m{j}"))
+            part = part + F.col(f"w{i}{j}") * (F.col(f"x{j}") / float(_UNIT) - F.col(f"m{j}"))
         total = total + part * part
     return total
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    means = [F.avg(f"x{i}").alias(f"m{i}") for i in range(_P)]
-    covs = [F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i in range(_P) for j in range(i + 1)]
-    return rows.groupBy("key").agg(*means, *covs)
+    """key, m0.., c00..: means and covariances, from sums of whole numbers that no order of adding changes."""
+    whole = lambda c: c.cast("decimal(20,0)")
+    pairs = [(i, j) for i in range(_P) for j in range(i + 1)]
+    sums = rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(_P)], *[F.sum(whole(F.col(f"x{i}") * F.col(f"x{j}"))).alias(f"p{i}{j}") for i, j in pairs],
+    )
+    n = F.col("n").cast("double")
+    cov = [((whole(F.col("n")) * F.col(f"p{i}{j}") - whole(F.col(f"s{i}")) * whole(F.col(f"s{j}"))).cast("double") / (n * n * _UNIT**2)).alias(f"c{i}{j}") for i, j in pairs]
+    return sums.select("key", *[(F.col(f"s{i}") / (n * _UNIT)).alias(f"m{i}") for i in range(_P)], *cov)
+
+
+def _ranked(values: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """values: keys, v (whole numbers on a scale of bounded length). keys and v: the value at that share of the way through the key's
+    values. Equal values are counted before they move."""
+    counts = values.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
+    mine = Window.partitionBy(*keys)
+    run = counts.select(*keys, "v", F.sum("n").over(mine.orderBy("v")).alias("upto"), F.sum("n").over(mine).alias("all"))
+    return run.where(F.col("upto") >= F.ceil(F.col("all") * F.lit(share))).groupBy(*keys).agg(F.min("v").alias("v"))
+
+
+def _medians(rows: DataFrame, columns: list[Column], name: str) -> DataFrame:
+    """key and the median of each column, as name0, name1..."""
+    each = rows.select("key", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c.alias("v")) for i, c in enumerate(columns)])).alias("e")).select("key", "e.i", "e.v")
+    found = _ranked(each, ["key", "i"], 0.5)
+    return found.groupBy("key").agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"{name}{i}") for i in range(_P)])
+
+
+def _fine(distance: Column) -> Column:
+    """A squared distance on a scale of _FINE steps a factor of e, beyond 1."""
+    return F.floor(F.log1p(distance) * _FINE).cast("long")
 
 
 def _joined(rows: DataFrame, small: DataFrame, groups: int, how: str = "inner") -> DataFrame:
@@ -140,17 +177,29 @@ def _joined(rows: DataFrame, small: DataFrame, groups: int, how: str = "inner")
 
 def estimates(rows: DataFrame, groups: int, steps: int = STEPS) -> DataFrame:
     """rows: key, x0... Returns per key centre, whitening and `scale` of the squared distances."""
-    middle = rows.groupBy("key").agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(_P)])
-    off = _joined(rows, middle, groups).groupBy("key", *[f"m{i}" for i in range(_P)]).agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i in range(_P)])
-    start = off.select("key", *[f"m{i}" for i in range(_P)], *[(F.pow(F.col(f"d{i}") * 1.4826, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(_P) for j in range(i + 1)])
-    now = materialize(_whitening(start), "mcd-start")
+    x = [F.col(f"x{i}") for i in range(_P)]
+    middle = materialize(_medians(rows, x, "a"), "mcd-medians")
+    off = _medians(_joined(rows, middle, groups), [F.abs(x[i] - F.col(f"a{i}")) for i in range(_P)], "d").join(middle, "key")
+    start = off.select("key", *[(F.col(f"a{i}") / float(_UNIT)).alias(f"m{i}") for i in range(_P)], *[(F.pow(F.col(f"d{i}") * 1.4826 / _UNIT, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(_P) for j in range(i + 1)])
+    now, best = materialize(_whitening(start), "mcd-start"), None
     for _ in range(steps):
-        near = _joined(rows, now, groups).select("key", *[f"x{i}" for i in range(_P)], _distance().alias("d"))
-        limit = near.groupBy("key").agg(F.percentile_approx("d", SUPPORT, 2000).alias("limit"))
-        bulk = _joined(near, limit, groups).where(F.col("d") <= F.col("limit"))
+        near = _joined(rows, now, groups).select("key", *x, _fine(_distance()).alias("v"))
+        bulk = _joined(near, _ranked(near.select("key", "v"), ["key"], SUPPORT).withColumnRenamed("v", "limit"), groups).where("v <= limit")
         now = materialize(_whitening(_moments(bulk)), "mcd-step")
-    medians = _joined(rows, now, groups).groupBy("key").agg(F.percentile_approx(_distance(), 0.5, 2000).alias("median"))
-    return materialize(_joined(now, medians.select("key", F.greatest(F.lit(1.0), F.col("median") / _MEDIAN_CHI2).alias("scale")), groups), "mcd-estimates")
+        if best is None:
+            best = now
+            continue
+        both = now.withColumn("_late", F.lit(1)).unionByName(best.withColumn("_late", F.lit(0)))
+        fell = now.select("key", F.col("size").alias("_new")).join(best.select("key", "size"), "key").where(F.col("_new") < F.col("size") - 1e-6)
+        done = fell.isEmpty()
+        least = both.groupBy("key").agg(F.min_by(F.struct(*now.columns), F.struct("size", "_late")).alias("_b"))
+        best = materialize(least.select("_b.*"), "mcd-best")
+        if done:
+            break
+    best = now if best is None else best
+    medians = _ranked(_joined(rows, best, groups).select("key", _fine(_distance()).alias("v")), ["key"], 0.5)
+    scale = F.greatest(F.lit(1.0), F.expm1(F.col("v") / float(_FINE)) / _MEDIAN_CHI2)
+    return materialize(_joined(best, medians.select("key", scale.alias("scale")), groups), "mcd-estimates")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", cut: float = CUT) -> DataFrame:

@@ -422,16 +422,50 @@ def test_quality_rules(spark, docs):
 
 def test_distance_is_mahalanobis(spark):
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(400, 5)) @ rng.normal(size=(5, 5)) * 3
-    rows = spark.createDataFrame([("k", *map(float, r)) for r in x], "key string, x0 double, x1 double, x2 double, x3 double, x4 double")
+    whole = np.rint(rng.normal(size=(400, 5)) @ rng.normal(size=(5, 5)) * 3000).astype(int)
+    x = whole / 1000
+    rows = spark.createDataFrame([("k", *r) for r in whole.tolist()], "key string, x0 long, x1 long, x2 long, x3 long, x4 long").withColumn("row", F.monotonically_increasing_id())
     white = quality_rules._whitening(quality_rules._moments(rows))
-    got = np.array([r["d"] for r in rows.join(white, "key").select("x0", quality_rules._distance().alias("d")).orderBy("x0").collect()])
+    got = np.array([r["d"] for r in rows.join(white, "key").select("row", quality_rules._distance().alias("d")).orderBy("row").collect()])
     cov = np.cov(x.T, bias=True) + np.diag(np.square(quality_rules.FLOORS))
     c = x - x.mean(axis=0)
-    want = np.einsum("ij,jk,ik->i", c, np.linalg.inv(cov), c)[np.argsort(x[:, 0])]
+    want = np.einsum("ij,jk,ik->i", c, np.linalg.inv(cov), c)
     assert np.allclose(got, want, rtol=1e-6)
 
 
+def determinant(x, support):
+    """Of the covariance, with its floors, of a part of the rows."""
+    return np.linalg.slogdet(np.cov(x[support].T, bias=True) + np.diag(np.square(quality_rules.FLOORS)))[1] / 2
+
+
+def random_starts(x, share, starts=60, steps=15):
+    """The least determinant that concentration from random subsets finds."""
+    rng, h, best = np.random.default_rng(1), int(np.ceil(share * len(x))), np.inf
+    for _ in range(starts):
+        support = rng.choice(len(x), 8, replace=False)
+        for _ in range(steps):
+            c = x - x[support].mean(axis=0)
+            cov = np.cov(x[support].T, bias=True) + np.diag(np.square(quality_rules.FLOORS))
+            support = np.argsort(np.einsum("ij,jk,ik->i", c, np.linalg.inv(cov), c))[:h]
+        best = min(best, determinant(x, support))
+    return best
+
+
+def test_estimate_is_near_the_least_determinant(spark):
+    """Against concentration from many random starts, for a bulk with far rows, one with a second group, and one with ties."""
+    rng = np.random.default_rng(6)
+    bulk = lambda n: rng.normal(size=(n, 5)) @ rng.normal(size=(5, 5)) * 2
+    groups = {"far": np.vstack([bulk(240), rng.normal(25, 1, (40, 5))]), "two": np.vstack([bulk(200), bulk(60) + 12]), "ties": np.vstack([np.repeat(bulk(30), 8, axis=0), rng.normal(-30, 3, (20, 5))])}
+    groups = {k: np.rint(v * 1000) / 1000 for k, v in groups.items()}
+    data = [(k, *map(int, np.rint(r * 1000))) for k, x in groups.items() for r in x]
+    rows = spark.createDataFrame(data, "key string, x0 long, x1 long, x2 long, x3 long, x4 long")
+    found = {r["key"]: r for r in quality_rules.estimates(rows, 3).collect()}
+    for k, x in groups.items():
+        assert found[k]["size"] <= random_starts(x, quality_rules.SUPPORT) + (0.2 if k == "ties" else 0.1)  # rows that tie at the limit all count
+    again = {r["key"]: r for r in quality_rules.estimates(rows.repartition(7, "x1"), 3).collect()}
+    assert again == found  # to the last digit, whatever the partitions
+
+
 def test_outliers_are_rejected_and_the_bulk_is_kept(spark):
     rng = random.Random(8)
     clean = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(60, 300))) for _ in range(300)]
