@@ -48,13 +48,13 @@ from terrafold.llm.common import by_group, discard, materialize, need, with_row
 WIDTH = 5
 PERCENT = 80
 BLOCK = 2048
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 ASKS = 4096
 SALTS = 64
 FREQUENT = 50
 MAX_FREQUENT = 1_000_000
 BROADCAST_ROWS = 500_000
-_SLICE = 1_000_000
+_SLICE = 500_000
 _ENTRY = 6
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.array([0x8CB92BA72F3D8DD7, 0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8BB84B93962EACC9, 0x4B33A62ED433D4A3, 0x2545F4914F6CDD1D, 0xCA5A826395121157, 0x9FB21C651E98DF25], dtype=np.uint64)
@@ -246,7 +246,9 @@ def _frequent(rows: DataFrame, width: int, percent: int) -> np.ndarray:
                 yield pd.DataFrame({"token": _long(token), "n": n})
 
     counts = rows.select("text").mapInPandas(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT)
+    counts = materialize(counts, "jaccard-frequent")
     top = counts.orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64)
+    discard(counts)
     return np.sort(top.view(np.uint64))
 
 
