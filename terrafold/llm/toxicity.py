@@ -4,7 +4,7 @@ The lexicon is learned: words, and stems (beginnings of words), that mark labell
 others; and families, stems that mark a text in which two or three different words begin with them, though one such word
 says little. Words and stems lie in a trie whose last nodes say whether a whole word or a stem ends there. The Levenshtein
 automaton of the lexicon is the set of pairs (trie node, edits spent) that a word's characters leave alive; it is
-made deterministic on demand, one table entry for each set and character. So a word costs one dictionary lookup a
+made deterministic on demand, one table entry for each set and character; a full table (`_ENTRIES`) is begun afresh. So a word costs one dictionary lookup a
 character and most words leave the automaton after a few.
 
 Each hit weighs as much as hits of its term and kind (exact, stem, one edit, two edits) are right in the labelled rows.
@@ -52,6 +52,7 @@ SKETCH = 256
 BANDS = 12
 COPY = 0.8
 _CACHE = 200_000
+_ENTRIES = 500_000
 
 _WORD = re.compile(r"[^\W_]+(?:['@$!|*+.\-_]+(?=[^\W_])[^\W_]+)*")
 _JOINER = re.compile(r"[.\-_*+]+")
@@ -96,11 +97,15 @@ class LexiconAutomaton:
                 self.word_at[node] = t
             if term in is_stem:
                 self.stem_at[node] = t
+        self._afresh()
+
+    def _afresh(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.ends: list[tuple[int, int] | None] = []
         self.stems: list[int] = []
+        self.entries = 0  # pairs of all states, and moves
         self.start = self._state({0: 0})
 
     def _closed(self, alive: dict[int, int]) -> dict[int, int]:
@@ -123,6 +128,7 @@ class LexiconAutomaton:
             return self.states[key]
         at = self.states[key] = len(self.sets)
         self.sets.append(key)
+        self.entries += len(key)
         self.moves.append({})
         found = [(e, self.word_at[n]) for n, e in closed.items() if n in self.word_at and e <= allowed_edits(self.terms[self.word_at[n]])]
         self.ends.append((min(found)[1], min(found)[0]) if found else None)
@@ -144,12 +150,14 @@ class LexiconAutomaton:
                 if e + 1 <= self.reach[child] and e + 1 < alive.get(child, 9):
                     alive[child] = e + 1
         at = self._state(alive) if alive else -1
-        if len(self.sets) < 200_000:
-            self.moves[state][ch] = at
+        self.moves[state][ch] = at
+        self.entries += 1
         return at
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the word: an exact stem counts as 0 edits and wins over misspellings."""
+        if self.entries > _ENTRIES:  # between words, so no state is in use
+            self._afresh()
         state = self.start
         stem = -1
         moves, stems = self.moves, self.stems

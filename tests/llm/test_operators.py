@@ -118,6 +118,22 @@ def edits(a, b):
     return row[-1]
 
 
+def test_automaton_with_full_tables_answers_the_same(monkeypatch):
+    rng = random.Random(5)
+    terms = ["".join(rng.choice("abcde") for _ in range(rng.randrange(4, 12))) for _ in range(60)]
+    words = [t[: rng.randrange(len(t) + 1)] + rng.choice("abcdex") + t[rng.randrange(len(t)) :] for t in rng.choices(terms, k=3000)]
+    large = toxicity.LexiconAutomaton(terms[:40], terms[40:])
+    want = [large.match(w) for w in words]
+    monkeypatch.setattr(toxicity, "_ENTRIES", 500)
+    small, most = toxicity.LexiconAutomaton(terms[:40], terms[40:]), 0
+    longest = max(sum(len(s) for s in large.sets) // len(large.sets), 1)
+    for w, hit in zip(words, want):
+        assert small.match(w) == hit, w
+        most = max(most, small.entries)
+    assert large.entries > 5_000 and any(want) and not all(want)
+    assert most <= 500 + 30 * (longest + 60), most  # what one word adds at most
+
+
 def test_automaton_equals_edit_distance():
     rng = random.Random(3)
     words = ["moron", "worthless", "scum", "pathetic", "disgusting", "clown"]
