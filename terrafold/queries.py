@@ -116,11 +116,17 @@ def season_assign(spark, d):
     return seasoned(spark, d).groupBy("id", "season", "region").agg(F.count(F.lit(1)).alias("n_days"), F.min("date").alias("first"), F.max("date").alias("last"), F.sum("rain").alias("rain"))
 
 
-@query("""SELECT CAST(y AS INTEGER) AS year, region, CASE region WHEN 'highland' THEN make_date(y, 11, 1) WHEN 'midland' THEN make_date(y, 4, 1) ELSE make_date(y, 7, 1) END AS start,
-    CASE region WHEN 'highland' THEN make_date(y + 1, 4, 30) WHEN 'midland' THEN make_date(y, 7, 31) ELSE make_date(y, 12, 31) END AS "end"
-    FROM range(1995, 2002) t(y), (VALUES ('highland'), ('midland'), ('lowland')) r(region) WHERE NOT (y = 2001 AND region = 'highland')""")
+@query(f"""WITH {DAILY}, {POINTS}, years AS (SELECT unnest(range(min(year(date)), max(year(date)) + 1)) AS y, max(year(date)) AS horizon FROM daily), r AS (SELECT region, count(*) AS n_points FROM points GROUP BY region),
+    t AS (SELECT CAST(y AS INTEGER) AS year, region, CASE region WHEN 'highland' THEN make_date(y, 11, 1) WHEN 'midland' THEN make_date(y, 4, 1) ELSE make_date(y, 7, 1) END AS start,
+    CASE region WHEN 'highland' THEN make_date(y + 1, 4, 30) WHEN 'midland' THEN make_date(y, 7, 31) ELSE make_date(y, 12, 31) END AS "end", n_points, horizon FROM years, r)
+    SELECT year, region, start, "end", n_points FROM t WHERE year("end") <= horizon""")
 def season_tasks(spark, d):
-    return season.tasks(spark, 1995, 2001, horizon=2001)
+    """The seasons of the data's own years that end within them, with the points that each has to run."""
+    span = daily(spark, d).agg(F.min(F.year("date")).alias("a"), F.max(F.year("date")).alias("b")).first()
+    if span["a"] is None:
+        span = {"a": 0, "b": -1}
+    sizes = season.split_regions(points(spark, d)).groupBy("region").agg(F.count(F.lit(1)).alias("n_points"))
+    return season.tasks(spark, span["a"], span["b"], horizon=span["b"]).join(sizes, "region")
 
 
 _RESULTS = "results AS (SELECT id, season, region, date, CAST(c % 8 AS INTEGER) AS bu, CAST(q % 7 AS INTEGER) AS fu, CAST(n % 9 AS INTEGER) AS applications FROM seasoned)"
