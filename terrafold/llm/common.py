@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -169,6 +171,23 @@ def by_group(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[object
         yield held_key, held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
 
 
+def text_slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[list[str | None]]:
+    """The texts in order, in lists of about `size` bytes: Python strings are made of one list at a time, not of a whole batch,
+    whose size is a setting of whoever runs the query."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, side="right")))
+        yield texts.slice(a, b - a).to_pylist()
+        a = b
+
+
+def struct_of(parts: list[pd.DataFrame], fields: dict[str, pa.DataType]) -> pa.StructArray:
+    """One Arrow struct array of frames on end; of none an empty one."""
+    columns = [pa.chunked_array([pa.array(p[c], t) for p in parts], t).combine_chunks() for c, t in fields.items()]
+    return pa.StructArray.from_arrays(columns, list(fields))
+
+
 def tokenizer_file(name: str) -> str:
     """Path of a public vocabulary file; TOKENIZERS_DIR overrides the installed package's folder."""
     folder = os.environ.get("TOKENIZERS_DIR")

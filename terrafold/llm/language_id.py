@@ -27,10 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import bounded_sample, free_name, materialize, need
+from terrafold.llm.common import bounded_sample, free_name, materialize, need, struct_of, text_slices
 
 UNKNOWN = "und"
 ORDER = 4
@@ -41,6 +42,7 @@ LEAST_CHAR_VAR = 6.0
 REJECT_SD = 8.0
 
 _STEP = 500_000
+_HELD = 500_000  # n-grams a task counts before it sends them on
 _PLANES = 0x40000  # beyond are tags and private use
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 
@@ -153,7 +155,7 @@ def _counts(batches: Iterator[pd.DataFrame], order: int) -> Iterator[pd.DataFram
                 grams, n = _unique_rows(_own_starts(grams[keep], sym, starts, keep, order), None)
                 held.setdefault(lang, []).append((grams, n))
                 size += len(n)
-        if size > 2_000_000:
+        if size > _HELD:
             yield from emit()
             held, size = {}, 0
     yield from emit()
@@ -402,11 +404,13 @@ def verdict(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
     """lang_pred, score, cross_entropy and rejected of a text column, as one struct."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
-    def classify(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
+    def classify(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
+        kinds = {"lang_pred": pa.string(), "score": pa.float64(), "cross_entropy": pa.float64(), "rejected": pa.bool_()}
         for batch in texts:
-            yield own.classify([t if isinstance(t, str) else "" for t in batch]).rename(columns={"lang": "lang_pred"})
+            found = [own.classify([t or "" for t in some]).rename(columns={"lang": "lang_pred"}) for some in text_slices(batch)]
+            yield struct_of(found, kinds)
 
     return classify.asNondeterministic()(text)  # else Spark may run it once more for each use of a field
 

@@ -6,7 +6,9 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from terrafold.llm import common, jaccard_join, kd_sharding, language_id, packing, quality_cnn, quality_rules, quotation, toxicity
 from terrafold.llm.common import held_out
@@ -345,3 +347,41 @@ def test_large_languages_are_learned_from_a_bounded_part(spark):
     assert 150 * per_text < seen["big"] < 400 * per_text
     got = language_id.identify(df, model, ("lang",)).collect()
     assert all(r["lang"] == r["lang_pred"] and not r["rejected"] for r in got)
+
+
+# pipeline -----------------------------------------------------------------------------------------------------------
+
+
+class _Sizes(language_id.LanguageModel):
+    """Says of each text how many characters it is asked about together with."""
+
+    def classify(self, texts):
+        return pd.DataFrame({"lang": str(sum(map(len, texts))), "score": 0.5, "cross_entropy": 1.0, "rejected": [False] * len(texts)})
+
+
+def test_a_batch_is_scored_in_slices(spark):
+    """Whatever the batches that a session sends, a worker makes strings of about a megabyte at a time."""
+    docs = spark.range(60, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 100_000).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(60, None), (61, "")], "doc_id long, text string")).coalesce(1)
+    model = _Sizes([], 4, np.zeros(0, np.float32), [], [])
+    got = language_id.identify(docs, model).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(62))
+    assert max(int(r["lang_pred"]) for r in got) <= 1 << 20
+    assert {r["score"] for r in toxicity.score(docs, toxicity.ToxicityModel()).collect()} == {toxicity.BASE}
+    texts = ["é" * 3, None, "", "x" * 50, "y"]
+    assert list(common.text_slices(pa.array(texts), 10)) == [texts[:3], texts[3:4], texts[4:]]
+    assert [t for some in common.text_slices(pa.array(texts).slice(1, 3), 10) for t in some] == texts[1:4]
+    assert not list(common.text_slices(pa.array([], pa.string()))) and not len(common.struct_of([], {"a": pa.string()}))
+
+
+def test_counts_are_sent_on_before_they_fill_a_task(monkeypatch):
+    """Also where the last batch is the one that fills the tables: an empty frame would stop the run."""
+    monkeypatch.setattr(toxicity, "_HELD", 0)
+    batches = [pd.DataFrame({"text": [f"some words {i}"], "toxic": [i % 2]}) for i in range(3)]
+    parts = list(toxicity._features(iter(batches)))
+    assert len(parts) == 3 and all(len(p) for p in parts)
+    assert pd.concat(parts).query("kind == 'w' and term == 'words'")[["toxic", "clean"]].sum().tolist() == [1, 2]
+    monkeypatch.setattr(language_id, "_HELD", 0)
+    texts = [pd.DataFrame({"text": ["ab ab"], "lang": ["x"]}) for _ in range(3)]
+    counts = list(language_id._counts(iter(texts), 2))
+    assert len(counts) == 3 and pd.concat(counts)["n"].sum() == 3 * 5
