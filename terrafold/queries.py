@@ -13,6 +13,7 @@ from terrafold.operators import catalog, climate, climate_index, grid, raster, s
 from terrafold.sources import star
 
 Query = Callable[[SparkSession, str], DataFrame]
+DIFF_PARTS = 200
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -647,7 +648,9 @@ def class_breaks_diverging(spark, d):
     j AS (SELECT coalesce(a.id, b.id) AS id, a.q AS aq, b.q AS bq, a.n AS an, b.n AS bn FROM a FULL JOIN b ON a.id = b.id AND a.date = b.date), t AS (SELECT count(*) FILTER (x <> y) AS n_ids_changed FROM (SELECT id, max(an) AS x, max(bn) AS y FROM j GROUP BY id))
     SELECT count(*) FILTER (aq IS NOT NULL AND bq IS NOT NULL) AS n_common, count(*) FILTER (bq IS NULL) AS n_only_old, count(*) FILTER (aq IS NULL) AS n_only_new, CAST(max(abs(aq - bq)) AS DOUBLE) AS max_diff_q, CAST(max(abs(an - bn)) AS DOUBLE) AS max_diff_n, any_value(n_ids_changed) AS n_ids_changed FROM j, t""")
 def tree_diff(spark, d):
-    rows = daily(spark, d).select("id", "date", "q", "n")
+    # tables of both sides and of their comparison lie in one task; shuffled bytes say little of their size
+    parts = max(DIFF_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = star.daily_of(table(spark, d, "lineitem"), parts).select("id", "date", "q", "n")
     new = rows.where("n % 7 <> 0").select("id", "date", (F.col("q") + F.when(F.col("n") % 9 == 0, 2).otherwise(0)).alias("q"), (F.col("n") + F.when(F.col("id") % 4 == 0, 1).otherwise(0)).alias("n"))
     return catalog.compare_runs(rows.where("n % 5 <> 0"), new, ["q", "n"], count="n")
 

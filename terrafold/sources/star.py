@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def daily_of(lineitem: DataFrame) -> DataFrame:
-    """id, date, tmin, tmax, tdew, rain and the sums q, c, n that they come from."""
-    rows = lineitem.groupBy(F.col("l_suppkey").alias("id"), F.to_date("l_shipdate").alias("date"))
-    sums = rows.agg(F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("c"), F.sum("l_linenumber").alias("n"))
+def daily_of(lineitem: DataFrame, parts: int | None = None) -> DataFrame:
+    """id, date, tmin, tmax, tdew, rain and the sums q, c, n that they come from.
+
+    parts: the rows are dealt by (id, date) to so many tasks, which adaptive execution does not join; what groups by the
+    same keys later needs no other shuffle, and all its tables hold such a part."""
+    rows = lineitem.select(F.col("l_suppkey").alias("id"), F.to_date("l_shipdate").alias("date"), "l_quantity", "l_linenumber")
+    rows = rows.repartition(parts, "id", "date") if parts else rows
+    sums = rows.groupBy("id", "date").agg(F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("c"), F.sum("l_linenumber").alias("n"))
     tmin = (F.col("q") % 64) / 8.0
     return sums.select("id", "date", tmin.alias("tmin"), (tmin + 6 + F.col("c") % 8).alias("tmax"), (tmin + (F.col("n") % 16) / 4.0 - 1).alias("tdew"), (((F.col("q") + 3 * F.col("c")) % 48) / 4.0).alias("rain"), "q", "c", "n")
 

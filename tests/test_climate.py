@@ -1,6 +1,7 @@
 """Operators against small brute-force versions and closed forms."""
 
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from terrafold.checks import DataError, none_where, unique_key
 from terrafold.functions import classes, scores, solar, student
 from terrafold.operators import catalog, climate, climate_index, grid, raster, scan, season, trend
+from terrafold.sources import star
 
 
 def brute_scan(bu, fu, due_b, due_f):
@@ -241,3 +243,17 @@ def test_ranks_of_a_column(spark, monkeypatch):
     shares = [0.0, 0.013, 0.25, 0.5, 0.77, 0.99, 1.0]
     assert np.allclose(ranks.percentiles(df, shares), np.quantile(v, shares), rtol=1e-12)
     assert ranks.percentiles(df.limit(0), shares) is None
+
+
+def test_tree_diff_deals_once_into_many_parts(spark):
+    """Both sides and their comparison share one shuffle by key, whose parts adaptive execution does not join."""
+    from terrafold import queries
+
+    found = queries.tree_diff(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    by_key = re.findall(r"hashpartitioning\(id#\d+L?, date#\d+, (\d+)\), (\w+)", plan)
+    assert by_key and set(by_key) == {(str(queries.DIFF_PARTS), "REPARTITION_BY_NUM")}
+    row = found.first()
+    assert row["n_common"] and row["n_only_old"] and row["n_only_new"]
+    rows = star.daily_of(queries.table(spark, "/root/testdata/sf0.001", "lineitem"))
+    assert not rows.exceptAll(star.daily_of(queries.table(spark, "/root/testdata/sf0.001", "lineitem"), 7)).count()
