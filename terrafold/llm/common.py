@@ -21,9 +21,10 @@ from pyspark.sql.window import Window
 
 #: Characters that count as white space wherever a contract speaks of words.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Settings while a table is written: its shuffle files go when it ends, and batches to Python are of bounded bytes, so that
 #: rows with whole texts or sets do not fill a worker.
-_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "2m"}
+_WHILE_WRITING = {_CLEAN_UP: "true", "spark.sql.execution.arrow.maxBytesPerBatch": "2m"}
 _LOCK, _WRITERS = threading.Lock(), {"n": 0}
 _OWN: list[str] = []
 
